@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from . import linededup
 from .bpe import op3_bpe_encode_decode
+from .linededup import op2_line_dedup
+from .simhash import op10_simhash_components
+from .toxicity import op6_toxicity_cnn
 
 
 def queries() -> dict:
-    return {"op3_bpe_encode_decode": op3_bpe_encode_decode}
+    return {f.__name__: f for f in (op2_line_dedup, op3_bpe_encode_decode, op6_toxicity_cnn, op10_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": linededup.OP2_SQL}
