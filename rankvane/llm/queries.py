@@ -5,12 +5,24 @@ from __future__ import annotations
 from . import linededup
 from .bpe import op3_bpe_encode_decode
 from .linededup import op2_line_dedup
+from .perplexity import op8_kneser_ney_perplexity
+from .rules import op7_quality_rules
 from .simhash import op10_simhash_components
+from .suffixdedup import op9_suffix_dedup
 from .toxicity import op6_toxicity_cnn
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_bpe_encode_decode, op6_toxicity_cnn, op10_simhash_components)}
+    all_ = (
+        op2_line_dedup,
+        op3_bpe_encode_decode,
+        op6_toxicity_cnn,
+        op7_quality_rules,
+        op8_kneser_ney_perplexity,
+        op9_suffix_dedup,
+        op10_simhash_components,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
