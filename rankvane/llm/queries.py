@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import linededup
+from . import linededup, warc
 from .bpe import op3_bpe_encode_decode
+from .decontaminate import op4_decontaminate
 from .linededup import op2_line_dedup
 from .perplexity import op8_kneser_ney_perplexity
 from .rules import op7_quality_rules
 from .simhash import op10_simhash_components
 from .suffixdedup import op9_suffix_dedup
 from .toxicity import op6_toxicity_cnn
+from .warc import op1_warc_derivatives
 
 
 def queries() -> dict:
     all_ = (
+        op1_warc_derivatives,
         op2_line_dedup,
         op3_bpe_encode_decode,
+        op4_decontaminate,
         op6_toxicity_cnn,
         op7_quality_rules,
         op8_kneser_ney_perplexity,
@@ -26,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.OP2_SQL}
+    return {"op1_warc_derivatives": warc.OP1_SQL, "op2_line_dedup": linededup.OP2_SQL}
