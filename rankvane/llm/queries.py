@@ -7,6 +7,7 @@ from .bpe import op3_bpe_encode_decode
 from .decontaminate import op4_decontaminate
 from .linededup import op2_line_dedup
 from .perplexity import op8_kneser_ney_perplexity
+from .pii import op5_personal_data
 from .rules import op7_quality_rules
 from .simhash import op10_simhash_components
 from .suffixdedup import op9_suffix_dedup
@@ -20,6 +21,7 @@ def queries() -> dict:
         op2_line_dedup,
         op3_bpe_encode_decode,
         op4_decontaminate,
+        op5_personal_data,
         op6_toxicity_cnn,
         op7_quality_rules,
         op8_kneser_ney_perplexity,
