@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, keyed, map_texts, table
+from .common import NULL_ID, cut, id_back, keyed, map_texts, table
 
 BITS = 64
 #: fingerprints in a tree node, and children of an upper node
@@ -51,17 +51,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default doc_id) and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None, column: str = "fp") -> DataFrame:
+    """Columns `keep` (default doc_id) and `column`, the fingerprint as a signed long."""
 
     def make():
         def apply(texts):
             fps = np.array([fingerprint(shingle_hashes(t, width)) for t in texts], np.uint64)
-            return {"fp": fps.view(np.int64)}
+            return {column: fps.view(np.int64)}
 
         return apply
 
-    return map_texts(docs, make, "fp long", keep)
+    return map_texts(docs, make, f"{column} long", keep)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -257,5 +257,17 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = 2, shard
     )
 
 
+def keep_one_of_each(docs: DataFrame, width: int = 3, distance: int = 2, shard_limit: int = 2048) -> DataFrame:
+    """The rows of docs, all columns, but for one of each component only the row with
+    the smallest doc_id stays.  Rows that share that doc_id and component leave one."""
+    fps = fingerprints(docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), width, ["__d", *docs.columns], "__fp")
+    nodes = cut(fps.groupBy("__fp").agg(F.min("__d").alias("__node")))
+    found = components(links(nodes.select(F.col("__fp").alias("fp"), F.col("__node").alias("node")), distance, shard_limit))
+    roots = nodes.join(found, nodes["__node"] == found["node"], "left").select("__fp", "__node", F.coalesce("root", "__node").alias("__root"))
+    first = roots.filter("__node = __root").select("__fp", "__node")
+    kept = fps.join(first, "__fp").filter("__d = __node").dropDuplicates(["__fp", "__d"])
+    return kept.select(*docs.columns)
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -232,8 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[Tex
     return model, thresholds
 
 
-def score_documents(docs: DataFrame, model: TextCnn, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` and score (0 to 1) of every whole text; null counts as empty."""
+def score_documents(docs: DataFrame, model: TextCnn, keep: list[str] | None = None, column: str = "score") -> DataFrame:
+    """Columns `keep` and the score (0 to 1) of every whole text in `column`; null counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast((model, model.tables()))  # a few MB, set by Params
 
     def make():
@@ -241,11 +241,11 @@ def score_documents(docs: DataFrame, model: TextCnn, keep: list[str] | None = No
         buckets = Buckets(model.p.buckets)
 
         def apply(texts):
-            return {"score": model.scores([word_rows(t, buckets) for t in texts], tables)}
+            return {column: model.scores([word_rows(t, buckets) for t in texts], tables)}
 
         return apply
 
-    return map_texts(docs, make, "score double", keep, slice_chars=500_000)
+    return map_texts(docs, make, f"{column} double", keep, slice_chars=500_000)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
@@ -258,6 +258,15 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, p: Params = Params()) ->
     return score_documents(docs, model, ["doc_id", "lang"]).withColumns(flags(thresholds))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of docs, all columns, that toxic_documents() does not flag."""
+    model, thresholds = train(docs, labels, p)
+    scored = score_documents(docs, model, docs.columns, "__score")
+    lang = "lang" if "lang" in docs.columns else "__lang"
+    scored = scored if lang == "lang" else scored.withColumn(lang, F.lit(None).cast("string"))
+    return scored.filter(~flags(thresholds, "__score", lang)["flagged"]).select(*docs.columns)
+
+
 def flags(thresholds: dict[str, float], score: str = "score", lang: str = "lang") -> dict:
     limit = F.lit(DEFAULT_THRESHOLD)
     for name, value in thresholds.items():
