@@ -21,6 +21,7 @@ gets one row from each slice however often a passage occurs.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -28,75 +29,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, keyed, table
+from .common import cut, id_back, keyed, table
 
-_ODD = np.uint64(0xD1B54A32D192ED03)
+#: bytes whose arrays are worked on at once, so that they stay in the processor's cache
+CHUNK = 100_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1B54A32D192ED03
+_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x *= np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    return x
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    return x ^ (x >> np.uint64(29))
 
 
 class Grams:
-    """64-bit identifiers of the n-grams at all positions of a byte string; those
-    of length 2n come from two of length n, and are kept for the next request."""
+    """Identifiers of the n-grams at all positions of a byte string: those of length
+    2n come from two of length n, and are kept for the next request."""
 
-    def __init__(self, raw: bytes):
-        x = np.frombuffer(raw, np.uint8).astype(np.uint64)
-        self.known = {1: _mix((x + np.uint64(1)) * _ODD)}
+    def __init__(self, x: np.ndarray):
+        self.n, self.known = len(x), {1: _VALUES[x]}
 
     def of(self, n: int) -> np.ndarray:
         if n not in self.known:
             half = 1 << (n - 1).bit_length() - 1  # the largest power of two below n
+            m = max(0, self.n - n + 1)
             a, b = self.of(half), self.of(n - half)
-            m = max(0, len(self.known[1]) - n + 1)
-            self.known[n] = _mix(a[:m] * _ODD + b[half : half + m])
+            self.known[n] = a[:m] + np.uint64(pow(_BASE, half, 1 << 64)) * b[half : half + m]
         return self.known[n]
 
 
 class Suffixes:
-    """The bucketed suffixes of one text."""
-
-    def __init__(self, raw: bytes, match: int, q: int, t: int):
-        self.n = max(0, len(raw) - match + 1)
-        self.grams, self.match = Grams(raw), match
-        if not self.n:
-            self.start = self.end = np.empty(0, np.int64)
-            self.bucket = self.run = np.empty(0, np.int64)
+    """The bucketed suffixes of some texts.
+
+    A run are neighbouring windows that chose the same place: `text` (number),
+    `start` and `end` (of the windows' first bytes, in the joined texts),
+    `bucket` and `run` (identifier of all bytes that its windows cover).
+    """
+
+    def __init__(self, raws: list[bytes], match: int, q: int, t: int):
+        x = np.frombuffer(b"".join(raws), np.uint8)
+        sizes = np.array([len(r) for r in raws])
+        self.offset = np.concatenate([[0], np.cumsum(sizes)])
+        self.match, n = match, len(x) - match + 1
+        if n <= 0:
+            self.text = self.start = self.end = self.bucket = self.run = np.empty(0, np.int64)
             return
-        place = self._least(self.grams.of(t), match - t + 1) - np.arange(self.n)
-        chosen = np.arange(self.n) + place % (match - q + 1)
-        self.start = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        self.end = np.append(self.start[1:], self.n)
-        self.bucket = self.grams.of(q)[chosen[self.start]].view(np.int64)
-        self.run = self._bytes_id(raw).view(np.int64)
-
-    def _least(self, gram: np.ndarray, width: int) -> np.ndarray:
-        """Position of the (leftmost) least gram in each window of `width` grams."""
-        order = gram >> np.uint64(24)
-        best, size = np.arange(len(gram)), 1
-        while size < width:
+        grams = Grams(x)
+        self.whole = grams.of(match)
+        width = match - t + 1
+        best = (_mix(grams.of(t)) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(x) - t + 1, dtype=np.uint64)
+        size = 1
+        while size < width:  # the least gram of twice as many places, the leftmost of equal ones
             step = min(size, width - size)
-            a, b = best[:-step], best[step:]
-            best = np.where(order[b] < order[a], b, a)
+            best = np.minimum(best[:-step], best[step:])
             size += step
-        return best[: self.n]
-
-    def _bytes_id(self, raw: bytes) -> np.ndarray:
-        """Identifiers of the bytes from the first to the last window of each run."""
-        # the run's first and last window and the middle one overlap or touch, as runs are short;
-        # longer runs (of one repeated byte) are told apart by their length as well
-        whole = self.grams.of(self.match)
-        out = _mix(whole[self.start] * _ODD + (self.end - self.start).astype(np.uint64))
-        length, at = self.end - self.start - 1, self.start.copy()
-        while (length > 0).any():
-            step = np.minimum(length, self.match)
-            at, length = at + step, length - step
-            out = np.where(step > 0, _mix(out * _ODD + whole[at]), out)
-        return out
+        first = np.arange(n)
+        place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64) - first
+        chosen = first + place % (match - q + 1)
+        owner = np.repeat(np.arange(len(raws)), sizes)
+        inside = owner[:n] == owner[match - 1 :]
+        new = np.ones(n, bool)
+        new[1:] = (chosen[1:] != chosen[:-1]) | (inside[1:] != inside[:-1])
+        self.start = np.flatnonzero(new)
+        self.end = np.append(self.start[1:], n)
+        own = inside[self.start]
+        self.start, self.end = self.start[own], self.end[own]
+        self.text = owner[self.start]
+        self.bucket = _mix(grams.of(q)[chosen[self.start]]).view(np.int64)
+        # windows of `match` bytes at most that far apart cover the whole run
+        out = _mix(self.whole[self.start] + (self.end - self.start).astype(np.uint64) * _ODD)
+        left, at = self.end - self.start - 1, self.start
+        while (left > 0).any():
+            step = np.minimum(left, match)
+            at, left = at + step, left - step
+            out = np.where(step > 0, _mix(out * _ODD + self.whole[at]), out)
+        self.run = out.view(np.int64)
+
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, identifier) of all windows in the runs that `of` marks."""
+        size = (self.end - self.start)[of]
+        at = np.repeat(self.start[of] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.repeat(self.text[of], size), self.window_ids(at)
+
+    def window_ids(self, at: np.ndarray) -> np.ndarray:
+        return _mix(self.whole[at]).view(np.int64)
+
+    def span(self, text: int) -> slice:
+        """Its runs; they are in the order of the texts."""
+        return slice(*np.searchsorted(self.text, [text, text + 1]))
+
+
+def chunks(sizes: list[int], limit: int):
+    """Slices of neighbouring items with about `limit` in all, one item at least."""
+    at, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and size + n > limit:
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if at < len(sizes):
+        yield slice(at, len(sizes))
 
 
 def _covered(n_bytes: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -133,30 +166,83 @@ def deduplicate_bytes(docs: DataFrame, match: int = 50, q: int = 30, t: int = 9,
     several parts and remove nothing from each other.
     """
     source = keyed(docs)
+    lists = _runs(source, match, q, t)
+    _release(docs.sparkSession)
+    single = _windows(source, lists, match, q, t)
+    _release(docs.sparkSession)
+    digest = reports == "digest"
+
+    def cut_out(batches):
+        import pyarrow.compute
+
+        for batch in batches:
+            out: list = []
+            marked = pyarrow.compute.or_(batch.column(2).is_valid(), batch.column(3).is_valid()).to_pylist()
+            texts = batch.column(1)
+            for part in chunks(pyarrow.compute.binary_length(texts).to_pylist(), CHUNK):
+                raws = [texts[i].as_py().encode() for i in range(part.start, part.stop)]
+                some = [i for i, raw in enumerate(raws) if marked[part.start + i] and len(raw) >= match]
+                s = Suffixes([raws[i] for i in some], match, q, t)
+                gone = {i: _gone(s, k, len(raws[i]), batch.column(2)[part.start + i], batch.column(3)[part.start + i]) for k, i in enumerate(some)}
+                for i, raw in enumerate(raws):
+                    kept, spans = raw, 0
+                    if i in gone:
+                        kept = np.frombuffer(raw, np.uint8)[~gone[i]].tobytes()
+                        spans = int(gone[i][0]) + int((gone[i][1:] & ~gone[i][:-1]).sum())
+                    out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()) if digest else (kept,))
+            columns = list(zip(*out)) if out else [[]] * (4 if digest else 1)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] if digest else [pa.binary()]
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["kept"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, types))], names=["doc_id", *names]
+            )
+
+    schema = "doc_id long, " + ("n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "kept binary")
+    marks = lists.select("doc_id", "gone").join(single, "doc_id", "full")
+    out = source.join(marks, "doc_id", "left").select("doc_id", "text", "gone", "windows").mapInArrow(cut_out, schema)
+    return out.select(id_back(), *out.columns[1:])
+
+
+def _gone(s: Suffixes, text: int, n_bytes: int, runs, windows) -> np.ndarray:
+    """Which bytes of a text go, by its removed runs and single windows."""
+    own, base = s.span(text), s.offset[text]
+    starts, ends = [], []
+    if runs.is_valid:
+        hit = np.isin(s.run[own], runs.values.to_numpy())
+        starts.append(s.start[own][hit] - base)
+        ends.append(s.end[own][hit] - base + s.match - 1)
+    if windows.is_valid:
+        at = np.arange(base, base + n_bytes - s.match + 1)
+        at = at[np.isin(s.window_ids(at), windows.values.to_numpy())] - base
+        starts.append(at)
+        ends.append(at + s.match)
+    return _covered(n_bytes, np.concatenate(starts), np.concatenate(ends))
+
 
-    def slices(batch, columns):
-        """Parts of a batch with a bounded number of characters."""
-        at, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(columns)).to_pylist()
-        for i, n in enumerate(lengths):
-            if i > at and size + n > 8_000_000:
-                yield batch.slice(at, i - at)
-                at, size = i, 0
-            size += n
-        if batch.num_rows > at:
-            yield batch.slice(at)
+def _release(session: SparkSession) -> None:
+    """Shuffle files of finished stages go once nothing refers to them; have that found out now."""
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+
+
+def _runs(source: DataFrame, match: int, q: int, t: int) -> DataFrame:
+    """For each document with runs that repeat: doc_id, gone (runs that a smaller
+    document has) and ask (runs of which it is the first, in buckets with other runs)."""
 
     def runs(batches):
-        import pyarrow.compute  # noqa: F401
+        import pyarrow.compute
 
         for batch in batches:
-            for part in slices(batch, 1):
-                ids, parts = part.column(0).to_numpy(), []
-                for text in part.column(1):
-                    parts.append(Suffixes(text.as_py().encode(), match, q, t))
-                doc = np.repeat(ids, [len(s.bucket) for s in parts])
-                bucket = np.concatenate([s.bucket for s in parts])
-                run = np.concatenate([s.run for s in parts])
+            sizes = pyarrow.compute.binary_length(batch.column(1)).to_pylist()
+            for part in chunks(sizes, 6_000_000):
+                ids, texts = batch.column(0).to_numpy()[part], batch.column(1)
+                doc, bucket, run = [], [], []
+                for c in chunks(sizes[part], CHUNK):
+                    s = Suffixes([texts[part.start + i].as_py().encode() for i in range(c.start, c.stop)], match, q, t)
+                    doc.append(ids[c.start + s.text])
+                    bucket.append(s.bucket)
+                    run.append(s.run)
+                doc, bucket, run = map(np.concatenate, (doc, bucket, run))
                 rows, known = _merged(doc, bucket, run)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[rows]), pa.array(np.where(known, doc[rows] + 1, 0)), pa.array(run[rows]), pa.array(doc[rows])],
@@ -174,78 +260,41 @@ def deduplicate_bytes(docs: DataFrame, match: int = 50, q: int = 30, t: int = 9,
         F.min("doc").over(Window.partitionBy("bucket", "salt", "run")).alias("least"),
     )
     state = state.withColumn("gone", F.col("known") | (F.col("doc") > F.col("least"))).filter("gone or split")
-    lists = state.groupBy("doc").agg(
+    lists = state.groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_list(F.when(F.col("gone"), F.col("run"))).alias("gone"), F.collect_list(F.when(~F.col("gone"), F.col("run"))).alias("ask")
     )
+    return cut(lists)
+
+
+def _windows(source: DataFrame, lists: DataFrame, match: int, q: int, t: int) -> DataFrame:
+    """doc_id and windows: identifiers of the windows in its asking runs that a smaller document has."""
 
     def windows(batches):
-        """The removed runs as they are, and the windows of runs that ask."""
-        import pyarrow.compute  # noqa: F401
+        import pyarrow.compute
 
         for batch in batches:
-            for part in slices(batch, 3):
-                docs_, hashes, kinds = [], [], []
-                for doc, gone, ask, text in zip(*(part.column(i) for i in range(4))):
-                    doc, gone = doc.as_py(), gone.values.to_numpy()
-                    docs_.append(np.full(len(gone), doc))
-                    hashes.append(gone)
-                    kinds.append(np.ones(len(gone), bool))
-                    ask = ask.values.to_numpy()
-                    if len(ask):
-                        s = Suffixes(text.as_py().encode(), match, q, t)
-                        hit = np.isin(s.run, ask)
-                        size = (s.end - s.start)[hit]
-                        at = np.repeat(s.start[hit] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                        w = s.grams.of(match)[at].view(np.int64)
-                        docs_.append(np.full(len(w), doc))
-                        hashes.append(w)
-                        kinds.append(np.zeros(len(w), bool))
-                doc, h, run = np.concatenate(docs_), np.concatenate(hashes), np.concatenate(kinds)
-                rows, known = _merged(doc[~run], h[~run])
-                rows = np.concatenate([np.flatnonzero(~run)[rows], np.flatnonzero(run)])
-                known = np.concatenate([known, np.ones(run.sum(), bool)])
+            sizes = pyarrow.compute.binary_length(batch.column(2)).to_pylist()
+            for part in chunks(sizes, 6_000_000):
+                ids, doc, found = batch.column(0).to_numpy()[part], [], []
+                for c in chunks(sizes[part], CHUNK):
+                    rows = range(part.start + c.start, part.start + c.stop)
+                    s = Suffixes([batch.column(2)[i].as_py().encode() for i in rows], match, q, t)
+                    hit = np.zeros(len(s.run), bool)
+                    for k, i in enumerate(rows):
+                        hit[s.span(k)] = np.isin(s.run[s.span(k)], batch.column(1)[i].values.to_numpy())
+                    text, w = s.windows(hit)
+                    doc.append(ids[c.start + text])
+                    found.append(w)
+                doc, found = np.concatenate(doc), np.concatenate(found)
+                rows, known = _merged(doc, found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[rows]), pa.array(np.where(known, doc[rows] + 1, 0)), pa.array(doc[rows]), pa.array(run[rows])],
-                    names=["h", "salt", "doc", "run"],
+                    [pa.array(found[rows]), pa.array(np.where(known, doc[rows] + 1, 0)), pa.array(doc[rows])], names=["w", "salt", "doc"]
                 )
 
-    second = source.join(lists.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "gone", "ask", "text")
-    second = second.mapInArrow(windows, "h long, salt long, doc long, run boolean")
-    removed = second.select("*", F.min("doc").over(Window.partitionBy("h", "salt")).alias("least")).filter("salt != 0 or doc > least")
-    marks = removed.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.collect_list(F.when(F.col("run"), F.col("h"))).alias("runs"), F.collect_list(F.when(~F.col("run"), F.col("h"))).alias("windows")
-    )
-
-    digest = reports == "digest"
-
-    def cut_out(batches):
-        for batch in batches:
-            out = []
-            for text, runs_, windows_ in zip(*(batch.column(i) for i in (1, 2, 3))):
-                raw = text.as_py().encode()
-                if runs_.is_valid and len(raw) >= match:
-                    s = Suffixes(raw, match, q, t)
-                    a = np.isin(s.run, runs_.values.to_numpy())
-                    w = windows_.values.to_numpy()
-                    single = np.flatnonzero(np.isin(s.grams.of(match).view(np.int64), w)) if len(w) else np.empty(0, np.int64)
-                    gone = _covered(
-                        len(raw), np.concatenate([s.start[a], single]), np.concatenate([s.end[a] + match - 1, single + match])
-                    )
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                else:
-                    kept, spans = raw, 0
-                out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()) if digest else (kept,))
-            columns = list(zip(*out)) if out else [[]] * (4 if digest else 1)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] if digest else [pa.binary()]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["kept"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, types))], names=["doc_id", *names]
-            )
-
-    schema = "doc_id long, " + ("n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "kept binary")
-    out = source.join(marks, "doc_id", "left").select("doc_id", "text", "runs", "windows").mapInArrow(cut_out, schema)
-    return out.select(id_back(), *out.columns[1:])
+    asking = lists.filter(F.size("ask") > 0).select("doc_id", "ask")
+    rows = source.join(asking, "doc_id").select("doc_id", "ask", "text").mapInArrow(windows, "w long, salt long, doc long")
+    removed = rows.select("*", F.min("doc").over(Window.partitionBy("w", "salt")).alias("least")).filter("salt != 0 or doc > least")
+    return cut(removed.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("w").alias("windows")))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
