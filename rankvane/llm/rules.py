@@ -82,7 +82,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 10_000, smoot
 
     Counts cover all documents.  `trusted` has the distinct doc_id of the target.
     """
-    marked = docs.join(trusted.withColumn("__target", F.lit(1)), "doc_id", "left")
+    # the labels grow with the documents: never broadcast, whatever their size here
+    marked = docs.join(trusted.withColumn("__target", F.lit(1)).hint("merge"), "doc_id", "left")
     grams = _word_columns(marked.select("doc_id", "text", "__target")).select("__target", F.explode(_grams(buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__target").alias("target"))
     whole = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
