@@ -161,7 +161,8 @@ def judge(docs: DataFrame, labels: DataFrame, share: float = 0.99) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
     known = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = train(source.join(known, "doc_id", "left_semi"))
+    # the labels grow with the documents: never broadcast, whatever their size here
+    model = train(source.join(known.hint("merge"), "doc_id", "left_semi"))
     rows = cut(perplexities(source, model, ["doc_id", "lang"]))
     limits = language_limits(rows.join(known, "doc_id", "left_semi").withColumn("lang", F.coalesce("lang", F.lit(""))), share)
     most = F.coalesce(limits.agg(F.max("threshold")).scalar(), F.lit(float("inf")))
