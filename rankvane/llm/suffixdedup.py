@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, id_back, keyed, table
 
 #: bytes whose arrays are worked on at once, so that they stay in the processor's cache
-CHUNK = 100_000
+CHUNK = 40_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1B54A32D192ED03
 _VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +49,7 @@ class Grams:
     2n come from two of length n, and are kept for the next request."""
 
     def __init__(self, x: np.ndarray):
-        self.n, self.known = len(x), {1: _VALUES[x]}
+        self.n, self.known = len(x), {1: np.take(_VALUES, x)}
 
     def of(self, n: int) -> np.ndarray:
         if n not in self.known:
@@ -86,7 +87,7 @@ class Suffixes:
             size += step
         first = np.arange(n)
         place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64) - first
-        chosen = first + place % (match - q + 1)
+        chosen = first + np.take(np.arange(width) % (match - q + 1), place)
         owner = np.repeat(np.arange(len(raws)), sizes)
         inside = owner[:n] == owner[match - 1 :]
         new = np.ones(n, bool)
@@ -220,9 +221,12 @@ def _gone(s: Suffixes, text: int, n_bytes: int, runs, windows) -> np.ndarray:
 
 
 def _release(session: SparkSession) -> None:
-    """Shuffle files of finished stages go once nothing refers to them; have that found out now."""
-    gc.collect()
-    session.sparkContext._jvm.System.gc()
+    """Shuffle files of finished stages go once nothing refers to them; have that found out
+    now.  The first collection lets go of the plans, the second of what they held."""
+    for _ in range(2):
+        gc.collect()
+        session.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def _runs(source: DataFrame, match: int, q: int, t: int) -> DataFrame:
