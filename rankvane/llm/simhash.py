@@ -42,26 +42,33 @@ def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(b" ".join(run), seed) for run in runs), np.uint64, len(words) - width + 1)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """The bits set in over half of the hashes; 0 for none."""
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+_SALTS = np.random.default_rng(42).integers(1, 1 << 63, 64, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None, column: str = "fp") -> DataFrame:
-    """Columns `keep` (default doc_id) and `column`, the fingerprint as a signed long."""
+def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The bits set in over half of the hashes; 0 for none.  Words behind the first
+    are made of other mixtures of the same hashes."""
+    counts = np.zeros(BITS * words, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)]
+        more = [(part ^ salt) * np.uint64(0x9E3779B97F4A7C15) for salt in _SALTS[: words - 1]]
+        all_ = np.stack([part, *(x ^ (x >> np.uint64(32)) for x in more)], axis=1)
+        counts += np.unpackbits(all_.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: list[str] | None = None, column: str = "fp") -> DataFrame:
+    """Columns `keep` (default doc_id) and `column`, the fingerprint: a signed long, or an
+    array of them for several words."""
 
     def make():
         def apply(texts):
-            fps = np.array([fingerprint(shingle_hashes(t, width)) for t in texts], np.uint64)
-            return {column: fps.view(np.int64)}
+            fps = [fingerprint(shingle_hashes(t, width), words).view(np.int64) for t in texts]
+            return {column: np.concatenate(fps) if words == 1 else pa.array(fps, pa.list_(pa.int64()))}
 
         return apply
 
-    return map_texts(docs, make, f"{column} long", keep)
+    return map_texts(docs, make, f"{column} {'long' if words == 1 else 'array<bigint>'}", keep)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -73,21 +80,21 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index of distinct fingerprints for searches within a Hamming distance."""
+    """Hierarchical index of distinct fingerprints (rows of words) for searches within a Hamming distance."""
 
     def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.order = np.lexsort([gray_rank(fps[:, k]) for k in range(fps.shape[1])][::-1])
         self.fps = fps[self.order]
         alls, anys = self.fps, self.fps
         levels = []
         while len(alls) > 1 or not levels:
             cuts = np.arange(0, len(alls), FANOUT)
-            alls, anys = np.bitwise_and.reduceat(alls, cuts), np.bitwise_or.reduceat(anys, cuts)
+            alls, anys = np.bitwise_and.reduceat(alls, cuts, 0), np.bitwise_or.reduceat(anys, cuts, 0)
             levels.append((~(alls ^ anys), alls))
         #: from the root down: the bits that a node adds to those of the nodes above, and their values
         self.levels, above = [], None
         for mask, pattern in reversed(levels):
-            own = mask if above is None else mask & ~np.repeat(above, FANOUT)[: len(mask)]
+            own = mask if above is None else mask & ~np.repeat(above, FANOUT, 0)[: len(mask)]
             self.levels.append((own, pattern))
             above = mask
         self.leaf_mask = above
@@ -100,12 +107,10 @@ class GrayIndex:
         for k, (own, pattern) in enumerate(self.levels):
             if k:
                 q, node, gone = self._children(q, node, gone, len(own))
-            gone = gone + np.bitwise_count((queries[q] ^ pattern[node]) & own[node])
+            gone = gone + bits_of((queries[q] ^ pattern[node]) & own[node])
             q, node, gone = (x[gone <= distance] for x in (q, node, gone))
-        leaf = node
         q, node, gone = self._children(q, node, gone, len(self.fps))
-        rest = ~self.leaf_mask[node // FANOUT] if len(leaf) else np.empty(0, np.uint64)
-        gone = gone + np.bitwise_count((queries[q] ^ self.fps[node]) & rest)
+        gone = gone + bits_of((queries[q] ^ self.fps[node]) & ~self.leaf_mask[node // FANOUT])
         hit = gone <= distance
         return q[hit], self.order[node[hit]]
 
@@ -117,33 +122,39 @@ class GrayIndex:
         return q[real], child[real], gone[real]
 
 
+def bits_of(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 def forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node linked to it) for all nodes of a shard but the smallest ones."""
-    if len(fps) == 2:
-        linked = np.bitwise_count(fps[0] ^ fps[1]) <= distance
-        return (nodes.max(keepdims=True), nodes.min(keepdims=True)) if linked else (nodes[:0], nodes[:0])
-    index, root = GrayIndex(fps), np.arange(len(fps))
     order = np.argsort(nodes)  # positions by node, so that the smallest position is the smallest node
-    at = np.empty_like(order)
-    at[order] = np.arange(len(order))
-    for start in range(0, len(fps), 4096):
-        a, b = index.near(fps[start : start + 4096], distance)
-        a, b = at[a + start], at[b]
-        a, b = a[a != b], b[a != b]
-        while len(a):  # hook the larger root to the smaller one, then flatten
-            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-            open_ = low != high
-            if not open_.any():
-                break
-            a, b = a[open_], b[open_]
-            np.minimum.at(root, high[open_], low[open_])
-            while True:
-                flat = root[root]
-                if (flat == root).all():
+    fps, nodes = fps[order], nodes[order]
+    # all that are near the first are linked by it; only the others have to ask
+    linked = bits_of(fps ^ fps[:1]) <= distance
+    root = np.where(linked, 0, np.arange(len(fps)))
+    ask = np.flatnonzero(~linked)
+    if len(ask):
+        index = GrayIndex(fps)
+        step = max(16, 2_000_000 // len(fps))
+        for start in range(0, len(ask), step):
+            some = ask[start : start + step]
+            a, b = index.near(fps[some], distance)
+            a = some[a]
+            while len(a):  # hook the larger root to the smaller one, then flatten
+                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                open_ = low != high
+                if not open_.any():
                     break
-                root = flat
+                a, b = a[open_], b[open_]
+                np.minimum.at(root, high[open_], low[open_])
+                while True:
+                    flat = root[root]
+                    if (flat == root).all():
+                        break
+                    root = flat
     moved = np.flatnonzero(root != np.arange(len(root)))
-    return nodes[order[moved]], nodes[order[root[moved]]]
+    return nodes[moved], nodes[root[moved]]
 
 
 def blocks(bits: list[int], count: int) -> list[list[int]]:
@@ -189,16 +200,34 @@ def shards(nodes: DataFrame, distance: int, shard_limit: int) -> DataFrame:
     return keys.join(large, ["part", "value"], "left").select(F.explode(own).alias("k"), "fp", "node").select("k.part", "k.value", "fp", "node")
 
 
-def links(nodes: DataFrame, distance: int = 2, shard_limit: int = 2048) -> DataFrame:
-    """Edges (a, b), a > b, that connect all fingerprints within the distance.
+def sampled_shards(nodes: DataFrame, words: int, tables: int, bits: int, shard_limit: int) -> DataFrame:
+    """(part, value, fp, node) for fingerprints of several words: each table has shards by
+    `bits` bits drawn from one word, so near ones meet in some table with high probability.
 
-    `nodes` has distinct fp and a distinct long `node` for each.
+    A shard above the limit is cut by bits of the next word, one more each time its
+    size doubles, so that shards stay bounded; the other tables are cut elsewhere.
     """
+    rng = np.random.default_rng(9)
+    drawn = [(t % words, sorted(rng.choice(BITS, bits, replace=False).tolist())) for t in range(tables)]
+    parts = [F.struct(F.lit(t).alias("part"), _masked(F.get("fp", F.lit(w)), b).alias("value")) for t, (w, b) in enumerate(drawn)]
+    keys = nodes.select("fp", "node", F.explode(F.array(*parts)).alias("k")).select("k.part", "k.value", "fp", "node")
+    large = keys.groupBy("part", "value").count().filter(F.col("count") > shard_limit)
+    more = large.select("part", "value", (F.ceil(F.log2(F.col("count") / shard_limit)) + 2).cast("int").alias("more"))
+    rest = F.get("fp", (F.col("part") + 1) % words).bitwiseAND(F.expr("shiftleft(1L, more) - 1"))
+    return keys.join(more, ["part", "value"], "left").select("part", "value", F.coalesce(rest, F.lit(0)).alias("rest"), "fp", "node")
+
+
+def links(shards_: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b), a > b, that connect all fingerprints of a shard within the distance.
+
+    `shards_` has fp, a long `node` that is distinct for each, and its shard's key.
+    """
+    many = dict(shards_.dtypes)["fp"].startswith("array")
+    fps = F.collect_list("fp")
     groups = (
-        shards(nodes, distance, shard_limit)
-        .groupBy("part", "value")
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
-        .filter(F.size("fps") > 1)
+        shards_.groupBy(*(c for c in shards_.columns if c not in ("fp", "node")))
+        .agg((F.flatten(fps) if many else fps).alias("fps"), F.collect_list("node").alias("nodes"))
+        .filter(F.size("nodes") > 1)
         .select("fps", "nodes")
     )
 
@@ -206,9 +235,8 @@ def links(nodes: DataFrame, distance: int = 2, shard_limit: int = 2048) -> DataF
         for batch in batches:
             a, b = [], []
             for fps, ids in zip(batch.column(0), batch.column(1)):
-                hi, lo = forest(
-                    fps.values.to_numpy(zero_copy_only=False).view(np.uint64), ids.values.to_numpy(zero_copy_only=False), distance
-                )
+                x, ids = fps.values.to_numpy(zero_copy_only=False).view(np.uint64), ids.values.to_numpy(zero_copy_only=False)
+                hi, lo = forest(x.reshape(len(ids), -1), ids, distance)
                 a.append(hi)
                 b.append(lo)
             if a:
@@ -248,7 +276,7 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = 2, shard
     """
     fps = cut(fingerprints(keyed(docs), width))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = components(links(nodes, distance, shard_limit))
+    found = components(links(shards(nodes, distance, shard_limit), distance))
     roots = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(roots, "fp").select(
         id_back(),
@@ -257,15 +285,26 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = 2, shard
     )
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 3, distance: int = 2, shard_limit: int = 2048) -> DataFrame:
-    """The rows of docs, all columns, but for one of each component only the row with
-    the smallest doc_id stays.  Rows that share that doc_id and component leave one."""
-    fps = fingerprints(docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))), width, ["__d", *docs.columns], "__fp")
-    nodes = cut(fps.groupBy("__fp").agg(F.min("__d").alias("__node")))
-    found = components(links(nodes.select(F.col("__fp").alias("fp"), F.col("__node").alias("node")), distance, shard_limit))
-    roots = nodes.join(found, nodes["__node"] == found["node"], "left").select("__fp", "__node", F.coalesce("root", "__node").alias("__root"))
-    first = roots.filter("__node = __root").select("__fp", "__node")
-    kept = fps.join(first, "__fp").filter("__d = __node").dropDuplicates(["__fp", "__d"])
+def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, distance: int = 44, tables: int = 48, shard_limit: int = 4096) -> DataFrame:
+    """The rows of docs, all columns, but for one of each group of near copies only the
+    row with the smallest doc_id stays.
+
+    Near copies have word shingles with a Jaccard similarity of about 0.8 or more:
+    fingerprints of `words` words that differ in at most `distance` bits, found in
+    `tables` samples of as many bits as log2 of their number.  Rows with equal
+    fingerprints (all empty texts among them) are always one group; of rows that
+    share the doc_id as well one stays.  Null texts count as empty, a null doc_id
+    as the smallest.
+    """
+    named = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    fps = fingerprints(named, width, words, ["__d", *docs.columns], "__fp")
+    nodes = cut(fps.select("__fp", "__d").groupBy("__fp").agg(F.min("__d").alias("__node")))
+    # several fingerprints can have the same smallest id where ids repeat
+    named_nodes = nodes.select(F.col("__fp").alias("fp"), F.col("__node").alias("node"))
+    bits = min(24, max(8, int(np.log2(max(1, nodes.count())))))
+    found = components(links(sampled_shards(named_nodes, words, tables, bits, shard_limit), distance))
+    first = nodes.join(found.select(F.col("node").alias("__node")), "__node", "left_anti")
+    kept = fps.join(first, [fps["__fp"] == first["__fp"], fps["__d"] == first["__node"]], "left_semi").dropDuplicates(["__fp", "__d"])
     return kept.select(*docs.columns)
 
 

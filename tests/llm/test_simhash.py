@@ -41,7 +41,7 @@ def test_index_finds_all_pairs(n):
         fps[i] = fps[i - 1] ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64)))
     fps = np.unique(fps)
     for d in (0, 1, 2, 3):
-        q, m = S.GrayIndex(fps).near(fps, d)
+        q, m = S.GrayIndex(fps[:, None]).near(fps[:, None], d)
         got = set(zip(q.tolist(), m.tolist()))
         want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if bin(int(fps[i] ^ fps[j])).count("1") <= d}
         assert got == want
@@ -85,3 +85,50 @@ def test_components_match_brute_force(spark, limit):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.simhash_components(docs).collect() == []
+
+
+def test_wide_index_and_forest_match_brute_force():
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    for i in range(1, 300):
+        if i % 3:
+            fps[i] = fps[i - 1]
+            for b in rng.choice(256, 20, replace=False):
+                fps[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    nodes = rng.permutation(5000)[:300]
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=np.int64)
+    q, m = S.GrayIndex(fps).near(fps, 30)
+    assert set(zip(q.tolist(), m.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(apart <= 30))))
+    hi, lo = S.forest(fps, nodes, 30)
+    root = {int(n): int(n) for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in zip(*np.nonzero(apart <= 30)):
+            a, b = root[int(nodes[i])], root[int(nodes[j])]
+            if a != b:
+                root[int(nodes[i])] = root[int(nodes[j])] = min(a, b)
+                changed = True
+    got = {int(n): int(n) for n in nodes} | dict(zip(hi.tolist(), lo.tolist()))
+    assert got == root
+
+
+def test_one_of_each_group_stays(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, groups = [], {}
+    for g in range(40):
+        words = list(rng.choice(vocab, 300))
+        for c in range(1 + g % 4):
+            own = list(words)
+            for at in rng.choice(300, 2 * c, replace=False):
+                own[at] = "new"
+            rows.append((len(rows), " ".join(own), None))
+            groups.setdefault(g, []).append(len(rows) - 1)
+    rows += [(500, None, "x"), (501, "", "x"), (None, rows[0][1], "y"), (0, rows[0][1], "z")]
+    for limit in (4096, 2):
+        kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp string"), shard_limit=limit)
+        assert kept.columns == ["doc_id", "text", "fp"]
+        ids = [r.doc_id for r in kept.collect()]
+        assert len(ids) == len(set(ids)) == 41
+        assert set(ids) == {min(v) for g, v in groups.items() if g} | {None, 500}
