@@ -303,8 +303,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, distance:
     named_nodes = nodes.select(F.col("__fp").alias("fp"), F.col("__node").alias("node"))
     bits = min(24, max(8, int(np.log2(max(1, nodes.count())))))
     found = components(links(sampled_shards(named_nodes, words, tables, bits, shard_limit), distance))
-    first = nodes.join(found.select(F.col("node").alias("__node")), "__node", "left_anti")
-    kept = fps.join(first, [fps["__fp"] == first["__fp"], fps["__d"] == first["__node"]], "left_semi").dropDuplicates(["__fp", "__d"])
+    first = nodes.join(found.select(F.col("node").alias("__node")), "__node", "left_anti").select("__fp", F.col("__node").alias("__d"))
+    kept = fps.join(first, ["__fp", "__d"], "left_semi").dropDuplicates(["__fp", "__d"])
     return kept.select(*docs.columns)
 
 
