@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(session: SparkSession) -> None:
+    """Shuffle files of finished stages go once nothing refers to them; have that found out
+    now.  The first collection lets go of the plans, the second of what they held."""
+    for _ in range(2):
+        gc.collect()
+        session.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

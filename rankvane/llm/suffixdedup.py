@@ -21,16 +21,14 @@ gets one row from each slice however often a passage occurs.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, keyed, table
+from .common import cut, id_back, keyed, release, table
 
 #: bytes whose arrays are worked on at once, so that they stay in the processor's cache
 CHUNK = 40_000
@@ -168,9 +166,9 @@ def deduplicate_bytes(docs: DataFrame, match: int = 50, q: int = 30, t: int = 9,
     """
     source = keyed(docs)
     lists = _runs(source, match, q, t)
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     single = _windows(source, lists, match, q, t)
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
     digest = reports == "digest"
 
     def cut_out(batches):
@@ -220,15 +218,6 @@ def _gone(s: Suffixes, text: int, n_bytes: int, runs, windows) -> np.ndarray:
     return _covered(n_bytes, np.concatenate(starts), np.concatenate(ends))
 
 
-def _release(session: SparkSession) -> None:
-    """Shuffle files of finished stages go once nothing refers to them; have that found out
-    now.  The first collection lets go of the plans, the second of what they held."""
-    for _ in range(2):
-        gc.collect()
-        session.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def _runs(source: DataFrame, match: int, q: int, t: int) -> DataFrame:
     """For each document with runs that repeat: doc_id, gone (runs that a smaller
     document has) and ask (runs of which it is the first, in buckets with other runs)."""
