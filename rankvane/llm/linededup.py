@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, table, NULL_ID
+from .common import NULL_ID, cut, table
 
 #: (doc_id, hash of the text): rows that share both are one document
 KEY = ["__d", "__t"]
@@ -45,6 +45,8 @@ def _intervals(suffixes: DataFrame) -> DataFrame:
     that interval has a member before this one."""
     place = F.struct(*KEY, "seq")
     shared = suffixes.groupBy("rank", "rank2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    # cut, so that the join deals its rows out itself and a line that is everywhere can be split
+    shared = cut(shared)
     return suffixes.join(shared, ["rank", "rank2"]).withColumn("earlier", F.col("first") < place).drop("first")
 
 
