@@ -22,6 +22,8 @@ from .common import table
 WORDS = re.compile(r"\w+").findall
 #: whichever two words of twelve are replaced, one of these masks still fits at some place
 MASKS = ("11101011", "110110011", "100110111")
+#: the same for items of 8 to 11 words, which are compared whole
+SHORT_MASKS = ("11111", "110111", "11001011")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,14 +57,15 @@ def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
 class Block:
     """Some benchmark items with their word numbers and sorted seeds."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], masks: tuple[str, ...], window: int, share: float):
+    def __init__(self, items: list[tuple[str, list[str]]], masks: tuple[str, ...], short_masks: tuple[str, ...], window: int, share: float):
         self.names = [name for name, _ in items]
         self.vocab: dict[str, int] = {}
         self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int32) for _, ws in items]
-        self.masks, self.window, self.share = masks, window, share
+        self.masks, self.window, self.share = (*masks, *short_masks), window, share
         self.seeds = []
-        for mask in masks:
-            h = [seed_hashes(x, mask) for x in self.items]
+        for k, mask in enumerate(self.masks):
+            short = k >= len(masks)
+            h = [seed_hashes(x, mask) if (len(x) < window) == short else np.empty(0, np.uint64) for x in self.items]
             item = np.repeat(np.arange(len(h)), [len(x) for x in h])
             at = np.concatenate([np.arange(len(x)) for x in h]) if h else np.empty(0, np.int64)
             h = np.concatenate(h) if h else np.empty(0, np.uint64)
@@ -135,6 +138,7 @@ def overlaps(
     share: float = 0.8,
     min_words: int = 8,
     masks: tuple[str, ...] = MASKS,
+    short_masks: tuple[str, ...] = SHORT_MASKS,
     block_words: int = 2_000_000,
 ) -> DataFrame:
     """All rows and columns of docs with __hits: map from item_id to the words of the longest overlap.
@@ -146,14 +150,15 @@ def overlaps(
     have no words.  Benchmarks of any size are taken in blocks of at most
     `block_words` words, each of which all rows of docs pass through.
     """
-    gone = int(window * (1 - share) + 1e-9)
-    if not covers(masks, window, gone):
-        raise ValueError(f"the masks can miss windows of {window} words with {gone} substitutions")
+    for n in range(min(min_words, window), window + 1):
+        gone = int(n * (1 - share) + 1e-9)
+        if not covers(masks if n == window else short_masks, n, gone):
+            raise ValueError(f"the masks can miss windows of {n} words with {gone} substitutions")
     session = docs.sparkSession
     columns = [c for c in docs.columns if c != "text"]
     out = docs.select(*columns, F.create_map().cast("map<string,int>").alias("__hits"), "text")
     for items in blocks_of(benchmark, min_words, block_words):
-        shared = session.sparkContext.broadcast(Block(items, masks, window, share))
+        shared = session.sparkContext.broadcast(Block(items, masks, short_masks, window, share))
         schema = out.schema
 
         def run(batches, shared=shared):
