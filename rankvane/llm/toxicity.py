@@ -98,12 +98,12 @@ class TextCnn:
                 some = order[k : k + p.batch]
                 rows, starts = self.joined([docs[i] for i in some], pad)
                 x = self.e[rows]
-                ends = np.append(starts[1:], len(rows) - pad)
+                sizes = np.diff(np.append(starts, len(rows) - pad))
                 pooled, places = [], []
                 for w, f, b in zip(p.widths, self.w, self.b):
                     wide = np.lib.stride_tricks.sliding_window_view(x, w, axis=0).transpose(0, 2, 1).reshape(len(x) - w + 1, -1)
                     conv = wide @ f.T + b
-                    place = np.stack([s + conv[s:t].argmax(0) for s, t in zip(starts, ends)])
+                    place = np.stack([s + conv[s : s + n - w + 1].argmax(0) for s, n in zip(starts, sizes)])
                     places.append((wide, place))
                     pooled.append(np.take_along_axis(conv, place, 0))
                 h = np.maximum(np.concatenate(pooled, 1), 0)
@@ -151,13 +151,15 @@ class TextCnn:
     def scores(self, docs: list[np.ndarray], tables=None) -> np.ndarray:
         tables, pad = tables or self.tables(), max(self.p.widths)
         rows, starts = self.joined(docs, pad)
-        pooled = []
+        pooled, n = [], len(rows) - pad
+        behind = np.append(starts[1:], n)
         for parts, b in zip(tables, self.b):
-            n = len(rows) - pad
-            conv = parts[0][rows[:n]]
+            conv = parts[0][rows[: n + 1]]
             for o, t in enumerate(parts[1:], 1):
-                conv += t[rows[o : o + n]]
-            pooled.append(np.maximum.reduceat(conv, starts, axis=0) + b)
+                conv += t[rows[o : o + n + 1]]
+            # the windows that would reach into the next text are left out
+            cuts = np.stack([starts, behind - len(parts) + 1], axis=1).ravel()
+            pooled.append(np.maximum.reduceat(conv, cuts, axis=0)[::2] + b)
         z = np.maximum(np.concatenate(pooled, 1), 0) @ self.v + self.c + self.shift
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
