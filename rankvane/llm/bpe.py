@@ -12,6 +12,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,9 @@ from .common import map_texts, table
 #: Unicode White_Space, written out because Python's \s also has U+001C..U+001F
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: bytes of a fragment from which its pairs are kept in a heap
+LONG = 200
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
@@ -105,6 +109,8 @@ class Bpe:
         ids = [self.first[b] for b in raw]
         if ends:
             ids[-1] = self.last[raw[-1]]
+        if len(ids) > LONG:
+            return self._merge_long(ids)
         get, never = self.merges.get, len(self.made)
         ranks = [get(p, never) for p in zip(ids, ids[1:])]
         while ranks:
@@ -120,6 +126,26 @@ class Bpe:
                 ranks[i] = get((ids[i], ids[i + 1]), never)
         return tuple(ids)
 
+    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same by a heap of the pairs, for fragments that a scan for each merge is too slow for."""
+        get, n = self.merges.get, len(ids)
+        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(rank, i) for i, p in enumerate(zip(ids, ids[1:])) if (rank := get(p)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = behind[i]
+            if ids[i] is None or j == n or get((ids[i], ids[j])) != rank:
+                continue  # one of the two has been merged meanwhile
+            ids[i], ids[j], behind[i] = self.made[rank], None, behind[j]
+            if behind[i] < n:
+                before[behind[i]] = i
+                if (rank := get((ids[i], ids[behind[i]]))) is not None:
+                    heappush(heap, (rank, i))
+            if (h := before[i]) >= 0 and (rank := get((ids[h], ids[i]))) is not None:
+                heappush(heap, (rank, h))
+        return tuple(i for i in ids if i is not None)
+
     def _word(self, word: str) -> tuple[str, str, int]:
         ids = [i for f in self.fragments_of(word.encode()) for i in self.fragments[f]]
         return " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids)

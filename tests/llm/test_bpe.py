@@ -5,7 +5,7 @@ import pytest
 from rankvane.llm import bpe
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", " ", "a", "The quick brown fox's 12 jumps, isn't it?", "ΣΊΣΥΦΟΣ Σ", "naïve café ÀÉ", "日本語 текст 😀👍🏽", "x" * 3000, "a\x00b\x1c\x85c", "<|endoftext|> inside <|startoftext|>", "\n\t \r\n", "1234567890 $$$", "ﬁ Ǆ İ ẞ"]
+ODD = ["", " ", "a", "The quick brown fox's 12 jumps, isn't it?", "ΣΊΣΥΦΟΣ Σ", "naïve café ÀÉ", "日本語 текст 😀👍🏽", "x" * 3000, "a\x00b\x1c\x85c", "<|endoftext|> inside <|startoftext|>", "\n\t \r\n", "1234567890 $$$", "ﬁ Ǆ İ ẞ", "banana" * 300, "abcdefghij" * 2000, "ä" * 900 + "the" * 500]
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,13 @@ def test_nulls_and_ids_column(spark):
     docs = spark.createDataFrame([(1, None), (None, "hello world"), (1, None)], "doc_id long, text string")
     rows = bpe.encode_documents(docs, bpe.default_vocabulary()).collect()
     assert sorted(((r["doc_id"] or 0), r["n_tokens"], len(r["ids"]), r["decoded"]) for r in rows)[1:] == [(1, 0, 0, "")] * 2
+
+
+def test_heap_and_scan_agree(own, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abehnrst", k=rng.randint(2, 150))).encode() for _ in range(300)]
+    scanned = [own._merge((w, True)) for w in words]
+    monkeypatch.setattr(bpe, "LONG", 1)
+    assert [own._merge((w, True)) for w in words] == scanned
