@@ -73,6 +73,7 @@ class Suffixes:
         self.match, n = match, len(x) - match + 1
         if n <= 0:
             self.text = self.start = self.end = self.bucket = self.run = np.empty(0, np.int64)
+            self.whole = np.empty(0, np.uint64)
             return
         grams = Grams(x)
         self.whole = grams.of(match)
