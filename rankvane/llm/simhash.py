@@ -26,6 +26,8 @@ from .common import NULL_ID, cut, id_back, keyed, map_texts, table
 BITS = 64
 #: fingerprints in a tree node, and children of an upper node
 FANOUT = 16
+#: shingles of the texts that one task compares
+SHARD_SHINGLES = 1_000_000
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> np.ndarray:
@@ -200,23 +202,6 @@ def shards(nodes: DataFrame, distance: int, shard_limit: int) -> DataFrame:
     return keys.join(large, ["part", "value"], "left").select(F.explode(own).alias("k"), "fp", "node").select("k.part", "k.value", "fp", "node")
 
 
-def sampled_shards(nodes: DataFrame, words: int, tables: int, bits: int, shard_limit: int) -> DataFrame:
-    """(part, value, fp, node) for fingerprints of several words: each table has shards by
-    `bits` bits drawn from one word, so near ones meet in some table with high probability.
-
-    A shard above the limit is cut by bits of the next word, one more each time its
-    size doubles, so that shards stay bounded; the other tables are cut elsewhere.
-    """
-    rng = np.random.default_rng(9)
-    drawn = [(t % words, sorted(rng.choice(BITS, bits, replace=False).tolist())) for t in range(tables)]
-    parts = [F.struct(F.lit(t).alias("part"), _masked(F.get("fp", F.lit(w)), b).alias("value")) for t, (w, b) in enumerate(drawn)]
-    keys = nodes.select("fp", "node", F.explode(F.array(*parts)).alias("k")).select("k.part", "k.value", "fp", "node")
-    large = keys.groupBy("part", "value").count().filter(F.col("count") > shard_limit)
-    more = large.select("part", "value", (F.ceil(F.log2(F.col("count") / shard_limit)) + 2).cast("int").alias("more"))
-    rest = F.get("fp", (F.col("part") + 1) % words).bitwiseAND(F.expr("shiftleft(1L, more) - 1"))
-    return keys.join(more, ["part", "value"], "left").select("part", "value", F.coalesce(rest, F.lit(0)).alias("rest"), "fp", "node")
-
-
 def links(shards_: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b), a > b, that connect all fingerprints of a shard within the distance.
 
@@ -285,26 +270,162 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = 2, shard
     )
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, words: int = 4, distance: int = 44, tables: int = 48, shard_limit: int = 4096) -> DataFrame:
+def set_key(shingles: np.ndarray) -> int:
+    """A number for a set of shingles, given as its sorted hashes."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 1)).view(np.int64))
+
+
+def band_values(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each band a hash of its number and of `rows` min-hashes of the set; none for an empty set.
+
+    Two sets of Jaccard similarity s agree in a band with probability s ** rows,
+    whatever the number of sets.
+    """
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    rng = np.random.default_rng(11)
+    odd = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64)
+    least = np.full(bands * rows, ~np.uint64(0))
+    for at in range(0, len(shingles), 1 << 9):
+        np.minimum(least, (shingles[at : at + (1 << 9)] * odd + add).min(axis=1), out=least)
+    value = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        value = (value ^ least[k::rows]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return value.view(np.int64)
+
+
+def similar(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """Links (positions) that connect all sets with a Jaccard similarity of `share` or
+    more, and no others: a search that compares each set with those not reached yet."""
+    sizes = np.array([len(s) for s in sets])
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(numbers, np.cumsum(sizes)[:-1])
+    there = np.zeros(len(numbers), np.int8)
+    left, found = np.arange(len(sets)), []
+
+    def without(gone):
+        stay = ~gone
+        return left[stay], flat[np.repeat(stay, sizes[left])]
+
+    flat, queue = numbers, []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left, flat = without(left == left[0])
+            continue
+        x = queue.pop()
+        there[own[x]] = 1
+        sums = np.concatenate([[0], np.cumsum(there[flat], dtype=np.int64)])
+        there[own[x]] = 0
+        ends = np.cumsum(sizes[left])
+        common = sums[ends] - sums[ends - sizes[left]]
+        near = common * (1 + share) >= share * (sizes[x] + sizes[left]) - 1e-9
+        if near.any():
+            more = left[near].tolist()
+            found += [(x, y) for y in more]
+            queue += more
+            left, flat = without(near)
+    return found
+
+
+def pair_tasks(groups: DataFrame, shard_limit: int) -> DataFrame:
+    """(group, parts, i, j, node): tasks in which any two nodes of a group meet.
+
+    A group with up to `shard_limit` sets and SHARD_SHINGLES shingles is one task; a
+    larger one is dealt into `parts` blocks, and any two blocks make a task.
+    """
+    sized = groups.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("m > 1")
+    over = F.greatest(F.col("m") / shard_limit, F.col("n") / SHARD_SHINGLES)
+    parts = F.when(over <= 1, 1).otherwise(F.ceil(2 * over)).cast("int")
+    dealt = groups.select("group", "node").join(sized.select("group", parts.alias("parts")), "group")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "parts").cast("int"))
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
+    return dealt.withColumn("other", F.explode(other)).select("group", "parts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+
+
+def verified(tasks: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Edges (a, b), a > b, that connect the nodes of each task whose sets are similar."""
+    groups = (
+        tasks.join(sets, "node")
+        .groupBy("by_band", "group", "i", "j")
+        .agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
+        .filter(F.size("sets") > 1)
+        .select("sets")
+    )
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for group in batch.column(0):
+                nodes, lists = (group.values.field(k) for k in (0, 1))
+                nodes = nodes.to_numpy(zero_copy_only=False)
+                for x, y in similar([s.values.to_numpy(zero_copy_only=False) for s in lists], share):
+                    a.append(max(nodes[x], nodes[y]))
+                    b.append(min(nodes[x], nodes[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long").distinct()
+
+
+def with_roots(found: DataFrame) -> DataFrame:
+    """components() with a row for each root as well."""
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands: int = 32, rows: int = 6, shard_limit: int = 4096) -> DataFrame:
     """The rows of docs, all columns, but for one of each group of near copies only the
     row with the smallest doc_id stays.
 
-    Near copies have word shingles with a Jaccard similarity of about 0.8 or more:
-    fingerprints of `words` words that differ in at most `distance` bits, found in
-    `tables` samples of as many bits as log2 of their number.  Rows with equal
-    fingerprints (all empty texts among them) are always one group; of rows that
-    share the doc_id as well one stays.  Null texts count as empty, a null doc_id
-    as the smallest.
+    Near copies have sets of word shingles with a Jaccard similarity of `share` or
+    more; groups are what such pairs connect.  Sets that agree in one of `bands`
+    bands of `rows` min-hashes are candidates, whose sets are then compared: of
+    pairs at exactly 0.8 all but 6 in 100,000 become candidates, at any number of
+    texts.  Rows with equal sets (all texts without words among them) are always one
+    group; of rows that share the doc_id as well one stays.  Null texts count as
+    empty, a null doc_id as the smallest.
     """
-    named = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    fps = fingerprints(named, width, words, ["__d", *docs.columns], "__fp")
-    nodes = cut(fps.select("__fp", "__d").groupBy("__fp").agg(F.min("__d").alias("__node")))
-    # several fingerprints can have the same smallest id where ids repeat
-    named_nodes = nodes.select(F.col("__fp").alias("fp"), F.col("__node").alias("node"))
-    bits = min(24, max(8, int(np.log2(max(1, nodes.count())))))
-    found = components(links(sampled_shards(named_nodes, words, tables, bits, shard_limit), distance))
-    first = nodes.join(found.select(F.col("node").alias("__node")), "__node", "left_anti").select("__fp", F.col("__node").alias("__d"))
-    kept = fps.join(first, ["__fp", "__d"], "left_semi").dropDuplicates(["__fp", "__d"])
+    named = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__t": F.md5(F.coalesce(F.col("text"), F.lit("")))})
+
+    def make():
+        def apply(texts):
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
+            return {
+                "node": [set_key(s) for s in sets],
+                "n": [len(s) for s in sets],
+                "bands": pa.array([band_values(s, bands, rows) for s in sets], pa.list_(pa.int64())),
+            }
+
+        return apply
+
+    seen = map_texts(named, make, "node long, n long, bands array<bigint>", ["__d", "__t"])
+    nodes = cut(seen.groupBy("node").agg(F.min(F.struct("__d", "__t")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+
+    # candidates: all that share a band with the smallest node of it hang together
+    banded = nodes.select("node", "n", F.explode("bands").alias("group"))
+    least = banded.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    hung = banded.join(least, "group").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    loose = cut(with_roots(components(hung)))
+
+    # the texts of those are compared; a group that would be dealt into more blocks than there are bands goes by its bands
+    whole = pair_tasks(loose.join(nodes.select("node", "n"), "node").select(F.col("root").alias("group"), "node", "n"), shard_limit)
+    large = whole.filter(F.col("parts") > bands + 1).select("node").distinct()
+    by_band = pair_tasks(banded.join(large, "node").select("group", "node", "n"), shard_limit)
+    tasks = whole.filter(F.col("parts") <= bands + 1).withColumn("by_band", F.lit(False)).union(by_band.withColumn("by_band", F.lit(True)))
+
+    def make_sets():
+        return lambda texts: {"shingles": pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], pa.list_(pa.int64()))}
+
+    asked = loose.join(nodes, "node").select("node", "row.*")
+    texts = named.select("__d", "__t", "text").join(asked, ["__d", "__t"]).dropDuplicates(["__d", "__t"])
+    sets = map_texts(texts, make_sets, "shingles array<bigint>", ["node"])
+    found = with_roots(components(verified(tasks, sets, share)))
+
+    first = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row")).select("row.*")
+    kept = named.join(first, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"])
     return kept.select(*docs.columns)
 
 

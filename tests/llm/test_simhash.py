@@ -132,3 +132,42 @@ def test_one_of_each_group_stays(spark):
         ids = [r.doc_id for r in kept.collect()]
         assert len(ids) == len(set(ids)) == 41
         assert set(ids) == {min(v) for g, v in groups.items() if g} | {None, 500}
+
+
+def at_similarity(rng, shared, apart):
+    """Two word lists whose sets of single words share `shared` and differ in `apart` words."""
+    words = rng.choice(10**9, shared + apart, replace=False)
+    return words[:shared + apart // 2], np.concatenate([words[:shared], words[shared + apart // 2 :]])
+
+
+def test_bands_find_pairs_at_the_similarity_at_any_number_of_texts():
+    rng, lost = np.random.default_rng(5), 0
+    for _ in range(400):
+        a, b = (np.unique(S.shingle_hashes(" ".join(map(str, w)), 1)) for w in at_similarity(rng, 160, 40))
+        lost += not np.intersect1d(S.band_values(a, 32, 6), S.band_values(b, 32, 6)).size  # keys hold nothing of the corpus
+    assert lost <= 1
+    assert S.band_values(np.empty(0, np.uint64), 32, 6).size == 0
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_only_similar_texts_are_dropped(spark, limit):
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(40):
+        for shared, apart in ((160, 40), (160, 44), (150, 50), (300, 60)):  # 0.80, 0.78, 0.75, 0.83
+            rows += [" ".join(map(str, w)) for w in at_similarity(rng, shared, apart)]
+    for tail in range(6):  # mostly one phrase: SimHash has one fingerprint for all of them
+        rows.append("again and " * 300 + " ".join(map(str, rng.choice(10**9, 30))))
+    sets = [set(r.split()) if len(r.split()) < 600 else set(zip(r.split())) for r in rows]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in S.keep_one_of_each(docs, width=1, shard_limit=limit).collect())
+    dropped = [b for a in range(len(rows)) for b in range(a + 1, len(rows)) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert kept == sorted(set(range(len(rows))) - set(dropped))
+    assert len(dropped) == 80
+
+
+def test_rows_of_one_id_with_different_texts_stay_apart(spark):
+    words = [" ".join(f"{g}w{i}" for i in range(100)) for g in range(3)]
+    rows = [(1, words[0]), (1, words[1]), (0, words[0] + " end"), (1, words[2])]
+    kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[1], rows[2], rows[3]])
