@@ -3,7 +3,7 @@
 Words are hashed to embedding rows; filters of several widths slide over the
 word sequence, each keeps its largest response over the whole text, and a
 logistic layer weighs the responses.  The fit uses a bounded sample of labelled
-rows; every text is scored whole.
+rows, the thresholds all that were set aside for them; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed, map_texts, table
@@ -22,6 +22,8 @@ from .common import keyed, map_texts, table
 WORDS = re.compile(r"\w+").findall
 #: score from which a document counts as toxic where no threshold was calibrated
 DEFAULT_THRESHOLD = 0.3
+#: scores that can become a language's threshold
+STEPS = np.linspace(0.05, 0.95, 91)
 
 
 @dataclass(frozen=True)
@@ -35,9 +37,8 @@ class Params:
     epochs: int = 5
     rate: float = 0.05
     batch: int = 32
-    #: labelled rows of each class used for the fit, and for the thresholds
+    #: labelled rows of each class used for the fit
     fit_rows: int = 3000
-    calibration_rows: int = 1000
 
 
 class Buckets(dict):
@@ -164,27 +165,33 @@ class TextCnn:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list, dict[int, int]]:
-    """The bounded sample: (label, fold, lang, embedding rows) of up to
-    2 * (fit_rows + calibration_rows) documents, chosen by a hash of doc_id;
-    and how many rows each class has among all that may be learned from."""
-    fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    known = (
+def fold(doc_id: str = "doc_id") -> Column:
+    """0 and 1 are fitted on, 2 is held out, 3 is for the thresholds."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4
+
+
+def known(labels: DataFrame) -> DataFrame:
+    """doc_id and label of all rows that may be learned from."""
+    return (
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("label"))
-        .filter(fold != 2)
-        .withColumn("fold", F.when(fold == 3, 1).otherwise(0))
+        .filter(fold() != 2)
     )
-    parts = [
-        known.filter((F.col("label") == label) & (F.col("fold") == f)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        for label in (0, 1)
-        for f, rows in ((0, p.fit_rows), (1, p.calibration_rows))
-    ]
-    chosen = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most the sample's size
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list, dict[int, int]]:
+    """The bounded sample: (label, lang, embedding rows) of up to 2 * fit_rows
+    documents, chosen by a hash of doc_id; and how many rows each class has among
+    all that may be learned from."""
+    all_ = known(labels)
+    parts = [all_.filter((F.col("label") == label) & (fold() != 3)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.fit_rows) for label in (0, 1)]
+    rows = texts_of(docs).join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most the sample's size
 
     def make():
         buckets = Buckets(p.buckets)
@@ -194,44 +201,58 @@ def labelled(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list, dict[
 
         return apply
 
-    out = map_texts(rows, make, "rows array<int>", ["doc_id", "label", "fold", "lang"]).toArrow().to_pylist()
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    out = map_texts(rows, make, "rows array<int>", ["doc_id", "label", "lang"]).toArrow().to_pylist()
+    counts = {r["label"]: r["count"] for r in all_.groupBy("label").count().collect()}
     return sorted(out, key=lambda r: (r["doc_id"], r["lang"] or "", len(r["rows"]))), counts
 
 
-def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[TextCnn, dict[str, float]]:
-    """The model and a threshold for each language of the calibration rows.
-
-    The threshold of a language is the score with the best F1 there; languages
-    with fewer than 20 rows of either class keep DEFAULT_THRESHOLD.
-    """
-    rows, counts = labelled(docs, labels, p)
-    sample = [(r["label"], r["fold"], r["lang"], np.array(r["rows"], np.int32)) for r in rows]
-    fit = [r for r in sample if r[1] == 0]
-    y = np.array([r[0] for r in fit], np.float32)
+def fitted(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> TextCnn:
+    """The model of the bounded sample."""
+    sample, counts = labelled(docs, labels, p)
+    y = np.array([r["label"] for r in sample], np.float32)
     model = TextCnn(p)
     if 0 < y.sum() < len(y):
-        model.fit([r[3] for r in fit], y)
+        model.fit([np.array(r["rows"], np.int32) for r in sample], y)
         # the sample has more of the rarer class than the labels have
         model.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     else:  # nothing to learn from: every text gets the score of the one class, or 0.5
         model.v[:] = 0
         model.c = np.float32(0 if not len(y) else 4 if y[0] else -4)
+    return model
+
+
+def calibrated(docs: DataFrame, labels: DataFrame, model: TextCnn) -> dict[str, float]:
+    """A threshold for each language: the score with the best F1 over all its labelled
+    rows of the fold for that; languages with fewer than 20 rows of either class have none.
+
+    The rows are joined with their labels by shuffle and scored in tasks; what comes
+    back is a count for each language, label and step of the score.
+    """
+    rows = texts_of(docs).filter((fold() == 3) & F.col("lang").isNotNull()).join(known(labels), "doc_id")
+    step = F.lit(0)
+    for at in STEPS.tolist():
+        step = step + (F.col("score") >= at).cast("int")
+    counts = score_documents(rows, model, ["lang", "label"]).groupBy("lang", "label", step.alias("step")).count()
+    kept = [F.coalesce(F.sum(F.when(F.col("label") == label, F.col("count"))), F.lit(0)) >= 20 for label in (0, 1)]
+    found = counts.groupBy("lang").agg(F.collect_list(F.struct("label", "step", "count")).alias("steps"), (kept[0] & kept[1]).alias("enough"))
     thresholds = {}
-    rest = [r for r in sample if r[1] == 1]
-    score = model.scores([r[3] for r in rest]) if rest else np.empty(0)
-    for lang in sorted({r[2] for r in rest if r[2]}):
-        own = np.array([r[2] == lang for r in rest])
-        truth, s = np.array([r[0] for r in rest])[own], score[own]
-        if min(truth.sum(), (1 - truth).sum()) < 20:
-            continue
-        at = np.linspace(0.05, 0.95, 91)
-        hit = s[None, :] >= at[:, None]
-        right = (hit & (truth == 1)).sum(1)
-        f1 = 2 * right / np.maximum(1, hit.sum(1) + truth.sum())
+    for r in found.filter("enough").orderBy("lang").collect():
+        hits = np.zeros((2, len(STEPS) + 1), np.int64)
+        for x in r["steps"]:
+            hits[x["label"], x["step"]] += x["count"]
+        hits = hits[:, ::-1].cumsum(axis=1)[:, ::-1]  # in column k: rows that reach k steps or more
+        right, hit = hits[1, 1:], hits[:, 1:].sum(0)
+        f1 = 2 * right / np.maximum(1, hit + hits[1, 0])
         best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-        thresholds[lang] = float(at[best[len(best) // 2]])
-    return model, thresholds
+        thresholds[r["lang"]] = float(STEPS[best[len(best) // 2]])
+    return thresholds
+
+
+def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[TextCnn, dict[str, float]]:
+    """The model and a threshold for each language that has labels enough; the others
+    keep DEFAULT_THRESHOLD."""
+    model = fitted(docs, labels, p)
+    return model, calibrated(docs, labels, model)
 
 
 def score_documents(docs: DataFrame, model: TextCnn, keep: list[str] | None = None, column: str = "score") -> DataFrame:
@@ -278,8 +299,8 @@ def flags(thresholds: dict[str, float], score: str = "score", lang: str = "lang"
 
 def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, _ = train(docs, table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = fitted(docs, table(spark, sf_dir, "labels"))
+    held_out = fold() == 2
     return score_documents(docs, model).select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),

@@ -47,3 +47,28 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.keep_clean(docs, labels).count() in (0, 3)
     assert {r["score"] for r in T.toxic_documents(docs, labels).collect()} == {0.5}
+
+
+def test_thresholds_cover_all_labelled_rows(spark):
+    """A language with few clean rows among thousands has its own, and the mix of classes is the real one."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(16000):
+        lang = "de" if i % 40 == 0 else "en"
+        toxic = rng.random() < (0.5 if lang == "de" else 0.11)
+        words = rng.choices([f"word{k}" for k in range(50)], k=6) + rng.choices(["snarl", "grumble", "hiss"], k=rng.choice([1, 2, 3] if toxic else [0, 0, 0, 1, 2]))
+        rows.append((i, " ".join(words), lang, int(toxic)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model, thresholds = T.train(docs, labels)
+    assert set(thresholds) == {"en", "de"}
+    buckets = T.Buckets(model.p.buckets)
+    for lang in ("en", "de"):
+        own = [r for r in rows if r[2] == lang and zlib.crc32(str(r[0]).encode()) % 4 == 3]
+        score, truth = model.scores([T.word_rows(r[1], buckets) for r in own]), [r[3] for r in own]
+
+        def f1(at):
+            hit = score >= at
+            return 2 * sum(t for h, t in zip(hit, truth) if h) / (sum(hit) + sum(truth))
+
+        assert f1(thresholds[lang]) >= max(map(f1, T.STEPS)) - 0.002
