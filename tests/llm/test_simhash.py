@@ -171,3 +171,10 @@ def test_rows_of_one_id_with_different_texts_stay_apart(spark):
     rows = [(1, words[0]), (1, words[1]), (0, words[0] + " end"), (1, words[2])]
     kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[1], rows[2], rows[3]])
+
+
+def test_a_large_group_goes_by_its_bands(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(40)] + [(50, "something else of its own")]
+    kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), shard_limit=2)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 50]
