@@ -13,7 +13,9 @@ import json
 import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, table
@@ -23,6 +25,8 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 
 #: bytes of a fragment from which its pairs are kept in a heap
 LONG = 200
+#: characters of a text whose words are listed at once
+PART = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -36,26 +40,40 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class FragmentCache(dict):
-    """fragment -> its token ids; filled on first use, emptied when full."""
+class Cache(dict):
+    """key -> encode(key), filled on first use and bounded by bytes.
 
-    def __init__(self, encode, limit: int):
+    It has two generations of up to limit / 2 bytes each: when the younger is full it
+    becomes the older, and what nobody asked for meanwhile goes.  Keys above `longest`
+    bytes are not kept, so what it holds never depends on the texts.
+    """
+
+    def __init__(self, encode, limit: int, longest: int = 64):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.longest, self.held, self.older = encode, limit // 2, longest, 0, {}
 
     def __missing__(self, key):
-        value = self.encode(key)
-        if len(key) <= 64:  # longer runs are not worth keeping
-            if len(self) >= self.limit:
+        value = self.older.get(key)
+        if value is None:
+            value = self.encode(key)
+        raw = key[0] if isinstance(key, tuple) else key
+        if len(raw) <= self.longest:
+            self.held += 200 + 4 * len(raw) + 8 * len(value)  # the entry, its key and the ids
+            if self.held > self.limit:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[key] = value
         return value
 
 
 class Bpe:
-    """Encoder and decoder for one vocabulary file of the word-end BPE kind."""
+    """Encoder and decoder for one vocabulary file of the word-end BPE kind.
+
+    What it holds for good is the vocabulary; words and fragments are kept by encoder(),
+    for one task.
+    """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -79,8 +97,8 @@ class Bpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.first = [self.vocab.get(s) for s in symbols]
         self.last = [self.vocab.get(s + self.end) for s in symbols]
-        self.fragments = FragmentCache(self._merge, cache // 4)
-        self.cache = FragmentCache(self._word, cache)
+        #: ids as they are written
+        self.decimal = [str(i) for i in range(max(self.tokens, default=-1) + 1)]
 
     def _pairs_inside(self, symbols: list[str]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
         number = {s: b for b, s in enumerate(symbols)}
@@ -146,37 +164,56 @@ class Bpe:
                 heappush(heap, (rank, h))
         return tuple(i for i in ids if i is not None)
 
-    def _word(self, word: str) -> tuple[str, str, int]:
-        ids = [i for f in self.fragments_of(word.encode()) for i in self.fragments[f]]
-        return " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids)
-
-    def pieces(self, text: str) -> list[tuple[str, str, int]]:
-        """(ids, tokens, count) of each word and special token of a text."""
-        out: list[tuple[str, str, int]] = []
-        for k, part in enumerate(self.split(text) if self.split else [text]):
-            if k % 2:
-                out.append((str(self.special[part]), part, 1))
-            elif part:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += map(self.cache.__getitem__, self.words(part))
-        return out
+    def encoder(self, cache_bytes: int = 64 << 20):
+        """A function from a text to its ids, with caches of its own."""
+        fragments = Cache(self._merge, cache_bytes // 4)
+
+        def word(text: str) -> tuple[int, ...]:
+            cuts = self.fragments_of(text.encode())
+            return fragments[cuts[0]] if len(cuts) == 1 else tuple([i for f in cuts for i in fragments[f]])
+
+        words = Cache(word, cache_bytes)
+
+        def encode(text: str) -> list[int]:
+            out: list[int] = []
+            for k, part in enumerate(self.split(text) if self.split else [text]):
+                if k % 2:
+                    out.append(self.special[part])
+                elif part:
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                    for at in range(0, len(part), PART):  # so that the list of words stays small
+                        at, end = self._space(part, at), self._space(part, at + PART)
+                        out += chain.from_iterable(map(words.__getitem__, self.words(part, at, end)))
+            return out
+
+        return encode
+
+    @staticmethod
+    def _space(text: str, at: int) -> int:
+        """The first place from `at` on where no word goes on: a space, or the end."""
+        at = min(at, len(text))
+        if at == 0 or at == len(text):
+            return at
+        found = text.find(" ", at)
+        return len(text) if found < 0 else found
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, n in self.pieces(text) if n for i in ids.split(" ")]
+        return self.encoder()(text)
 
     def decode(self, ids: list[int]) -> str:
-        """The file names no decoder, so tokens are joined by one space."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        """The file names no decoder, so tokens are joined by one space; ids that are
+        not in the vocabulary have no token."""
+        return " ".join(filter(None, map(self.tokens.get, ids)))
 
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
-    """One encoder per Python worker, reused by its later tasks."""
+    """One vocabulary per Python worker, reused by its later tasks."""
     return Bpe(path)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
-    """Token ids of every whole text, and the decoded text.
+    """Token ids of every whole text, and the text decoded from them.
 
     Columns: `keep` (default doc_id), n_tokens, ids (array<int>), decoded.
     A null text counts as empty: no tokens, empty decoded text.  Repeated rows
@@ -185,44 +222,42 @@ def encode_documents(docs: DataFrame, vocabulary: str, keep: list[str] | None =
 
     def make():
         bpe = load(vocabulary)
+        encode = bpe.encoder()
 
         def apply(texts):
-            ids = [bpe.encode(t) for t in texts]
-            return {"n_tokens": [len(i) for i in ids], "ids": ids, "decoded": [bpe.decode(i) for i in ids]}
-
-        return apply
-
-    import pyarrow as pa
-
-    def typed():
-        inner = make()
-
-        def apply(texts):
-            out = inner(texts)
-            return {**out, "ids": pa.array(out["ids"], pa.list_(pa.int32())), "decoded": pa.array(out["decoded"], pa.string())}
+            ids = [encode(t) for t in texts]
+            return {
+                "n_tokens": [len(i) for i in ids],
+                "ids": pa.array(ids, pa.list_(pa.int32())),
+                "decoded": pa.array([bpe.decode(i) for i in ids], pa.string()),
+            }
 
         return apply
 
-    return map_texts(docs, typed, "n_tokens long, ids array<int>, decoded string", keep)
+    return map_texts(docs, make, "n_tokens long, ids array<int>, decoded string", keep)
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
     """As encode_documents, with digests instead of the ids and the decoded text.
 
     ids_sha256 is over the decimal ids joined by one space; decoded_sha256 over
-    the decoded text in UTF-8.  The text is decoded from the ids' own tokens.
+    the text that decode() makes of those ids, in UTF-8.
     """
 
     def make():
         bpe = load(vocabulary)
+        encode, decimal = bpe.encoder(), bpe.decimal
+
+        def digest(text: str) -> str:
+            return hashlib.sha256(text.encode()).hexdigest()
 
         def apply(texts):
             n, a, b = [], [], []
             for text in texts:
-                parts = bpe.pieces(text)
-                n.append(sum([p[2] for p in parts]))
-                a.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
-                b.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
+                ids = encode(text)
+                n.append(len(ids))
+                a.append(digest(" ".join(map(decimal.__getitem__, ids))))
+                b.append(digest(bpe.decode(ids)))
             return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
         return apply
@@ -237,4 +272,5 @@ def default_vocabulary() -> str:
 
 
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the columns of digest_documents()."""
     return digest_documents(table(spark, sf_dir, "documents"), default_vocabulary())

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: stands for a missing doc_id in keys: smaller than every real id
 NULL_ID = -(2**63)
@@ -20,27 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the
-    session names; a folder of our own only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "rankvane-checkpoints"))
-    return df.checkpoint(eager=True)
+def quoted(name: str) -> str:
+    """A column's name for select() and expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def release(session: SparkSession) -> None:
-    """Shuffle files of finished stages go once nothing refers to them; have that found out
-    now.  The first collection lets go of the plans, the second of what they held."""
-    for _ in range(2):
-        gc.collect()
-        session.sparkContext._jvm.System.gc()
-        time.sleep(1)
+def column(name: str) -> Column:
+    return F.col(quoted(name))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder that the session
+    names.  Where it names none: a temporary folder on a local master, else one in the
+    warehouse, which driver and executors share."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints"))
+    return df.checkpoint(eager=True)
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,6 +55,21 @@ def id_back(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
+def text_slices(texts: pa.Array, limit: int) -> Iterator[slice]:
+    """Neighbouring rows of an Arrow column with up to `limit` bytes together, one row at least."""
+    import pyarrow.compute
+
+    lengths = pyarrow.compute.fill_null(pyarrow.compute.binary_length(texts), 0).to_pylist()
+    at, size = 0, 0
+    for i, n in enumerate(lengths):
+        if i > at and size + n > limit:
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if at < len(lengths):
+        yield slice(at, len(lengths))
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list], dict[str, list]]],
@@ -64,33 +78,26 @@ def map_texts(
     text: str = "text",
     slice_chars: int = 4_000_000,
 ) -> DataFrame:
-    """Run a function over whole texts in bounded slices of each Arrow batch.
+    """Run a function over whole texts in slices of each Arrow batch that are bounded by bytes.
 
     `make()` is called once a task and returns a function from a list of texts
     (null: empty) to a dict of columns.  The columns in `keep` pass through.
     """
     keep = keep if keep is not None else ["doc_id"]
-    names = [f.split()[0] for f in schema.split(", ")]
-    typed = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + [schema])
+    made_fields = StructType.fromDDL(schema).fields
+    names = [f.name for f in made_fields]
+    own = keep.index(text) if text in keep and docs.schema[text].dataType.simpleString() == "string" else len(keep)
+    typed = StructType([docs.schema[c] for c in keep] + made_fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            at = 0
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(len(keep))), 0).to_pylist()
-            while at < batch.num_rows:
-                end, size = at, 0
-                while end < batch.num_rows and (end == at or size + lengths[end] <= slice_chars):
-                    size += lengths[end]
-                    end += 1
-                part = batch.slice(at, end - at)
-                texts = [x or "" for x in part.column(len(keep)).to_pylist()]
-                made = apply(texts)
+            for part in text_slices(batch.column(own), slice_chars):
+                rows = batch.slice(part.start, part.stop - part.start)
+                made = apply([x or "" for x in rows.column(own).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], *(pa.array(made[n]) for n in names)], names=[*keep, *names]
+                    [*rows.columns[: len(keep)], *(pa.array(made[n]) for n in names)], names=[*keep, *names]
                 )
-                at = end
-
-    import pyarrow.compute  # noqa: F401
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, typed)
+    more = [column(text).cast("string").alias("__text")] if own == len(keep) else []
+    return docs.select(*map(column, keep), *more).mapInArrow(run, typed)

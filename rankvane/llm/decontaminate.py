@@ -1,10 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A seed is a fixed mask over neighbouring words: the words under its ones are
-hashed, those under its zeros may differ.  Seeds of the texts are looked up
-among the benchmark's seeds; each hit gives an alignment, and the words around
-the hit are compared one by one, so that overlaps with substituted words are
-found and measured.
+hashed, those under its zeros may differ.  Seeds of the texts are joined with
+the benchmark's seeds; each hit gives an alignment, and the words around the hit
+are compared one by one, so that overlaps with substituted words are found and
+measured.
+
+Nothing of the benchmark is gathered in one place.  Most text seeds are in no
+item and don't reach the shuffle: a bitmap of the benchmark's seeds, of at most
+MOST_BITS bits whatever its size, rules them out in the tasks that read the
+texts.  A benchmark too large for it only lets more seeds through.
 """
 
 from __future__ import annotations
@@ -17,14 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import NULL_ID, column, cut, table, text_slices
 
 WORDS = re.compile(r"\w+").findall
 #: whichever two words of twelve are replaced, one of these masks still fits at some place
 MASKS = ("11101011", "110110011", "100110111")
 #: the same for items of 8 to 11 words, which are compared whole
 SHORT_MASKS = ("11111", "110111", "11001011")
+#: bits of the largest bitmap of seeds (16 MB) and of the smallest
+MOST_BITS, LEAST_BITS = 27, 16
+#: bytes of text that are worked on at once
+SLICE = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: (doc_id, hash of the text): rows that share both are one document
+KEY = ["__d", "__t"]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,99 +50,217 @@ def covers(masks: tuple[str, ...], window: int, substitutions: int) -> bool:
     return all(any(not p & sum(1 << b for b in bad) for p in places) for bad in combinations(range(window), substitutions))
 
 
-def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
-    """A hash at each place where the mask fits, 0 where a word under it is unknown (0)."""
+def checked(window: int = 12, share: float = 0.8, min_words: int = 8, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS) -> None:
+    for n in range(min(min_words, window), window + 1):
+        gone = int(n * (1 - share) + 1e-9)
+        if not covers(masks if n == window else short_masks, n, gone):
+            raise ValueError(f"the masks can miss windows of {n} words with {gone} substitutions")
+
+
+class WordHashes(dict):
+    """word -> XXH64 of it; emptied when full."""
+
+    def __init__(self, limit: int = 100_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word):
+        import xxhash
+
+        if len(self) >= self.limit:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+    def of(self, text: str) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def seed_hashes(ids: np.ndarray, mask: str, salt: int) -> np.ndarray:
+    """A hash of the words under the mask at each place where it fits."""
     n = len(ids) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, whole = np.full(n, len(mask), np.uint64), np.ones(n, bool)
+    out, factor = np.full(n, salt, np.uint64), 1
     for i, c in enumerate(mask):
         if c == "1":
-            part = ids[i : i + n]
-            out = (out ^ part.astype(np.uint64)) * _PRIME
-            out ^= out >> np.uint64(29)
-            whole &= part > 0
-    return np.where(whole, out | np.uint64(1), np.uint64(0))
-
-
-class Block:
-    """Some benchmark items with their word numbers and sorted seeds."""
-
-    def __init__(self, items: list[tuple[str, list[str]]], masks: tuple[str, ...], short_masks: tuple[str, ...], window: int, share: float):
-        self.names = [name for name, _ in items]
-        self.vocab: dict[str, int] = {}
-        self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int32) for _, ws in items]
-        self.masks, self.window, self.share = (*masks, *short_masks), window, share
-        self.seeds = []
-        for k, mask in enumerate(self.masks):
-            short = k >= len(masks)
-            h = [seed_hashes(x, mask) if (len(x) < window) == short else np.empty(0, np.uint64) for x in self.items]
-            item = np.repeat(np.arange(len(h)), [len(x) for x in h])
-            at = np.concatenate([np.arange(len(x)) for x in h]) if h else np.empty(0, np.int64)
-            h = np.concatenate(h) if h else np.empty(0, np.uint64)
-            order = np.argsort(h, kind="stable")
-            self.seeds.append((h[order], item[order], at[order]))
-
-    def overlap(self, ids: np.ndarray, item: int, shift: int) -> int:
-        """Longest stretch of the item, aligned at ids[shift:], in which every window has
-        enough equal words; 0 if no window has."""
-        own = self.items[item]
-        a, b = max(0, -shift), min(len(own), len(ids) - shift)
-        w = min(self.window, len(own))
-        if b - a < w:
-            return 0
-        equal = (own[a:b] == ids[a + shift : b + shift]).cumsum()
-        equal = np.concatenate([[0], equal])
-        good = np.concatenate([[False], equal[w:] - equal[:-w] >= self.share * w - 1e-9, [False]])
-        edges = np.flatnonzero(good[1:] != good[:-1])
-        return int((edges[1::2] - edges[::2]).max() + w - 1) if len(edges) else 0
-
-    def find(self, texts: list[str]) -> list[dict[int, int]]:
-        """For each text the items that overlap with it, and by how many words."""
-        get = self.vocab.get
-        gap = max(map(len, self.masks))
-        parts = [np.array([get(w, 0) for w in WORDS(t.lower())], np.int32) for t in texts]
-        starts = np.cumsum([0] + [len(p) + gap for p in parts])
-        ids = np.zeros(starts[-1], np.int32)
-        for p, s in zip(parts, starts):
-            ids[s : s + len(p)] = p
-        out: list[dict[int, int]] = [{} for _ in texts]
-        tried = set()
-        for mask, (seeds, item, at) in zip(self.masks, self.seeds):
-            h = seed_hashes(ids, mask)
-            some = np.flatnonzero(h)
-            lo = np.searchsorted(seeds, h[some], "left")
-            hi = np.searchsorted(seeds, h[some], "right")
-            for place, a, b in zip(some[hi > lo], lo[hi > lo], hi[hi > lo]):
-                doc = int(np.searchsorted(starts, place, "right")) - 1
-                for k in range(a, b):
-                    key = (doc, int(item[k]), int(place - starts[doc] - at[k]))
-                    if key not in tried:
-                        tried.add(key)
-                        n = self.overlap(parts[doc], key[1], key[2])
-                        if n > out[doc].get(key[1], 0):
-                            out[doc][key[1]] = n
-        return out
-
-
-def blocks_of(benchmark: DataFrame, min_words: int, block_words: int):
-    """Lists of (item, words) with at most block_words words each (one item at least)."""
-    items, size = [], 0
-    rows = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    for row in rows.orderBy("item", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if len(words) < min_words:
-            continue
-        if items and size + len(words) > block_words:
-            yield items
-            items, size = [], 0
-        items.append((row["item"] or "", words))
-        size += len(words)
-    if items:
-        yield items
-
-
-def overlaps(
+            factor = factor * int(_PRIME) % 2**64
+            out += ids[i : i + n] * np.uint64(factor)
+    out ^= out >> np.uint64(31)
+    return out * _PRIME
+
+
+def _bit(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)) if probe == 0 else (h >> np.uint64(5)) & np.uint64((1 << bits) - 1)
+
+
+def stretch(own: np.ndarray, ids: np.ndarray, shift: int, window: int, share: float) -> int:
+    """Words of the longest stretch of an item, aligned at ids[shift:], in which every
+    window has enough equal words; 0 if no window has."""
+    a, b = max(0, -shift), min(len(own), len(ids) - shift)
+    w = min(window, len(own))
+    if b - a < w:
+        return 0
+    equal = np.concatenate([[0], (own[a:b] == ids[a + shift : b + shift]).cumsum()])
+    good = np.concatenate([[False], equal[w:] - equal[:-w] >= share * w - 1e-9, [False]])
+    edges = np.flatnonzero(good[1:] != good[:-1])
+    return int((edges[1::2] - edges[::2]).max() + w - 1) if len(edges) else 0
+
+
+def _item_seeds(benchmark: DataFrame, min_words: int, masks, short_masks, window: int) -> DataFrame:
+    """(seed, item, name, at: places of the seed in the item, words: hashes of all its words)."""
+    items = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1)):
+                ids = hashes.of(text.as_py())
+                if len(ids) < min_words:
+                    continue
+                own = masks if len(ids) >= window else short_masks
+                seeds, places = _grouped([seed_hashes(ids, m, (*masks, *short_masks).index(m)) for m in own])
+                n = len(seeds)
+                words = pa.array([ids.view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seeds.view(np.int64)), pa.array([name.as_py()] * n, pa.string()), places, words.take(pa.array(np.zeros(n, np.int32)))],
+                    names=["seed", "name", "at", "words"],
+                )
+
+    made = items.distinct().mapInArrow(run, "seed long, name string, at array<int>, words array<bigint>")
+    return made.withColumn("item", F.xxhash64("name", "words"))
+
+
+def _grouped(found: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """(distinct seeds, the places of each)."""
+    seeds, at = np.concatenate(found), np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
+    order = np.argsort(seeds, kind="stable")
+    seeds, at = seeds[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]])) if len(seeds) else np.empty(0, np.int64)
+    return seeds[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(seeds)).astype(np.int32)), pa.array(at))
+
+
+def _bitmap(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bitmap of two bits for each seed); what comes back has 2 ** MOST_BITS bits at most."""
+    n = seeds.agg(F.approx_count_distinct("seed")).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    at = [F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned("seed", 5).bitwiseAND(F.lit((1 << bits) - 1))]
+    both = seeds.select(F.explode(F.array(*at)).alias("at"))
+    words = both.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
+    found = words.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
+    return bits, out
+
+
+def _text_seeds(docs: DataFrame, bits: int, bitmap: np.ndarray, masks: tuple[str, ...], window: int) -> DataFrame:
+    """For each stretch of a text in which seeds pass the bitmap, with `window` - 1 words on
+    both sides: key, start, words (hashes) and seeds: array of (seed, places)."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    schema = "__d long, __t long, start int, words array<bigint>, seeds array<struct<seed:bigint,places:array<int>>>"
+    pad, longest = window - 1, max(map(len, masks))
+
+    def run(batches):
+        bitmap, hashes = shared.value, WordHashes()
+        for batch in batches:
+            for part in text_slices(batch.column(2), SLICE):
+                parts = [hashes.of(text.as_py() or "") for text in batch.column(2)[part]]
+                gap = np.zeros(longest, np.uint64)  # no window of a text reaches into the next one
+                ids = np.concatenate([x for p in parts for x in (p, gap)])
+                starts = np.cumsum([0] + [len(p) + longest for p in parts])
+                place, seed = [], []
+                for k, mask in enumerate(masks):
+                    h = seed_hashes(ids, mask, k)
+                    b = _bit(h, bits, 0)
+                    some = np.flatnonzero(bitmap[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1))
+                    b = _bit(h[some], bits, 1)
+                    some = some[(bitmap[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                    doc = np.searchsorted(starts, some, "right") - 1
+                    some = some[some + len(mask) <= starts[doc + 1] - longest]
+                    place.append(some)
+                    seed.append(h[some])
+                place, seed = np.concatenate(place), np.concatenate(seed)
+                if not len(place):
+                    continue
+                order = np.argsort(place, kind="stable")
+                place, seed = place[order], seed[order]
+                doc = np.searchsorted(starts, place, "right") - 1
+                low = np.maximum(place - pad, starts[doc])
+                high = np.minimum(place + longest + pad, starts[doc + 1] - longest)
+                new = np.ones(len(place), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (low[1:] >= np.maximum.accumulate(high)[:-1])
+                cuts = np.append(np.flatnonzero(new), len(place))
+                rows = []
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    at, first = low[a], starts[doc[a]]
+                    got, where = _grouped_at(seed[a:b], place[a:b] - at)
+                    rows.append((part.start + doc[a], int(at - first), ids[at : high[a:b].max()].view(np.int64), got, where))
+                yield _segments(batch, rows)
+
+    return docs.select(*KEY, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _grouped_at(seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    order = np.argsort(seeds, kind="stable")
+    seeds, at = seeds[order], at[order].astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]]))
+    return seeds[first], np.split(at, first[1:])
+
+
+def _segments(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+    seeds = np.concatenate([r[3] for r in rows]).view(np.int64)
+    places = pa.array([p for r in rows for p in r[4]], pa.list_(pa.int32()))
+    pairs = pa.StructArray.from_arrays([pa.array(seeds), places], names=["seed", "places"])
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32))
+    doc = pa.array([int(r[0]) for r in rows])
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0).take(doc),
+            batch.column(1).take(doc),
+            pa.array([r[1] for r in rows], pa.int32()),
+            pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+            pa.ListArray.from_arrays(offsets, pairs),
+        ],
+        names=[*KEY, "start", "words", "seeds"],
+    )
+
+
+def shifts_of(hits, most: int = 4_000_000) -> np.ndarray:
+    """The distinct differences of places, taken in blocks of `most` pairs."""
+    found = []
+    for places, at in hits:
+        step = max(1, most // max(1, len(at)))
+        for k in range(0, len(places), step):
+            found.append(np.unique(places[k : k + step, None] - at))
+    return np.unique(np.concatenate(found))
+
+
+def _compared(pairs: DataFrame, window: int, share: float) -> DataFrame:
+    """(key, name, n): words of the longest overlap of each stretch with each item that it shares seeds with."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                words, own = (batch.column(k)[i].values.to_numpy() for k in (3, 4))
+                hits = batch.column(5)[i].values
+                places, ats = (hits.field(k) for k in (0, 1))
+                shifts = shifts_of((p.values.to_numpy(), a.values.to_numpy()) for p, a in zip(places, ats))
+                out.append(max(stretch(own, words, int(s), window, share) for s in shifts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], names=[*KEY, "name", "n"])
+
+    return pairs.select(*KEY, "name", "words", "own", "hits").mapInArrow(run, "__d long, __t long, name string, n int").filter("n > 0")
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__t": F.xxhash64(text)})
+
+
+def overlap_lengths(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 12,
@@ -139,65 +268,65 @@ def overlaps(
     min_words: int = 8,
     masks: tuple[str, ...] = MASKS,
     short_masks: tuple[str, ...] = SHORT_MASKS,
-    block_words: int = 2_000_000,
 ) -> DataFrame:
-    """All rows and columns of docs with __hits: map from item_id to the words of the longest overlap.
+    """(__d, __t, name, n): for each document of with_key() and each item that overlaps
+    with it the words of the longest overlap.
 
     An item overlaps a text if, aligned word by word at some place, some `window`
     neighbouring words (the whole item if it is shorter) have at least `share` of
-    them equal; case and all but word characters are ignored.  Items of fewer
-    than `min_words` words are too short to tell a leak.  Null texts and items
-    have no words.  Benchmarks of any size are taken in blocks of at most
-    `block_words` words, each of which all rows of docs pass through.
+    them equal; case and all but word characters are ignored, and words are
+    compared by 64-bit hashes.  Items of fewer than `min_words` words are too short
+    to tell a leak.  Null texts and items have no words.  Items that share an id
+    count as one; a null id is the empty one.
     """
-    for n in range(min(min_words, window), window + 1):
-        gone = int(n * (1 - share) + 1e-9)
-        if not covers(masks if n == window else short_masks, n, gone):
-            raise ValueError(f"the masks can miss windows of {n} words with {gone} substitutions")
-    session = docs.sparkSession
-    columns = [c for c in docs.columns if c != "text"]
-    out = docs.select(*columns, F.create_map().cast("map<string,int>").alias("__hits"), "text")
-    for items in blocks_of(benchmark, min_words, block_words):
-        shared = session.sparkContext.broadcast(Block(items, masks, short_masks, window, share))
-        schema = out.schema
-
-        def run(batches, shared=shared):
-            block = shared.value
-            for batch in batches:
-                texts = batch.column(batch.num_columns - 1)
-                hits = batch.column(batch.num_columns - 2).to_pylist()
-                found: list[dict[int, int]] = []
-                size, part = 0, []
-                for text in texts:
-                    text = text.as_py() or ""
-                    part.append(text)
-                    size += len(text)
-                    if size > 2_000_000:
-                        found += block.find(part)
-                        part, size = [], 0
-                found += block.find(part) if part else []
-                for i, new in enumerate(found):
-                    if new:
-                        hits[i] = sorted({**dict(hits[i] or []), **{block.names[k]: n for k, n in new.items()}}.items())
-                made = pa.array(hits, batch.schema.field(batch.num_columns - 2).type)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], made, texts], schema=batch.schema)
-
-        out = out.mapInArrow(run, schema)
-    return out.select(*docs.columns, "__hits")
+    checked(window, share, min_words, masks, short_masks)
+    items = cut(_item_seeds(benchmark, min_words, masks, short_masks, window))
+    segments = _text_seeds(docs, *_bitmap(items), (*masks, *short_masks), window)
+    one = segments.select(*KEY, "start", "words", F.explode("seeds").alias("s")).select(*KEY, "start", "words", "s.seed", "s.places")
+    hits = one.join(items.withColumnRenamed("words", "own"), "seed")
+    pairs = hits.groupBy(*KEY, "start", "item").agg(
+        F.first("name").alias("name"), F.first("words").alias("words"), F.first("own").alias("own"), F.collect_list(F.struct("places", "at")).alias("hits")
+    )
+    return _compared(pairs, window, share).groupBy(*KEY, "name").agg(F.max("n").alias("n"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """All rows and columns of docs with __hits: map from item_id to the words of the longest
+    overlap, empty for no overlap.  See overlap_lengths() for what counts and the options.
+
+    Rows that repeat an id and a text get the same result; a null id counts as one of its own.
+    """
+    checked(**options)
+    named = with_key(docs)
+    found = overlap_lengths(named, benchmark, **options)
+    maps = found.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n")))).alias("__hits"))
+    none = F.create_map().cast("map<string,int>")
+    return named.join(maps, KEY, "left").select(*map(column, docs.columns), F.coalesce("__hits", none).alias("__hits"))
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that no item overlaps with."""
+    named = with_key(docs)
+    found = overlap_lengths(named, benchmark, **options).select(*KEY).distinct()
+    return named.join(found, KEY, "left_anti").select(*map(column, docs.columns))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, n_items, items (sorted, comma-joined) and longest (words), for each row of docs."""
-    found = overlaps(docs.select("doc_id", "text"), benchmark, **options)
-    names = F.sort_array(F.map_keys("__hits"))
-    return found.select(
+    named = with_key(docs.select("doc_id", "text"))
+    found = overlap_lengths(named, benchmark, **options)
+    of = found.groupBy(*KEY).agg(
+        F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("items"), F.max("n").cast("long").alias("longest")
+    )
+    return named.select("doc_id", *KEY).join(of, KEY, "left").select(
         "doc_id",
-        (F.size("__hits") > 0).alias("contaminated"),
-        F.size("__hits").cast("long").alias("n_items"),
-        F.array_join(names, ",").alias("items"),
-        F.coalesce(F.array_max(F.map_values("__hits")), F.lit(0)).cast("long").alias("longest"),
+        F.col("n_items").isNotNull().alias("contaminated"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", F.lit("")).alias("items"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest"),
     )
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the columns of contaminated()."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

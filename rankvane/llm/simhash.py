@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, id_back, keyed, map_texts, table
+from .common import NULL_ID, column, cut, id_back, keyed, map_texts, table
 
 BITS = 64
 #: fingerprints in a tree node, and children of an upper node
@@ -59,18 +59,18 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: list[str] | None = None, column: str = "fp") -> DataFrame:
-    """Columns `keep` (default doc_id) and `column`, the fingerprint: a signed long, or an
-    array of them for several words."""
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """Columns `keep` (default doc_id) and fp, the fingerprint: a signed long, or an array
+    of them for several words."""
 
     def make():
         def apply(texts):
             fps = [fingerprint(shingle_hashes(t, width), words).view(np.int64) for t in texts]
-            return {column: np.concatenate(fps) if words == 1 else pa.array(fps, pa.list_(pa.int64()))}
+            return {"fp": np.concatenate(fps) if words == 1 else pa.array(fps, pa.list_(pa.int64()))}
 
         return apply
 
-    return map_texts(docs, make, f"{column} {'long' if words == 1 else 'array<bigint>'}", keep)
+    return map_texts(docs, make, f"fp {'long' if words == 1 else 'array<bigint>'}", keep)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -426,8 +426,9 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands:
 
     first = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("row").alias("row")).select("row.*")
     kept = named.join(first, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"])
-    return kept.select(*docs.columns)
+    return kept.select(*map(column, docs.columns))
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the columns of simhash_components()."""
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, map_texts, table
+from .common import column, map_texts, table
 
 WORDS = re.compile(r"\w+").findall
 #: score from which a document counts as toxic where no threshold was calibrated
@@ -39,6 +39,8 @@ class Params:
     batch: int = 32
     #: labelled rows of each class used for the fit
     fit_rows: int = 3000
+    #: characters of the longest text that is fitted on; longer ones are only scored
+    fit_chars: int = 50_000
 
 
 class Buckets(dict):
@@ -63,7 +65,7 @@ def word_rows(text: str, rows: Buckets) -> np.ndarray:
 class TextCnn:
     def __init__(self, p: Params, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.p, self.shift = p, 0.0
+        self.p, self.shift, self.learned = p, 0.0, True
         self.e = rng.normal(0, 0.1, (p.buckets, p.dims)).astype(np.float32)
         self.e[0] = 0
         self.w = [rng.normal(0, 1 / np.sqrt(w * p.dims), (p.filters, w * p.dims)).astype(np.float32) for w in p.widths]
@@ -185,13 +187,15 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list, dict[int, int]]:
-    """The bounded sample: (label, lang, embedding rows) of up to 2 * fit_rows
-    documents, chosen by a hash of doc_id; and how many rows each class has among
-    all that may be learned from."""
+def labelled(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[np.ndarray], np.ndarray, dict[int, int]]:
+    """The bounded sample: embedding rows and labels of up to fit_rows documents of each
+    class with up to fit_chars characters, chosen by a hash of doc_id; and how many rows
+    each class has among all that may be learned from."""
     all_ = known(labels)
     parts = [all_.filter((F.col("label") == label) & (fold() != 3)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.fit_rows) for label in (0, 1)]
     rows = texts_of(docs).join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most the sample's size
+    order = (F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text"))
+    rows = rows.filter(F.length("text") <= p.fit_chars).orderBy(*order).limit(2 * p.fit_rows)  # an id may have many rows
 
     def make():
         buckets = Buckets(p.buckets)
@@ -201,22 +205,26 @@ def labelled(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list, dict[
 
         return apply
 
-    out = map_texts(rows, make, "rows array<int>", ["doc_id", "label", "lang"]).toArrow().to_pylist()
+    out = map_texts(rows, make, "rows array<int>", ["doc_id", "label", "lang"]).toArrow()
+    texts = [x for chunk in out.column("rows").chunks for x in np.split(chunk.flatten().to_numpy(), np.asarray(chunk.offsets)[1:-1] - chunk.offsets[0].as_py())] if out.num_rows else []
+    y, ids = out.column("label").to_numpy().astype(np.float32), out.column("doc_id").to_numpy()
+    langs = out.column("lang").to_pylist()
+    turn = sorted(range(len(texts)), key=lambda i: (ids[i], langs[i] or "", len(texts[i]), texts[i].tobytes()))
     counts = {r["label"]: r["count"] for r in all_.groupBy("label").count().collect()}
-    return sorted(out, key=lambda r: (r["doc_id"], r["lang"] or "", len(r["rows"]))), counts
+    return [texts[i] for i in turn], y[turn], counts
 
 
 def fitted(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> TextCnn:
-    """The model of the bounded sample."""
-    sample, counts = labelled(docs, labels, p)
-    y = np.array([r["label"] for r in sample], np.float32)
+    """The model of the bounded sample; one that gives every text the same score where
+    the labels have no rows, or those of one class only."""
+    texts, y, counts = labelled(docs, labels, p)
     model = TextCnn(p)
     if 0 < y.sum() < len(y):
-        model.fit([np.array(r["rows"], np.int32) for r in sample], y)
+        model.fit(texts, y)
         # the sample has more of the rarer class than the labels have
         model.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     else:  # nothing to learn from: every text gets the score of the one class, or 0.5
-        model.v[:] = 0
+        model.v[:], model.learned = 0, False
         model.c = np.float32(0 if not len(y) else 4 if y[0] else -4)
     return model
 
@@ -250,7 +258,12 @@ def calibrated(docs: DataFrame, labels: DataFrame, model: TextCnn) -> dict[str,
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[TextCnn, dict[str, float]]:
     """The model and a threshold for each language that has labels enough; the others
-    keep DEFAULT_THRESHOLD."""
+    keep DEFAULT_THRESHOLD.
+
+    Labels without doc_id or toxic are left out; of labels that repeat a doc_id the
+    greatest counts; a document that repeats the id of a label is learned from in
+    each of its rows.  Ties between thresholds go to the middle one.
+    """
     model = fitted(docs, labels, p)
     return model, calibrated(docs, labels, model)
 
@@ -278,32 +291,40 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, p: Params = Params()) ->
     Repeated rows give repeated results.
     """
     model, thresholds = train(docs, labels, p)
-    return score_documents(docs, model, ["doc_id", "lang"]).withColumns(flags(thresholds))
+    return score_documents(docs, model, ["doc_id", "lang"]).withColumns(flags(model, thresholds))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of docs, all columns, that toxic_documents() does not flag."""
+    """The rows of docs, all columns, that toxic_documents() does not flag.
+
+    A null text counts as empty and stays null.  Labels of fewer than two classes teach
+    nothing: then nothing is flagged.
+    """
     model, thresholds = train(docs, labels, p)
     scored = score_documents(docs, model, docs.columns, "__score")
-    lang = "lang" if "lang" in docs.columns else "__lang"
-    scored = scored if lang == "lang" else scored.withColumn(lang, F.lit(None).cast("string"))
-    return scored.filter(~flags(thresholds, "__score", lang)["flagged"]).select(*docs.columns)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    return scored.filter(~flags(model, thresholds, "__score", lang)["flagged"]).select(*map(column, docs.columns))
 
 
-def flags(thresholds: dict[str, float], score: str = "score", lang: str = "lang") -> dict:
+def flags(model: TextCnn, thresholds: dict[str, float], score: str = "score", lang: Column | None = None) -> dict:
+    lang = F.col("lang") if lang is None else lang
     limit = F.lit(DEFAULT_THRESHOLD)
     for name, value in thresholds.items():
-        limit = F.when(F.col(lang) == name, value).otherwise(limit)
-    return {"threshold": limit, "flagged": F.col(score) >= limit}
+        limit = F.when(lang == name, value).otherwise(limit)
+    return {"threshold": limit, "flagged": F.lit(model.learned) & (F.col(score) >= limit)}
 
 
 def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, held_out, score, predicted by the fixed
+    threshold, and threshold and flagged by that of the row's language."""
     docs = table(spark, sf_dir, "documents")
-    model = fitted(docs, table(spark, sf_dir, "labels"))
-    held_out = fold() == 2
-    return score_documents(docs, model).select(
+    model, thresholds = train(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs, model, ["doc_id", "lang"]).withColumns(flags(model, thresholds))
+    return scored.select(
         "doc_id",
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.coalesce(fold() == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= DEFAULT_THRESHOLD).cast("int").alias("predicted"),
+        "threshold",
+        "flagged",
     )

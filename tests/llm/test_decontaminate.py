@@ -26,7 +26,7 @@ def test_masks_cover_two_substitutions():
         D.overlaps(None, None, masks=("11111111",))
 
 
-def test_matches_brute_force(spark):
+def test_matches_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(300)]
     items = [(f"i{k}", " ".join(rng.choices(vocab, k=rng.randint(8, 30)))) for k in range(12)]
@@ -49,7 +49,19 @@ def test_matches_brute_force(spark):
     for d, t in docs:
         hits = {k: n for k, text in items if (n := brute(t, text, 12, 0.8))}
         want.append((d, bool(hits), ",".join(sorted(hits)), max(hits.values(), default=0)))
-    for block in (2_000_000, 60):  # one block, and several
-        got = [(r["doc_id"], r["contaminated"], r["items"], r["longest"]) for r in D.contaminated(table, bench, block_words=block).collect()]
+    for most in (27, 6):  # a bitmap that tells seeds apart, and one that lets nearly all of them through
+        monkeypatch.setattr(D, "MOST_BITS", most)
+        monkeypatch.setattr(D, "LEAST_BITS", min(most, 16))
+        got = [(r["doc_id"], r["contaminated"], r["items"], r["longest"]) for r in D.contaminated(table, bench).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+    clean = [(r["doc_id"], r["text"]) for r in D.without_overlaps(table, bench).collect()]
+    assert sorted(clean, key=str) == sorted(((d, t) for (d, t), w in zip(docs, want) if not w[1]), key=str)
     assert sum(w[1] for w in want) > 20
+
+
+def test_a_phrase_repeated_in_item_and_text(spark):
+    phrase = "one two three four "
+    docs = spark.createDataFrame([(1, phrase * 400), (2, phrase * 2 + "five six seven eight"), (3, "nothing of that")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", phrase * 300)], "item_id string, text string")
+    got = {r["doc_id"]: r["longest"] for r in D.contaminated(docs, bench).collect()}
+    assert got == {1: 1200, 2: brute(phrase * 2 + "five six seven eight", phrase * 300, 12, 0.8), 3: 0}

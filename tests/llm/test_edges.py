@@ -8,7 +8,7 @@ import corpus_pipeline
 from rankvane.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
-EXTRA = ["rank", "seq", "fp", "node", "slice", "packed", "score", "word", "hits", "value", "part", "label", "bucket", "n", "kept"]
+EXTRA = ["my col", "a.b", "tick`s", "__h", "words", "item", "start", "name", "rank", "seq", "fp", "node", "slice", "packed", "score", "word", "hits", "value", "part", "label", "bucket", "n", "kept"]
 
 
 def rows_of(spark, name, odd):
@@ -31,7 +31,7 @@ def rows_of(spark, name, odd):
     if odd == "extra":
         for c in EXTRA:
             if c not in df.columns:
-                some = some.selectExpr("*", f"'x' AS `{c}`")
+                some = some.selectExpr("*", "'x' AS `{}`".format(c.replace("`", "``")))
     return some
 
 
