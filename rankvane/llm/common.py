@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 #: stands for a missing doc_id in keys: smaller than every real id
 NULL_ID = -(2**63)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
         if folder is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints"))
-    return df.checkpoint(eager=True)
+    # what the checkpoint shuffled is of no use behind it: Spark drops those files at its end
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew, under that setting
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -4,8 +4,9 @@ The field tags word tokens by features of their shapes and of their neighbours'.
 It is trained in numpy from a small table of labelled lines that a few dozen
 templates spell out, and decoded by Viterbi over numpy batches.  It adds spans
 that the patterns can't give: keys and passwords, and phone numbers without a
-country code.  Every tagged span must hold a digit, so only the surroundings of
-digits are decoded; everything else is outside by construction.
+country code.  Every token of every line is scored.  Where "outside" leads by more
+than any two transitions can make up for, the best path passes through it; there the
+line is cut, exactly, and only what is left between two cuts is decoded.
 """
 
 from __future__ import annotations
@@ -88,6 +89,12 @@ TEMPLATES = (
     "the key {aws>secret} is old",
     "and {aws>secret}",
     "with {hex32>secret} in it",
+    'TOKEN = "{HEX40>secret}"',
+    "secret_key={HEX24>secret}",
+    "password={abc14>secret}",
+    'passwd="{abc16>secret}" is set',
+    "token: {abc20>secret}",
+    "pwd={abc12>secret};",
     "call {local>local_phone} today",
     "phone: {local>local_phone}.",
     "tel {dash>local_phone} for more",
@@ -112,10 +119,17 @@ TEMPLATES = (
     "x = {n2} + {n1}",
     "sum {n3}.{n2} at {n4}",
     "between {year} and {year}",
+    "the password is {word} and the token {word}",
+    "a key {word} to the secret {word} of the {word}",
+    "password: {word}",
+    "token {word}, secret = {word}",
+    "{Word} and {Word} met {Word}",
+    "the {hex4} and {n2}{word} again",
+    "{word}-{word}_{word}={word}",
 )
 
 
-def labelled_lines(copies: int = 12, seed: int = 5) -> list[tuple[list[str], list[int]]]:
+def labelled_lines(copies: int = 12, seed: int = 5, templates: tuple[str, ...] = TEMPLATES) -> list[tuple[list[str], list[int]]]:
     """(tokens, tags) of every template, filled `copies` times."""
     rng = random.Random(seed)
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
@@ -125,6 +139,7 @@ def labelled_lines(copies: int = 12, seed: int = 5) -> list[tuple[list[str], lis
         "dash": lambda: f"{pick('23456789', 3)}-{pick('23456789', 3)}-{pick('0123456789', 4)}",
         "year": lambda: str(rng.randint(1900, 2030)),
         "word": lambda: pick("abcdefghijklmnoprstu", rng.randint(2, 9)),
+        "Word": lambda: pick("abcdefghijklmnoprstu", rng.randint(3, 12)).capitalize(),
     }
     for n in (1, 2, 3, 4):
         filler[f"n{n}"] = lambda n=n: pick("123456789", n)
@@ -133,13 +148,14 @@ def labelled_lines(copies: int = 12, seed: int = 5) -> list[tuple[list[str], lis
         if name in filler:
             return filler[name]()
         kind, size = name[:3], int(name[3:])
+        chars = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "abc": "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRS"}
         while True:
-            made = pick("0123456789abcdef" if kind == "hex" else "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRS23456789", size)
-            if any(c.isdigit() for c in made) and not made.isdigit():
+            made = pick(chars.get(kind, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRS23456789"), size)
+            if kind == "abc" or any(c.isdigit() for c in made) and not made.isdigit():
                 return made
 
     out = []
-    for template in TEMPLATES:
+    for template in templates:
         for _ in range(copies):
             text, marks = " ".join(filler["word"]() for _ in range(rng.randint(0, 3))) + " ", []
             for part in re.split(r"(\{[^}]*\})", template):
@@ -182,21 +198,20 @@ def shape(token: str) -> tuple[int, ...]:
         out.append(59)
     if digit and not (upper or lower):
         out.append(60 + min(3, abs(len(token) - 3)))
+    if len(token) > 4 and upper and lower and not (token[1:].islower() or token.isupper()):
+        out.append(34)  # capitals inside
+    if digit and upper and not lower and all(c in "0123456789ABCDEF" for c in token):
+        out.append(35)
     return tuple(out)
 
 
-@lru_cache(maxsize=50_000)
-def _cached_shape(token: str) -> tuple[int, ...]:
-    return shape(token)
-
-
 #: features seen at distance -2..2 get tables of their own
 _OFFSETS = (-2, -1, 0, 1, 2)
 _WIDTH = 64 * len(_OFFSETS)
 
 
 def feature_rows(tokens: list[str]) -> list[list[int]]:
-    own = [_cached_shape(t) if len(t) <= 64 else shape(t) for t in tokens]
+    own = [shape(t) for t in tokens]
     rows = []
     for i in range(len(tokens)):
         row = []
@@ -268,24 +283,43 @@ class Crf:
         return self
 
     def decode(self, lines: list[list[list[int]]]) -> list[np.ndarray]:
-        """The best tags of each line, by Viterbi over the whole batch."""
+        """The best tags of each line."""
+        x, size = self.batch(lines)
+        return self.best(self.scores(x), size)
+
+    def best(self, s: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The best tags of each row of scores (lines, tokens, tags), by Viterbi over the whole batch."""
+        lines, n = s.shape[:2]
         if not lines:
             return []
-        x, size = self.batch(lines)
-        s, n = self.scores(x), x.shape[1]
-        best, back = s[:, 0], np.zeros((len(lines), n, len(TAGS)), np.int8)
+        best, back = s[:, 0], np.zeros((lines, n, len(TAGS)), np.int8)
         for j in range(1, n):
             step = best[:, :, None] + self.t
             back[:, j] = step.argmax(1)
             best = np.where((j < size)[:, None], step.max(1) + s[:, j], best)
-        out = np.zeros((len(lines), n), np.int8)
+        out = np.zeros((lines, n), np.int8)
         at = best.argmax(1)
         for j in range(n - 1, -1, -1):
             here = j < size
             out[here, j] = at[here]
-            at = np.where(here, back[np.arange(len(lines)), j, at], at)
+            at = np.where(here, back[np.arange(lines), j, at], at)
         return [o[:n] for o, n in zip(out, size)]
 
+    def best_of_one(self, s: np.ndarray) -> np.ndarray:
+        """The same for a single long row, without arrays for each step."""
+        k, t = range(len(TAGS)), self.t.tolist()
+        best, back = s[0].tolist(), []
+        for row in s[1:].tolist():
+            came = [max(k, key=lambda a, b=b: best[a] + t[a][b]) for b in k]
+            best = [best[came[b]] + t[came[b]][b] + row[b] for b in k]
+            back.append(came)
+        at = max(k, key=best.__getitem__)
+        out = [at]
+        for came in reversed(back):
+            at = came[at]
+            out.append(at)
+        return np.array(out[::-1], np.int8)
+
 
 @lru_cache(maxsize=1)
 def trained() -> Crf:
@@ -295,61 +329,103 @@ def trained() -> Crf:
 
 # ---- decoding of texts
 
-_DIGITS = re.compile(r"[0-9]+")
-CONTEXT = 40
-#: characters in one decoded stretch at most, but for one unbroken token
-STRETCH = 2000
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of lines within CONTEXT characters of a digit, widened to spaces."""
-    out: list[list[int]] = []
-    for m in _DIGITS.finditer(text):
-        if out and m.end() <= out[-1][1]:
-            continue
-        a = max(text.rfind("\n", 0, m.start()) + 1, text.rfind(" ", 0, max(0, m.start() - CONTEXT)) + 1)
-        line = text.find("\n", m.end())
-        space = text.find(" ", m.end() + CONTEXT)
-        b = min(x for x in (line, space, len(text)) if x >= 0)
-        if out and a <= out[-1][1] and b - out[-1][0] <= STRETCH:
-            out[-1][1] = b
-        else:
-            out.append([max(a, out[-1][1]) if out else a, b])
-    return [(a, b) for a, b in out]
-
-
-def field_spans(texts: list[str], crf: Crf) -> list[list[tuple[str, int, int]]]:
+#: a token, or the end of a line
+PIECE = re.compile(TOKEN.pattern + r"|\n")
+#: tokens between two cuts from which one row is decoded on its own
+LONG = 500
+
+
+class Shapes(dict):
+    """token -> number of its features; 0 is the place beyond a line."""
+
+    def __init__(self, crf: Crf, limit: int = 100_000):
+        super().__init__()
+        self.crf, self.limit, self.numbers, self.features, self.weights = crf, limit, {}, [(0,)], None
+        self["\n"] = 0
+
+    def __missing__(self, token):
+        own = shape(token)
+        number = self.numbers.get(own)
+        if number is None:
+            number = self.numbers[own] = len(self.features)
+            self.features.append(own)
+            self.weights = None
+        if len(token) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+                self["\n"] = 0
+            self[token] = number
+        return number
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """The scores of each place of a sequence, from the shapes at the offsets around it."""
+        if self.weights is None:  # as many rows as kinds of shapes, for each offset
+            self.weights = [np.stack([self.crf.w[[64 * k + f for f in own]].sum(0) for own in self.features]) for k in range(len(_OFFSETS))]
+        pad = max(_OFFSETS)
+        wide = np.concatenate([np.zeros(pad, np.int64), ids, np.zeros(pad, np.int64)])
+        return sum(w[wide[pad + o : pad + o + len(ids)]] for w, o in zip(self.weights, _OFFSETS))
+
+
+def tags_of(texts: list[str], shapes: Shapes) -> list[np.ndarray]:
+    """The best tag of each PIECE of each text; ends of lines are outside."""
+    crf, t = shapes.crf, shapes.crf.t
+    own = [np.fromiter(map(shapes.__getitem__, PIECE.findall(text)), np.int64) for text in texts]
+    # two places beyond the line between any two lines, so that none sees the next one
+    end = np.zeros(2, np.int64)
+    ids = np.concatenate([x for o in own for x in (o, end)] or [end])
+    ids = np.repeat(ids, np.where(ids == 0, 2, 1))
+    s = shapes.scores(ids)
+    # what another tag than outside can gain by its two transitions, at most
+    gain = [max(t[a, k] - t[a, 0] for a in range(len(TAGS))) + max(t[k, b] - t[0, b] for b in range(len(TAGS))) for k in range(len(TAGS))]
+    gain = np.maximum(gain, 0)
+    sure = (s[:, :1] > s + gain + 1e-9)[:, 1:].all(1) | (ids == 0)
+    out = np.zeros(len(ids), np.int8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], sure, [True]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts):
+        s[starts] += np.where(ids[starts - 1] == 0, 0, 1)[:, None] * t[0]
+        s[ends - 1] += np.where(ids[np.minimum(ends, len(ids) - 1)] == 0, 0, 1)[:, None] * t[:, 0]
+        size = ends - starts
+        order = np.argsort(size, kind="stable")
+        many = order[size[order] < LONG]
+        for at in range(0, len(many), 4096):
+            some = many[at : at + 4096]
+            wide = starts[some][:, None] + np.arange(size[some].max())
+            for k, tags in zip(some, crf.best(s[np.minimum(wide, len(s) - 1)], size[some])):
+                out[starts[k] : ends[k]] = tags
+        for k in order[len(many) :]:
+            out[starts[k] : ends[k]] = crf.best_of_one(s[starts[k] : ends[k]])
+    # back to one place for each piece
+    first = np.ones(len(ids), bool)
+    zero = np.flatnonzero(ids == 0)
+    first[zero[1::2]] = False
+    out = out[first]
+    return np.split(out, np.cumsum([len(o) + 2 for o in own])[:-1]) if own else []
+
+
+def field_spans(texts: list[str], shapes: Shapes) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) that the field finds in each text."""
-    where, lines = [], []
-    for i, text in enumerate(texts):
-        for a, b in stretches(text):
-            spans = [m.span() for m in TOKEN.finditer(text, a, b)]
-            if spans:
-                where.append((i, spans))
-                lines.append(feature_rows([text[s:e] for s, e in spans]))
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(lines)), key=lambda k: len(lines[k]))
-    for at in range(0, len(order), 256):
-        some = order[at : at + 256]
-        for k, tags in zip(some, crf.decode([lines[k] for k in some])):
-            i, spans = where[k]
-            j = 0
-            while j < len(tags):
-                e = j + 1
+    out: list[list[tuple[str, int, int]]] = []
+    for text, tags in zip(texts, tags_of(texts, shapes)):
+        found: list[tuple[str, int, int]] = []
+        if tags.any():
+            last = -2
+            for j, m in enumerate(PIECE.finditer(text)):
                 if tags[j]:
-                    while e < len(tags) and tags[e] == tags[j]:
-                        e += 1
-                    a, b = spans[j][0], spans[e - 1][1]
-                    if _DIGITS.search(texts[i], a, b):
-                        out[i].append((TAGS[tags[j]], a, b))
-                j = e
+                    kind = TAGS[tags[j]]
+                    if last == j - 1 and found[-1][0] == kind:
+                        found[-1] = (kind, found[-1][1], m.end())
+                    else:
+                        found.append((kind, m.start(), m.end()))
+                    last = j
+        out.append(found)
     return out
 
 
-def find_personal_data(texts: list[str], crf: Crf) -> list[tuple[dict, list[tuple[str, int, int]]]]:
+def find_personal_data(texts: list[str], shapes: Shapes) -> list[tuple[dict, list[tuple[str, int, int]]]]:
     """(base spans by kind, added spans); an added span never overlaps a base span."""
     out = []
-    for text, found in zip(texts, field_spans(texts, crf)):
+    for text, found in zip(texts, field_spans(texts, shapes)):
         base = base_spans(text)
         taken = [s for spans in base.values() for s in spans]
         out.append((base, sorted((k, a, b) for k, a, b in found if all(b <= x or y <= a for x, y in taken))))
@@ -359,7 +435,8 @@ def find_personal_data(texts: list[str], crf: Crf) -> list[tuple[dict, list[tupl
 def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (default doc_id); n_email, n_ip, n_card, n_phone (base spans);
     base_sha256 and spans (kind:start:end, code points, comma-joined, kinds in
-    the order of KINDS and ADDED, then by start); n_secret, n_local_phone.
+    the order of KINDS and ADDED, then by start); n_secret, n_local_phone; n_spans and
+    has_personal_data over all kinds.
 
     A null text counts as empty.  Repeated rows give repeated results.
     """
@@ -367,24 +444,25 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def make():
-        crf = shared.value
+        shapes = Shapes(shared.value)
 
         def apply(texts):
             rows = []
-            for base, added in find_personal_data(texts, crf):
+            for base, added in find_personal_data(texts, shapes):
                 listed = [f"{k}:{a}:{b}" for k in KINDS for a, b in base[k]]
                 more = [f"{k}:{a}:{b}" for kind in ADDED for k, a, b in sorted(added, key=lambda s: s[1]) if k == kind]
                 digest = hashlib.sha256(",".join(listed).encode()).hexdigest()
                 n = [sum(k == kind for k, _, _ in added) for kind in ADDED]
-                rows.append((*(len(base[k]) for k in KINDS), digest, ",".join(listed + more), *n))
+                rows.append((*(len(base[k]) for k in KINDS), digest, ",".join(listed + more), *n, len(listed + more), bool(listed or more)))
             return dict(zip(names, map(list, zip(*rows))))
 
         return apply
 
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"n_{k}" for k in ADDED)]
-    types = ["long"] * 4 + ["string"] * 2 + ["long"] * 2
-    return map_texts(docs, make, ", ".join(map(" ".join, zip(names, types))), keep)
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"n_{k}" for k in ADDED), "n_spans", "has_personal_data"]
+    types = ["long"] * 4 + ["string"] * 2 + ["long"] * 3 + ["boolean"]
+    return map_texts(docs, make, ", ".join(map(" ".join, zip(names, types))), keep, slice_chars=1_000_000)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the columns of personal_data()."""
     return personal_data(table(spark, sf_dir, "documents"))

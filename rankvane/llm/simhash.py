@@ -234,21 +234,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node with an edge.
 
     Alternating large-star and small-star rounds; each is an aggregation and an
-    equi-join on the edges that are left, and every round is checkpointed.
+    equi-join on the edges that are left, and every round is checkpointed.  It ends
+    when each node has one edge up or edges from below, not both.
     """
-    before = None
     edges = cut(edges)
-    while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while not _stars(edges):
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return nodes.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def simhash_components(docs: DataFrame, width: int = 3, distance: int = 2, shard_limit: int = 2048) -> DataFrame:
@@ -376,6 +379,18 @@ def with_roots(found: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _hung(joined: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, that connect each node with the smallest nodes b of its bands.
+
+    A node is tied to the smallest of them only, and that one to the others: nodes that
+    share their bands give the same edges between the b, so a node costs one edge of its
+    own.  A node has as many b as it has bands at most.
+    """
+    of = joined.groupBy("node").agg(F.collect_set("b").alias("bs")).withColumn("m", F.array_min("bs"))
+    ends = F.explode(F.array_append("bs", F.col("node")))
+    return of.select(ends.alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands: int = 32, rows: int = 6, shard_limit: int = 4096) -> DataFrame:
     """The rows of docs, all columns, but for one of each group of near copies only the
     row with the smallest doc_id stays.
@@ -407,8 +422,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands:
     # candidates: all that share a band with the smallest node of it hang together
     banded = nodes.select("node", "n", F.explode("bands").alias("group"))
     least = banded.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    hung = banded.join(least, "group").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
-    loose = cut(with_roots(components(hung)))
+    loose = cut(with_roots(components(_hung(banded.join(least, "group")))))
 
     # the texts of those are compared; a group that would be dealt into more blocks than there are bands goes by its bands
     whole = pair_tasks(loose.join(nodes.select("node", "n"), "node").select(F.col("root").alias("group"), "node", "n"), shard_limit)
