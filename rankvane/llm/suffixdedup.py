@@ -15,8 +15,13 @@ every step works only on suffixes that are still in a bucket with others.
    by doubling from those of half the length.
 
 Rows are merged inside a task's slice before each shuffle: of equal suffixes
-only the smallest doc_id asks, the others are known to be removed, so a bucket
-gets one row from each slice however often a passage occurs.
+only the smallest doc_id asks, the others are known to be removed.  A slice in
+which a bucket holds several suffixes knows that it is split: it sends the least
+and the greatest of them to the bucket, and the others go on to the second
+refinement without it.  So a bucket gets two rows from each slice at most, however
+often a passage occurs and whatever surrounds it.
+
+Equal bytes are told by two independent 64-bit identifiers together.
 """
 
 from __future__ import annotations
@@ -28,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, keyed, table
+from .common import cut, id_back, keyed, table, text_slices
 
 #: bytes whose arrays are worked on at once, so that they stay in the processor's cache
 CHUNK = 40_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1B54A32D192ED03
-_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: for each of the two identifiers: the base, and a value of each byte
+_BASES = (0xD1B54A32D192ED03, 0xA0761D6478BD642F)
+_VALUES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,15 +52,15 @@ class Grams:
     """Identifiers of the n-grams at all positions of a byte string: those of length
     2n come from two of length n, and are kept for the next request."""
 
-    def __init__(self, x: np.ndarray):
-        self.n, self.known = len(x), {1: np.take(_VALUES, x)}
+    def __init__(self, x: np.ndarray, which: int = 0):
+        self.n, self.base, self.known = len(x), _BASES[which], {1: np.take(_VALUES[which], x)}
 
     def of(self, n: int) -> np.ndarray:
         if n not in self.known:
             half = 1 << (n - 1).bit_length() - 1  # the largest power of two below n
             m = max(0, self.n - n + 1)
             a, b = self.of(half), self.of(n - half)
-            self.known[n] = a[:m] + np.uint64(pow(_BASE, half, 1 << 64)) * b[half : half + m]
+            self.known[n] = a[:m] + np.uint64(pow(self.base, half, 1 << 64)) * b[half : half + m]
         return self.known[n]
 
 
@@ -63,7 +69,7 @@ class Suffixes:
 
     A run are neighbouring windows that chose the same place: `text` (number),
     `start` and `end` (of the windows' first bytes, in the joined texts),
-    `bucket` and `run` (identifier of all bytes that its windows cover).
+    `bucket`, and `run` and `run2` (identifiers of all bytes that its windows cover).
     """
 
     def __init__(self, raws: list[bytes], match: int, q: int, t: int):
@@ -72,11 +78,11 @@ class Suffixes:
         self.offset = np.concatenate([[0], np.cumsum(sizes)])
         self.match, n = match, len(x) - match + 1
         if n <= 0:
-            self.text = self.start = self.end = self.bucket = self.run = np.empty(0, np.int64)
-            self.whole = np.empty(0, np.uint64)
+            self.text = self.start = self.end = self.bucket = self.run = self.run2 = np.empty(0, np.int64)
+            self.whole = self.whole2 = np.empty(0, np.uint64)
             return
         grams = Grams(x)
-        self.whole = grams.of(match)
+        self.whole, self.whole2 = grams.of(match), Grams(x, 1).of(match)
         width = match - t + 1
         best = (_mix(grams.of(t)) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(x) - t + 1, dtype=np.uint64)
         size = 1
@@ -97,20 +103,23 @@ class Suffixes:
         self.start, self.end = self.start[own], self.end[own]
         self.text = owner[self.start]
         self.bucket = _mix(grams.of(q)[chosen[self.start]]).view(np.int64)
+        self.run, self.run2 = self._of_runs(self.whole), self._of_runs(self.whole2)
+
+    def _of_runs(self, whole: np.ndarray) -> np.ndarray:
         # windows of `match` bytes at most that far apart cover the whole run
-        out = _mix(self.whole[self.start] + (self.end - self.start).astype(np.uint64) * _ODD)
+        out = _mix(whole[self.start] + (self.end - self.start).astype(np.uint64) * _ODD)
         left, at = self.end - self.start - 1, self.start
         while (left > 0).any():
-            step = np.minimum(left, match)
+            step = np.minimum(left, self.match)
             at, left = at + step, left - step
-            out = np.where(step > 0, _mix(out * _ODD + self.whole[at]), out)
-        self.run = out.view(np.int64)
+            out = np.where(step > 0, _mix(out * _ODD + whole[at]), out)
+        return out.view(np.int64)
 
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, identifier) of all windows in the runs that `of` marks."""
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, both identifiers) of all windows in the runs that `of` marks."""
         size = (self.end - self.start)[of]
         at = np.repeat(self.start[of] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.repeat(self.text[of], size), self.window_ids(at)
+        return np.repeat(self.text[of], size), self.window_ids(at), _mix(self.whole2[at]).view(np.int64)
 
     def window_ids(self, at: np.ndarray) -> np.ndarray:
         return _mix(self.whole[at]).view(np.int64)
@@ -120,18 +129,6 @@ class Suffixes:
         return slice(*np.searchsorted(self.text, [text, text + 1]))
 
 
-def chunks(sizes: list[int], limit: int):
-    """Slices of neighbouring items with about `limit` in all, one item at least."""
-    at, size = 0, 0
-    for i, n in enumerate(sizes):
-        if i > at and size + n > limit:
-            yield slice(at, i)
-            at, size = i, 0
-        size += n
-    if at < len(sizes):
-        yield slice(at, len(sizes))
-
-
 def _covered(n_bytes: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which bytes lie in one of the [start, end) intervals."""
     steps = np.zeros(n_bytes + 1, np.int32)
@@ -155,6 +152,22 @@ def _merged(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[~repeat], (d > least)[~repeat]
 
 
+def _aside(doc: np.ndarray) -> np.ndarray:
+    """A number above zero for each document: it keeps rows that only pass through out of
+    the group that the others form."""
+    return ((_mix(doc.view(np.uint64)) >> np.uint64(2)) | np.uint64(1)).view(np.int64)
+
+
+def _inner(bucket: np.ndarray, run: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which rows are neither known nor the least or greatest of their bucket."""
+    out = np.zeros(len(bucket), bool)
+    open_ = np.flatnonzero(~known)
+    open_ = open_[np.lexsort((run[open_], bucket[open_]))]
+    b = bucket[open_]
+    out[open_[1:-1]] = (b[1:-1] == b[:-2]) & (b[1:-1] == b[2:])
+    return out
+
+
 def deduplicate_bytes(docs: DataFrame, match: int = 50, q: int = 30, t: int = 9, reports: str = "digest") -> DataFrame:
     """Remove every byte covered by a `match`-byte string that also starts in a
     document with a smaller doc_id.  One row for each row of docs.
@@ -177,7 +190,7 @@ def deduplicate_bytes(docs: DataFrame, match: int = 50, q: int = 30, t: int = 9,
             out: list = []
             marked = pyarrow.compute.or_(batch.column(2).is_valid(), batch.column(3).is_valid()).to_pylist()
             texts = batch.column(1)
-            for part in chunks(pyarrow.compute.binary_length(texts).to_pylist(), CHUNK):
+            for part in text_slices(texts, CHUNK):
                 raws = [texts[i].as_py().encode() for i in range(part.start, part.stop)]
                 some = [i for i, raw in enumerate(raws) if marked[part.start + i] and len(raw) >= match]
                 s = Suffixes([raws[i] for i in some], match, q, t)
@@ -222,38 +235,34 @@ def _runs(source: DataFrame, match: int, q: int, t: int) -> DataFrame:
     document has) and ask (runs of which it is the first, in buckets with other runs)."""
 
     def runs(batches):
-        import pyarrow.compute
-
         for batch in batches:
-            sizes = pyarrow.compute.binary_length(batch.column(1)).to_pylist()
-            for part in chunks(sizes, 6_000_000):
-                ids, texts = batch.column(0).to_numpy()[part], batch.column(1)
-                doc, bucket, run = [], [], []
-                for c in chunks(sizes[part], CHUNK):
-                    s = Suffixes([texts[part.start + i].as_py().encode() for i in range(c.start, c.stop)], match, q, t)
-                    doc.append(ids[c.start + s.text])
-                    bucket.append(s.bucket)
-                    run.append(s.run)
-                doc, bucket, run = map(np.concatenate, (doc, bucket, run))
-                rows, known = _merged(doc, bucket, run)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[rows]), pa.array(np.where(known, doc[rows] + 1, 0)), pa.array(run[rows]), pa.array(doc[rows])],
-                    names=["bucket", "salt", "run", "doc"],
-                )
-
-    # known rows only pass through: their salt keeps them out of the bucket's group
-    first = source.mapInArrow(runs, "bucket long, salt long, run long, doc long")
-    bucket = Window.partitionBy("bucket", "salt").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            for part in text_slices(batch.column(1), 6_000_000):
+                texts = batch.column(1)[part]
+                ids, found = batch.column(0).to_numpy()[part], []
+                for c in text_slices(texts, CHUNK):
+                    s = Suffixes([x.as_py().encode() for x in texts[c]], match, q, t)
+                    found.append((ids[c.start + s.text], s.bucket, s.run, s.run2))
+                doc, bucket, run, run2 = map(np.concatenate, zip(*found))
+                rows, known = _merged(doc, bucket, run, run2)
+                doc, bucket, run, run2 = doc[rows], bucket[rows], run[rows], run2[rows]
+                # above zero: known to be removed; below: asks, as the slice knows its bucket to be split
+                salt = np.where(known, _aside(doc), np.where(_inner(bucket, run, known), -_aside(doc), 0))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, salt, run, run2, doc)], names=["bucket", "salt", "run", "run2", "doc"])
+
+    first = source.mapInArrow(runs, "bucket long, salt long, run long, run2 long, doc long")
+    bucket = Window.partitionBy("bucket", "salt").orderBy("run", "run2").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     state = first.select(
         "run",
         "doc",
-        (F.col("salt") != 0).alias("known"),
-        (F.first("run").over(bucket) != F.last("run").over(bucket)).alias("split"),
-        F.min("doc").over(Window.partitionBy("bucket", "salt", "run")).alias("least"),
+        "salt",
+        (F.struct(F.first("run").over(bucket), F.first("run2").over(bucket)) != F.struct(F.last("run").over(bucket), F.last("run2").over(bucket))).alias("split"),
+        F.min("doc").over(Window.partitionBy("bucket", "salt", "run", "run2")).alias("least"),
     )
-    state = state.withColumn("gone", F.col("known") | (F.col("doc") > F.col("least"))).filter("gone or split")
+    gone = (F.col("salt") > 0) | ((F.col("salt") == 0) & (F.col("doc") > F.col("least")))
+    asks = ~gone & ((F.col("salt") < 0) | F.col("split"))
+    state = state.select("run", "doc", gone.alias("gone"), asks.alias("asks")).filter("gone or asks")
     lists = state.groupBy(F.col("doc").alias("doc_id")).agg(
-        F.collect_list(F.when(F.col("gone"), F.col("run"))).alias("gone"), F.collect_list(F.when(~F.col("gone"), F.col("run"))).alias("ask")
+        F.collect_list(F.when(F.col("gone"), F.col("run"))).alias("gone"), F.collect_list(F.when(F.col("asks"), F.col("run"))).alias("ask")
     )
     return cut(lists)
 
@@ -262,32 +271,28 @@ def _windows(source: DataFrame, lists: DataFrame, match: int, q: int, t: int) ->
     """doc_id and windows: identifiers of the windows in its asking runs that a smaller document has."""
 
     def windows(batches):
-        import pyarrow.compute
-
         for batch in batches:
-            sizes = pyarrow.compute.binary_length(batch.column(2)).to_pylist()
-            for part in chunks(sizes, 6_000_000):
-                ids, doc, found = batch.column(0).to_numpy()[part], [], []
-                for c in chunks(sizes[part], CHUNK):
-                    rows = range(part.start + c.start, part.start + c.stop)
-                    s = Suffixes([batch.column(2)[i].as_py().encode() for i in rows], match, q, t)
+            for part in text_slices(batch.column(2), 6_000_000):
+                texts, ask = batch.column(2)[part], batch.column(1)[part]
+                ids, found = batch.column(0).to_numpy()[part], []
+                for c in text_slices(texts, CHUNK):
+                    s = Suffixes([x.as_py().encode() for x in texts[c]], match, q, t)
                     hit = np.zeros(len(s.run), bool)
-                    for k, i in enumerate(rows):
-                        hit[s.span(k)] = np.isin(s.run[s.span(k)], batch.column(1)[i].values.to_numpy())
-                    text, w = s.windows(hit)
-                    doc.append(ids[c.start + text])
-                    found.append(w)
-                doc, found = np.concatenate(doc), np.concatenate(found)
-                rows, known = _merged(doc, found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[rows]), pa.array(np.where(known, doc[rows] + 1, 0)), pa.array(doc[rows])], names=["w", "salt", "doc"]
-                )
+                    for k, runs in enumerate(ask[c]):
+                        hit[s.span(k)] = np.isin(s.run[s.span(k)], runs.values.to_numpy())
+                    text, w, w2 = s.windows(hit)
+                    found.append((ids[c.start + text], w, w2))
+                doc, w, w2 = map(np.concatenate, zip(*found))
+                rows, known = _merged(doc, w, w2)
+                doc, w, w2 = doc[rows], w[rows], w2[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w, w2, np.where(known, _aside(doc), 0), doc)], names=["w", "w2", "salt", "doc"])
 
     asking = lists.filter(F.size("ask") > 0).select("doc_id", "ask")
-    rows = source.join(asking, "doc_id").select("doc_id", "ask", "text").mapInArrow(windows, "w long, salt long, doc long")
-    removed = rows.select("*", F.min("doc").over(Window.partitionBy("w", "salt")).alias("least")).filter("salt != 0 or doc > least")
+    rows = source.join(asking, "doc_id").select("doc_id", "ask", "text").mapInArrow(windows, "w long, w2 long, salt long, doc long")
+    removed = rows.select("*", F.min("doc").over(Window.partitionBy("w", "w2", "salt")).alias("least")).filter("salt != 0 or doc > least")
     return cut(removed.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("w").alias("windows")))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, in the columns of deduplicate_bytes()."""
     return deduplicate_bytes(table(spark, sf_dir, "documents"))

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+
+from rankvane.llm import suffixdedup as S
 from rankvane.llm.suffixdedup import deduplicate_bytes
 
 
@@ -58,3 +61,34 @@ def test_bytes_and_empty_table(spark):
     got = {r.doc_id: bytes(r.kept) for r in deduplicate_bytes(docs, reports="bytes").collect()}
     assert got == {1: b"q" * 60, 2: "preé".encode()}
     assert deduplicate_bytes(docs.filter("false")).collect() == []
+
+
+def phrase_everywhere(n):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    return [(i, " ".join([*(word() for _ in range(6)), "released to all under the terms of the common licence of works", *(word() for _ in range(6))])) for i in range(n)]
+
+
+def test_a_phrase_in_every_document(spark):
+    rows = phrase_everywhere(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(tuple(r) for r in deduplicate_bytes(docs).collect())
+    assert got == [(d, *b) for (d, _), b in zip(rows, brute(rows, 50))]
+
+
+def test_a_bucket_gets_two_rows_of_a_slice():
+    rows = phrase_everywhere(300)
+    s = S.Suffixes([t.encode() for _, t in rows], 50, 30, 9)
+    doc = np.array([d for d, _ in rows])[s.text]
+    some, known = S._merged(doc, s.bucket, s.run, s.run2)
+    bucket, run = s.bucket[some], s.run[some]
+    assert max(np.unique(bucket[~known], return_counts=True)[1]) > 100  # so many differ around the phrase
+    grouped = ~known & ~S._inner(bucket, run, known)
+    assert max(np.unique(bucket[grouped], return_counts=True)[1]) == 2
+
+
+def test_negative_and_smallest_ids(spark):
+    rows = [(-1, "z" * 70), (0, "z" * 70), (-5, "z" * 60), (3, "q" + "z" * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in deduplicate_bytes(docs.coalesce(1)).collect())
+    assert got == sorted((d, *b) for (d, _), b in zip(rows, brute(rows, 50)))
