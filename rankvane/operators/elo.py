@@ -4,31 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 START, K, SCALE, CARRY = 1500.0, 32.0, 400.0, 0.75
 
 
 def with_pools(games: DataFrame, team_a: str = "team_a", team_b: str = "team_b") -> DataFrame:
     """Adds pool: the smallest team of each set of teams that are linked by games.
 
-    Works on the distinct pairs of teams; ratings of different pools never meet.
+    Works on the distinct pairs of teams, in rounds of least labels and jumps that are
+    each checkpointed; ratings of different pools never meet.
     """
     pairs = games.select(F.col(team_a).alias("a"), F.col(team_b).alias("b")).distinct()
-    both = pairs.union(pairs.select("b", "a")).distinct().persist()
-    label = both.select(F.col("a").alias("team")).distinct().withColumn("pool", F.col("team"))
+    both = cut(pairs.union(pairs.select("b", "a")).distinct())
+    label = both.groupBy(F.col("a").alias("team")).agg(F.min("b").alias("pool")).select("team", F.least("team", "pool").alias("pool"))
     while True:
         near = both.join(label, both["b"] == label["team"]).groupBy("a").agg(F.min("pool").alias("near"))
-        new = label.join(near, label["team"] == near["a"]).select("team", F.least("pool", "near").alias("pool"), (F.col("near") < F.col("pool")).alias("moved"))
-        # as many rows as teams, so a few rounds of plain collection stay small
-        rows = new.collect()
-        label = games.sparkSession.createDataFrame([(r["team"], r["pool"]) for r in rows], label.schema)
-        if not any(r["moved"] for r in rows):
-            break
-    both.unpersist()
-    return games.join(label.withColumnRenamed("team", team_a), team_a)
+        low = label.join(near, label["team"] == near["a"]).select("team", "pool", F.least("pool", "near").alias("low"))
+        jump = label.select(F.col("team").alias("low"), F.col("pool").alias("next"))
+        new = cut(low.join(jump, "low").select("team", F.least("low", "next").alias("new"), "pool"))
+        label = new.select("team", F.col("new").alias("pool"))
+        if new.filter("new != pool").isEmpty():
+            return games.join(label.withColumnRenamed("team", team_a), team_a)
 
 
 def elo(games: DataFrame, tier: str = "tier") -> DataFrame:
@@ -40,29 +42,33 @@ def elo(games: DataFrame, tier: str = "tier") -> DataFrame:
     order first, so pools can be folded apart; a pool streams through its task in
     order and only its teams' ratings are held.
     """
-    # days are few and bound the global order; a day's first year change is all that is needed
-    days = games.groupBy("date").agg(F.max(F.year("date")).alias("y"))
-    seasons = days.withColumn("season", F.dense_rank().over(Window.orderBy("y"))).select("date", "season")
-    pooled = with_pools(games).join(seasons, "date").select("pool", "gameid", "date", "season", "team_a", "team_b", F.col("result").cast("int").alias("result"), F.col(tier).cast("int").alias("tier"))
-    ordered = pooled.repartition("pool").sortWithinPartitions("pool", "date", "gameid")
+    # a season for each year that has games anywhere
+    years = games.select(F.year("date").alias("year")).distinct()
+    seasons = years.select("year", F.dense_rank().over(Window.orderBy("year")).alias("season"))
+    pooled = with_pools(games.select("gameid", "date", F.year("date").alias("year"), "team_a", "team_b", F.col("result").cast("int").alias("result"), F.col(tier).cast("int").alias("tier")))
+    ordered = pooled.join(seasons, "year").repartition("pool").sortWithinPartitions("pool", "date", "gameid")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratings: dict = {}
         pool, season = None, None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.pool != pool:
-                    pool, season, ratings = row.pool, row.season, {}
-                while season < row.season:  # one step back for each year that has games anywhere
+            before_a, before_b, shares = [], [], []
+            for own, turn, team_a, team_b, result, strength in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                if own != pool:
+                    pool, season, ratings = own, turn, {}
+                while season < turn:  # one step back for each year that has games anywhere
                     ratings = {t: START + CARRY * (r - START) for t, r in ratings.items()}
                     season += 1
-                a, b = ratings.get(row.team_a, START), ratings.get(row.team_b, START)
+                a, b = ratings.get(team_a, START), ratings.get(team_b, START)
                 expected = 1 / (1 + 10 ** ((b - a) / SCALE))
-                k = K * (0.5 + 0.5 * row.tier / 3)
-                out.append((row.gameid, a, b, a - b, expected))
-                ratings[row.team_a] = a + k * (row.result - expected)
-                ratings[row.team_b] = b + k * ((1 - row.result) - (1 - expected))
-            yield pd.DataFrame(out, columns=["gameid", "elo_a", "elo_b", "elo_diff", "elo_expected"])
+                k = K * (0.5 + 0.5 * strength / 3)
+                before_a.append(a)
+                before_b.append(b)
+                shares.append(expected)
+                ratings[team_a] = a + k * (result - expected)
+                ratings[team_b] = b + k * ((1 - result) - (1 - expected))
+            a, b = pa.array(before_a, pa.float64()), pa.array(before_b, pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), a, b, pc.subtract(a, b), pa.array(shares, pa.float64())], names=["gameid", "elo_a", "elo_b", "elo_diff", "elo_expected"])
 
-    return ordered.mapInPandas(fold, "gameid long, elo_a double, elo_b double, elo_diff double, elo_expected double")
+    rows = ordered.select("gameid", "pool", "season", "team_a", "team_b", "result", "tier")
+    return rows.mapInArrow(fold, "gameid long, elo_a double, elo_b double, elo_diff double, elo_expected double")

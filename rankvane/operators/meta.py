@@ -6,12 +6,11 @@ window inside each day, so that no key's history lands in one task.
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
 from .windows import ORDER, prior
 
 
@@ -57,15 +56,23 @@ def team_patch(team_games: DataFrame) -> DataFrame:
     )
 
 
+def picks_of(team_games: DataFrame) -> DataFrame:
+    """A row for each champion of each side, written once: everything below is made of it."""
+    return cut(team_games.select("gameid", "date", "team", "result", F.explode("champs").alias("champ")))
+
+
 def champion_rates(team_games: DataFrame) -> DataFrame:
     """gameid, champ, pick_rate, champ_wr before the game, for every champion in it.
 
     A champion on both sides counts once a side, and both are left out of "before".
     """
-    picks = team_games.select("gameid", "date", "result", F.explode("champs").alias("champ"))
-    per_game = picks.groupBy("gameid", "date", "champ").agg(F.count("*").alias("n"), F.sum("result").alias("won"))
+    return _rates(picks_of(team_games))
+
+
+def _rates(picks: DataFrame) -> DataFrame:
+    per_game = cut(picks.groupBy("gameid", "date", "champ").agg(F.count("*").alias("n"), F.sum("result").alias("won")))
     by_champ = running(per_game, ["champ"], {"picks": F.col("n"), "wins": F.col("won")})
-    all_ = picks.groupBy("gameid", "date").agg(F.count("*").alias("n"))
+    all_ = per_game.groupBy("gameid", "date").agg(F.sum("n").alias("n"))
     total = running(all_.withColumn("__all", F.lit(0)), ["__all"], {"total": F.col("n")}).select("gameid", "total")
     return by_champ.join(total, "gameid").select(
         "gameid",
@@ -77,8 +84,8 @@ def champion_rates(team_games: DataFrame) -> DataFrame:
 
 def side_champion_rates(team_games: DataFrame) -> DataFrame:
     """gameid, team, avg_pick_rate, avg_champ_wr: means over the side's champions, unknown ones left out."""
-    mine = team_games.select("gameid", "team", F.explode("champs").alias("champ"))
-    joined = mine.join(champion_rates(team_games), ["gameid", "champ"])
+    picks = picks_of(team_games)
+    joined = picks.select("gameid", "team", "champ").join(_rates(picks), ["gameid", "champ"])
     return joined.groupBy("gameid", "team").agg(F.avg("pick_rate").alias("avg_pick_rate"), F.avg("champ_wr").alias("avg_champ_wr"))
 
 
@@ -100,31 +107,37 @@ def meta_conformity(team_games: DataFrame, top: int = 20) -> DataFrame:
     """gameid, team, meta_conformity: share of a side's champions among the `top` most
     played so far (ties: the one seen first); null before anything was played.
 
-    A month starts from the totals of the months before, so months are folded apart.
+    A day starts from the totals of the days before, so days are folded apart: a task
+    holds a day's games and a number for each champion.
     """
-    rows = team_games.select("gameid", "date", F.trunc("date", "month").alias("day"), "slot", "team", "champs")
+    rows = cut(team_games.select("gameid", "date", F.to_date("date").alias("day"), "slot", "team", "champs"))
     at = rows.select("day", "date", "gameid", "slot", F.posexplode("champs").alias("pos", "champ"))
     seen = at.groupBy("champ").agg(F.min(F.struct("date", "gameid", "slot", "pos")).alias("first"))
-    daily = at.groupBy("champ", "day").agg(F.count("*").alias("n"))
-    days = daily.select("day").distinct()
-    # as many rows as months times champions
-    start = days.withColumnRenamed("day", "to").join(daily, F.col("day") < F.col("to"))
-    start = start.groupBy(F.col("to").alias("day"), "champ").agg(F.sum("n").alias("n")).join(seen, "champ")
-    start = start.select("day", "champ", "n", F.concat_ws("/", F.date_format("first.date", "yyyyMMddHHmmssSSSSSS"), F.format_string("%020d|%s|%06d", "first.gameid", "first.slot", "first.pos")).alias("first"))
-
-    def fold(key, games: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        count = Counter(dict(zip(totals["champ"], totals["n"])))
-        order = {c: i for i, (c, _) in enumerate(sorted(zip(totals["champ"], totals["first"]), key=lambda x: x[1]))}
-        out, games = [], games.sort_values(["date", "gameid", "slot"])
-        for _, game in games.groupby(["date", "gameid"], sort=False):
+    daily = cut(at.groupBy("champ", "day").agg(F.count("*").alias("n")))
+    # a champion's total holds from the day after to its next day, or to the last of all
+    days = Window.partitionBy("champ").orderBy("day")
+    last = daily.agg(F.max("day")).scalar()
+    spans = daily.select("champ", F.date_add("day", 1).alias("from"), F.coalesce(F.lead("day").over(days), last).alias("to"), F.sum("n").over(days).alias("n"))
+    start = spans.filter("from <= to").select("champ", "n", F.explode(F.sequence("from", "to")).alias("day"))
+    # as many rows as days times champions
+    start = start.join(rows.select("day").distinct(), "day", "left_semi").join(seen, "champ").select("day", "champ", "n", "first")
+
+    def fold(games: pa.Table, totals: pa.Table) -> pa.Table:
+        count = dict(zip(totals["champ"].to_pylist(), totals["n"].to_pylist()))
+        firsts = sorted(zip([tuple(f.values()) for f in totals["first"].to_pylist()], totals["champ"].to_pylist()))
+        order = {c: i for i, (_, c) in enumerate(firsts)}
+        out, by_game = [], {}
+        for row in sorted(games.select(["date", "gameid", "slot", "team", "champs"]).to_pylist(), key=lambda r: (r["date"], r["gameid"], r["slot"])):
+            by_game.setdefault((row["date"], row["gameid"]), []).append(row)
+        for sides in by_game.values():
             best = set(sorted(count, key=lambda c: (-count[c], order[c]))[:top])
-            for row in game.itertuples():
-                own = list(row.champs)
-                out.append((row.gameid, row.team, sum(c in best for c in own) / len(own) if best and own else None))
-            for row in game.itertuples():
-                for c in row.champs:
-                    count[c] += 1
-                    order.setdefault(c, len(order))
-        return pd.DataFrame(out, columns=["gameid", "team", "meta_conformity"])
-
-    return rows.groupBy("day").cogroup(start.groupBy("day")).applyInPandas(fold, "gameid long, team long, meta_conformity double")
+            for row in sides:
+                own = row["champs"]
+                out.append((row["gameid"], row["team"], sum(c in best for c in own) / len(own) if best and own else None))
+            for c in (c for row in sides for c in row["champs"]):
+                count[c] = count.get(c, 0) + 1
+                order.setdefault(c, len(order))
+        gameid, team, share = zip(*out) if out else ([], [], [])
+        return pa.table({"gameid": pa.array(gameid, pa.int64()), "team": pa.array(team, pa.int64()), "meta_conformity": pa.array(share, pa.float64())})
+
+    return rows.groupBy("day").cogroup(start.groupBy("day")).applyInArrow(fold, "gameid long, team long, meta_conformity double")

@@ -402,7 +402,7 @@ def importance_splits(spark, sf):
 @query()
 def tournament_sim(spark, sf):
     """Series picked by the rating before a cut-off: first game of each pair behind it, 0.5 where unknown."""
-    g = with_elo(spark, sf).filter(F.col("year") >= 1998).withColumns(W.series_key(F.col("patch"), F.col("team_a"), F.col("team_b")))
+    g = with_elo(spark, sf).filter(F.col("year") >= 1998).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
     first = Window.partitionBy("series", "team_1", "team_2").orderBy("date", "gameid")
     s = g.withColumn("k", F.row_number().over(first)).filter("k = 1").withColumn("p", F.coalesce("elo_expected", F.lit(0.5)))
     return rounded(s.groupBy("patch").agg(F.count("*").alias("series"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("result")).cast("int")).alias("acc")))

@@ -178,7 +178,7 @@ def player_aggregates(spark, sf):
     return rounded(p.groupBy("gameid", "team").agg(F.avg("kills").alias("avg_kills"), F.max("kills").alias("star"), F.min("kills").alias("weakest")))
 
 
-SERIES = "least(team_a, team_b) || '/' || greatest(team_a, team_b) || '/' || patch"
+SERIES = "least(team_a, team_b) || '/' || greatest(team_a, team_b) || '/' || regexp_replace(game_name, '_[^_]*$', '')"
 
 
 @query(f"""
@@ -188,7 +188,7 @@ u AS (SELECT gameid, len(p) AS n, coalesce(list_sum(list_transform(p, lambda x:
 SELECT gameid, n::BIGINT AS series_games_played, (2 * a - n)::BIGINT AS series_score_diff, (n > 0 AND 2 * a = n)::BIGINT AS is_elimination,
   CASE WHEN n = 0 THEN 0 WHEN last = 1 THEN 1 ELSE -1 END::BIGINT AS series_momentum_a FROM u""")
 def series_state(spark, sf):
-    g = A.games(spark, sf).withColumns(W.series_key(F.col("patch"), F.col("team_a"), F.col("team_b")))
+    g = A.games(spark, sf).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
     return rounded(g.select("gameid", *(c.alias(n) for n, c in W.series_state(["series", "team_1", "team_2"]).items())))
 
 
@@ -197,7 +197,7 @@ def series_state(spark, sf):
 n AS (SELECT *, CASE WHEN coalesce(epoch(date) - epoch(lag(date) OVER (PARTITION BY t1, t2 ORDER BY date, gameid)) > 43200, true) THEN 1 ELSE 0 END AS new FROM s)
 SELECT gameid, sum(new) OVER (PARTITION BY t1, t2 ORDER BY date, gameid)::BIGINT AS series_no FROM n""")
 def series_sessionized(spark, sf):
-    g = A.games(spark, sf).withColumns(W.series_key(F.col("patch"), F.col("team_a"), F.col("team_b")))
+    g = A.games(spark, sf).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
     return rounded(W.sessions(g, ["team_1", "team_2"]).select("gameid", "series_no"))
 
 
@@ -206,11 +206,7 @@ def series_sessionized(spark, sf):
 q AS (SELECT *, flatten(coalesce(list(picks) OVER (PARTITION BY series ORDER BY date, gameid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS past FROM p)
 SELECT gameid, (len(past) > 5 AND len(list_intersect(past, picks)) = 0)::BIGINT AS is_fearless FROM q""")
 def fearless(spark, sf):
-    d = A.drafts(spark, sf).select("gameid", "slot", "champs")
-    g = A.games(spark, sf).withColumns(W.series_key(F.col("patch"), F.col("team_a"), F.col("team_b")))
-    for s in "ab":
-        g = g.join(d.filter(F.col("slot") == s).select("gameid", F.col("champs").alias(f"picks_{s}")), "gameid")
-    g = g.withColumn("picks", F.concat("picks_a", "picks_b"))
+    g = A.with_picks(A.wide_games(spark, sf)).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
     return rounded(g.select("gameid", W.fearless(["series", "team_1", "team_2"]).alias("is_fearless")))
 
 

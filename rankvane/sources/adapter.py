@@ -1,128 +1,170 @@
 """Match tables derived from the order tables.
 
 An order with at least two lines of different suppliers is a game: its first two
-lines are the sides, its other lines fill the rosters and drafts.  `BASE_SQL`
+lines are the sides, its other lines fill the rosters and drafts.  The lines of an
+order are gathered once, in order; sides, drafts and players are read off that
+list, so every table takes one scan and one shuffle of the lines.  `BASE_SQL`
 defines the same tables for the SQL checks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE_ORDER = ("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
+LANES = ("top", "jng", "mid", "bot", "sup")
+_SIDE = {"team": "l_suppkey", "gold": "l_extendedprice", "kills": "l_quantity", "disc": "l_discount", "tax": "l_tax", "side": "l_returnflag", "status": "l_linestatus", "part": "l_partkey"}
+
+#: statistics of a side ({m}) against the other ({y}), in SQL that both engines read
+STATS = {
+    "teamkills": "kills_{m}",
+    "teamdeaths": "kills_{y}",
+    "team_kpm": "kills_{m} / (20.0 + part_{m} % 20)",
+    "ckpm": "(kills_{m} + kills_{y}) / (20.0 + part_{m} % 20)",
+    "firstblood": "CAST(part_{m} % 2 AS DOUBLE)",
+    "firstdragon": "CAST(part_{m} % 3 = 0 AS INT) * 1.0",
+    "dragons": "round(disc_{m} * 100)",
+    "opp_dragons": "round(disc_{y} * 100)",
+    "firstherald": "CAST(part_{m} % 4 = 0 AS INT) * 1.0",
+    "heralds": "CAST(part_{m} % 3 AS DOUBLE)",
+    "firstbaron": "CAST(part_{m} % 5 = 0 AS INT) * 1.0",
+    "barons": "CAST((part_{m} * 3) % 4 AS DOUBLE)",
+    "opp_barons": "CAST((part_{y} * 3) % 4 AS DOUBLE)",
+    "firsttower": "CAST(part_{m} % 2 = 1 AS INT) * 1.0",
+    "towers": "round(tax_{m} * 100)",
+    "opp_towers": "round(tax_{y} * 100)",
+    "dpm": "gold_{m} / (30.0 + part_{m} % 11)",
+    "wpm": "kills_{m} / 10.0 + part_{m} % 3",
+    "vspm": "CASE WHEN part_{m} % 9 <> 0 THEN disc_{m} * 20 + part_{m} % 5 END",
+    "earned_gpm": "gold_{m} / 30.0",
+    "cspm": "CAST(part_{m} % 12 AS DOUBLE)",
+    "golddiffat10": "CASE WHEN status_{m} = 'F' THEN (gold_{m} - gold_{y}) / 2 END",
+    "xpdiffat10": "CASE WHEN status_{m} = 'F' THEN (kills_{m} - kills_{y}) * 10 END",
+    "csdiffat10": "CASE WHEN status_{m} = 'F' THEN CAST(part_{m} % 30 - part_{y} % 30 AS DOUBLE) END",
+    "golddiffat15": "CASE WHEN status_{m} = 'F' THEN gold_{m} - gold_{y} END",
+    "xpdiffat15": "CASE WHEN status_{m} = 'F' THEN (kills_{m} - kills_{y}) * 15 END",
+    "csdiffat15": "CASE WHEN status_{m} = 'F' THEN CAST(part_{m} % 40 - part_{y} % 40 AS DOUBLE) END",
+    "turretplates": "CAST(part_{m} % 6 AS DOUBLE)",
+    "gamelength": "1500.0 + (part_{m} + part_{y}) % 900",
+}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gameid, xs): the lines of each order as structs, in LINE_ORDER."""
     lines = read(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    return lines.withColumn("rn", F.row_number().over(order))
+    line = F.struct(*LINE_ORDER, "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    return lines.groupBy(F.col("l_orderkey").alias("gameid")).agg(F.sort_array(F.collect_list(line)).alias("xs"))
 
 
-def _side(lines: DataFrame, rn: int, slot: str) -> DataFrame:
-    named = {"l_suppkey": "team", "l_extendedprice": "gold", "l_quantity": "kills", "l_discount": "disc", "l_tax": "tax", "l_returnflag": "side", "l_linestatus": "status"}
-    return lines.filter(F.col("rn") == rn).select(F.col("l_orderkey").alias("gameid"), *(F.col(c).alias(f"{n}_{slot}") for c, n in named.items()))
-
-
-def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each game: ids, date, league, patch, both sides' numbers, result (1: a wins)."""
-    lines = ranked_lines(spark, sf_dir)
+def wide_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """games() with xs, all lines of the game."""
     orders = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("gameid"), F.col("o_orderdate").cast("timestamp").alias("date"), F.col("o_orderpriority").alias("league")
     )
-    pairs = _side(lines, 1, "a").join(_side(lines, 2, "b"), "gameid").filter("team_a <> team_b")
-    return pairs.join(orders, "gameid").select(
+    first, second = F.col("xs")[0], F.col("xs")[1]
+    pairs = order_lines(spark, sf_dir).filter((F.size("xs") >= 2) & (F.get("xs", F.lit(0))["l_suppkey"] != F.get("xs", F.lit(1))["l_suppkey"]))
+    sides = [x[c].alias(f"{n}_{slot}") for x, slot in ((first, "a"), (second, "b")) for n, c in _SIDE.items()]
+    return pairs.select("gameid", *sides, "xs").join(orders, "gameid").select(
         "*",
         F.year("date").alias("year"),
         F.date_format("date", "yyyy-MM").alias("patch"),
         (F.col("gold_a") > F.col("gold_b")).cast("int").alias("result"),
         (F.lit(1) + F.col("gameid") % 3).cast("int").alias("game_num"),
         (F.col("gameid") % 5 == 0).cast("int").alias("playoffs"),
+        # an id whose prefix several games of a pair share
+        F.concat(F.date_format("date", "yyyy-MM"), F.lit("_"), F.col("gameid").cast("string")).alias("game_name"),
     )
 
 
-def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gameid, slot): champs, bans and parts of a side's lines, in line order."""
-    lines = ranked_lines(spark, sf_dir).select(
-        F.col("l_orderkey").alias("gameid"),
-        F.when(F.col("rn") % 2 == 1, "a").otherwise("b").alias("slot"),
-        F.struct("rn", "l_partkey").alias("x"),
-    )
-    by = lines.groupBy("gameid", "slot").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    number = lambda f: F.transform("xs", lambda x: F.concat(F.lit("c"), f(x["l_partkey"]).cast("string")))
-    return by.select(
-        "gameid",
-        "slot",
-        number(lambda p: p % 25).alias("champs"),
-        number(lambda p: (p * 7) % 25).alias("bans"),
-        F.transform("xs", lambda x: x["l_partkey"] % 5).alias("lanes"),
-    )
+def games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each game: ids, date, league, patch, both sides' numbers, result (1: a wins)."""
+    return wide_games(spark, sf_dir).drop("xs")
+
+
+def _own(slot: str) -> Column:
+    """The lines of a slot: the first, third, ... are a's, the others b's."""
+    return F.filter("xs", lambda x, i: i % 2 == (0 if slot == "a" else 1))
+
+
+def _draft(own: Column) -> dict[str, Column]:
+    name = lambda f: F.transform(own, lambda x: F.concat(F.lit("c"), f(x["l_partkey"]).cast("string")))
+    return {"champs": name(lambda p: p % 25), "bans": name(lambda p: (p * 7) % 25), "lanes": F.transform(own, lambda x: x["l_partkey"] % 5)}
+
 
+def _roster(lanes: Column, team: str) -> Column:
+    return F.array_distinct(F.transform(lanes, lambda x: F.concat(F.lit("p"), F.col(team).cast("string"), F.lit("_"), x.cast("string"))))
 
-def team_games(spark: SparkSession, sf_dir: str, with_drafts: bool = False) -> DataFrame:
-    """Two rows for each game, one a side."""
-    both = games(spark, sf_dir)
-    out = None
+
+def _players(slot: str) -> Column:
+    """For each player of a slot its first line, with the slot, team and result."""
+    own, won = _own(slot), F.col("result") if slot == "a" else 1 - F.col("result")
+    lanes = F.transform(own, lambda x: x["l_partkey"] % 5)
+    firsts = F.filter(own, lambda x, i: F.array_position(lanes, x["l_partkey"] % 5) == i + 1)
+    return F.transform(firsts, lambda x: F.struct(F.lit(slot).alias("slot"), F.col(f"team_{slot}").alias("team"), won.alias("result"), x.alias("x")))
+
+
+def with_picks(wide: DataFrame) -> DataFrame:
+    """Adds picks: the champions of both sides."""
+    return wide.withColumn("picks", F.concat(_draft(_own("a"))["champs"], _draft(_own("b"))["champs"]))
+
+
+def team_games(spark: SparkSession, sf_dir: str, with_drafts: bool = False, stats: bool = False) -> DataFrame:
+    """Two rows for each game, one a side; with_drafts adds champs, bans, opp_bans and
+    roster, stats the rest of STATS."""
+    wide = wide_games(spark, sf_dir)
+    sides = []
     for me, you in (("a", "b"), ("b", "a")):
-        one = both.select(
-            "gameid", "date", "year", "league", "patch", "game_num", "playoffs",
-            F.lit(me).alias("slot"),
-            F.col(f"team_{me}").alias("team"),
-            F.col(f"team_{you}").alias("opp"),
-            F.col(f"side_{me}").alias("side"),
-            (F.col("result") if me == "a" else 1 - F.col("result")).alias("result"),
-            F.col(f"kills_{me}").alias("kills"),
-            F.col(f"kills_{you}").alias("deaths"),
-            F.col(f"gold_{me}").alias("gold"),
-            F.round(F.col(f"disc_{me}") * 100).alias("dragons"),
-            F.round(F.col(f"disc_{you}") * 100).alias("opp_dragons"),
-            F.round(F.col(f"tax_{me}") * 100).alias("towers"),
-            F.round(F.col(f"tax_{you}") * 100).alias("opp_towers"),
-            F.when(F.col(f"status_{me}") == "F", F.col(f"gold_{me}") - F.col(f"gold_{you}")).alias("golddiffat15"),
-        )
-        out = one if out is None else out.unionByName(one)
-    if not with_drafts:
-        return out
-    d = drafts(spark, sf_dir)
-    empty = F.array().cast("array<string>")
-    theirs = d.select("gameid", F.when(F.col("slot") == "a", "b").otherwise("a").alias("slot"), F.col("bans").alias("opp_bans"))
-    out = out.join(d, ["gameid", "slot"], "left").join(theirs, ["gameid", "slot"], "left")
-    player = lambda x: F.concat(F.lit("p"), F.col("team").cast("string"), F.lit("_"), x.cast("string"))
-    return out.select(
-        *(c for c in out.columns if c not in ("champs", "bans", "lanes", "opp_bans")),
-        F.coalesce("champs", empty).alias("champs"),
-        F.coalesce("bans", empty).alias("bans"),
-        F.coalesce("opp_bans", empty).alias("opp_bans"),
-        F.array_distinct(F.transform(F.coalesce("lanes", F.array().cast("array<bigint>")), player)).alias("roster"),
-    )
+        own = {
+            "slot": F.lit(me),
+            "team": F.col(f"team_{me}"),
+            "opp": F.col(f"team_{you}"),
+            "side": F.col(f"side_{me}"),
+            "result": F.col("result") if me == "a" else 1 - F.col("result"),
+            "kills": F.col(f"kills_{me}"),
+            "deaths": F.col(f"kills_{you}"),
+            "gold": F.col(f"gold_{me}"),
+        }
+        names = STATS if stats else ("dragons", "opp_dragons", "towers", "opp_towers", "golddiffat15")
+        own |= {n: F.expr(STATS[n].format(m=me, y=you)) for n in names}
+        if with_drafts:
+            d = _draft(_own(me))
+            own |= {"champs": d["champs"], "bans": d["bans"], "opp_bans": _draft(_own(you))["bans"], "roster": _roster(d["lanes"], f"team_{me}")}
+        sides.append(F.struct(*(c.alias(n) for n, c in own.items())))
+    whole = ["gameid", "date", "year", "league", "patch", "game_num", "playoffs"]
+    return wide.select(*whole, F.explode(F.array(*sides)).alias("s")).select(*whole, "s.*")
 
 
 def player_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (game, player): the first line that the player has there."""
-    sides = games(spark, sf_dir).select("gameid", "date", "league", "result", F.explode(F.array(
-        F.struct(F.lit("a").alias("slot"), F.col("team_a").alias("team"), F.col("result").alias("won")),
-        F.struct(F.lit("b").alias("slot"), F.col("team_b").alias("team"), (1 - F.col("result")).alias("won")),
-    )).alias("s")).select("gameid", "date", "league", "s.*")
-    lines = ranked_lines(spark, sf_dir).select(
-        F.col("l_orderkey").alias("gameid"), "rn", "l_partkey", "l_quantity", "l_tax", "l_discount", "l_extendedprice",
-        F.when(F.col("rn") % 2 == 1, "a").otherwise("b").alias("slot"),
+    wide = wide_games(spark, sf_dir)
+    rows = wide.select("gameid", "date", "league", F.explode(F.concat(_players("a"), _players("b"))).alias("p")).select("gameid", "date", "league", "p.*")
+    lane = F.col("x.l_partkey") % 5
+    return rows.select(
+        "gameid", "date", "league", "slot", "team", "result",
+        F.concat(F.lit("p"), F.col("team").cast("string"), F.lit("_"), lane.cast("string")).alias("player"),
+        F.concat(F.lit("c"), (F.col("x.l_partkey") % 25).cast("string")).alias("champ"),
+        F.element_at(F.array(*map(F.lit, LANES)), (lane + 1).cast("int")).alias("position"),
+        F.col("x.l_quantity").alias("kills"),
+        F.round(F.col("x.l_discount") * 100).alias("deaths"),
+        F.round(F.col("x.l_tax") * 100).alias("assists"),
+        (F.col("x.l_extendedprice") / 100).alias("dpm"),
     )
-    rows = sides.join(lines, ["gameid", "slot"]).select(
-        "gameid", "date", "league", "slot", "team", F.col("won").alias("result"), "rn",
-        F.concat(F.lit("p"), F.col("team").cast("string"), F.lit("_"), (F.col("l_partkey") % 5).cast("string")).alias("player"),
-        F.concat(F.lit("c"), (F.col("l_partkey") % 25).cast("string")).alias("champ"),
-        F.element_at(F.array(*(F.lit(p) for p in ("top", "jng", "mid", "bot", "sup"))), (F.col("l_partkey") % 5 + 1).cast("int")).alias("position"),
-        F.col("l_quantity").alias("kills"),
-        F.round(F.col("l_discount") * 100).alias("deaths"),
-        F.round(F.col("l_tax") * 100).alias("assists"),
-        (F.col("l_extendedprice") / 100).alias("dpm"),
-    )
-    first = Window.partitionBy("gameid", "player").orderBy("rn")
-    return rows.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
+
+
+def stat_rows_sql() -> str:
+    """SQL of `stat_rows`: team_rows with all of STATS."""
+    own = lambda m, y: ", ".join(f"{e.format(m=m, y=y)} AS {n}" for n, e in STATS.items())
+    return f""", stat_rows AS (
+  SELECT gameid, date, 'a' AS slot, team_a AS team, team_b AS opp, side_a AS side, result, game_num, playoffs, league, patch, year, {own("a", "b")} FROM games
+  UNION ALL
+  SELECT gameid, date, 'b', team_b, team_a, side_b, 1 - result, game_num, playoffs, league, patch, year, {own("b", "a")} FROM games
+)
+"""
 
 
 BASE_SQL = """
@@ -134,7 +176,8 @@ WITH RECURSIVE ranked AS (
     (a.l_extendedprice > b.l_extendedprice)::INT AS result, (1 + a.l_orderkey % 3)::INT AS game_num, (a.l_orderkey % 5 = 0)::INT AS playoffs,
     a.l_extendedprice AS gold_a, b.l_extendedprice AS gold_b, a.l_quantity AS kills_a, b.l_quantity AS kills_b,
     a.l_discount AS disc_a, b.l_discount AS disc_b, a.l_tax AS tax_a, b.l_tax AS tax_b,
-    a.l_returnflag AS side_a, b.l_returnflag AS side_b, a.l_linestatus AS status_a, b.l_linestatus AS status_b
+    a.l_returnflag AS side_a, b.l_returnflag AS side_b, a.l_linestatus AS status_a, b.l_linestatus AS status_b, a.l_partkey AS part_a, b.l_partkey AS part_b,
+    strftime(o.o_orderdate, '%Y-%m') || '_' || a.l_orderkey AS game_name
   FROM ranked a JOIN ranked b ON a.l_orderkey = b.l_orderkey AND a.rn = 1 AND b.rn = 2 JOIN orders o ON o.o_orderkey = a.l_orderkey
   WHERE a.l_suppkey <> b.l_suppkey
 ), drafts AS (
