@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.store import cut  # noqa: F401
+
 #: stands for a missing doc_id in keys: smaller than every real id
 NULL_ID = -(2**63)
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,26 +28,6 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the session
-    names.  Where it names none: a temporary folder on a local master, else one in the
-    warehouse, which driver and executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints"))
-    # what the checkpoint shuffled is of no use behind it: Spark drops those files at its end
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # planned anew, under that setting
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and text only: null ids become NULL_ID, null texts the empty text."""
     return docs.select(
