@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evalqueries, matchqueries
+from . import evalqueries, matchqueries, versions
 
-MODULES = (matchqueries, evalqueries)
+MODULES = (matchqueries, evalqueries, versions)
 
 
 def queries() -> dict:

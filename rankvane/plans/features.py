@@ -45,6 +45,16 @@ def pair(sides: DataFrame) -> DataFrame:
     return g.select("gameid", "date", "team_a", "team_b", F.col("result_a").alias("result"), "n_games_a", "n_games_b", "game_number", "is_playoffs", *(c.alias(n) for n, c in named.items()))
 
 
+def attach(games: DataFrame, per_team: DataFrame, columns: list[str]) -> DataFrame:
+    """games with {column}_a and {column}_b: the values of per_team (gameid, team, columns) of the
+    game's team_a and team_b, found by the team's name; null for a team that has no row."""
+    row = F.struct(*columns)
+    of = per_team.groupBy("gameid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("team").alias("k"), row.alias("v")))).alias("__teams"))  # the teams of one game
+    out = games.join(of, "gameid", "left")
+    out = out.withColumns({f"__{s}": F.try_element_at("__teams", F.col(f"team_{s}")) for s in "ab"})
+    return out.select(*games.columns, *(F.col(f"__{s}")[c].alias(f"{c}_{s}") for c in columns for s in "ab"))
+
+
 def core(spark, sf) -> DataFrame:
     return pair(side_features(A.team_games(spark, sf)))
 

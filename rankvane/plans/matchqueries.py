@@ -169,13 +169,29 @@ def pool_experience(spark, sf):
     return rounded(p.select("gameid", "player", "pool_size", W.game_count(["player"]).alias("experience")))
 
 
-@query("""
-, f AS (SELECT *, CASE team WHEN NULL THEN 0 ELSE 1 END AS one FROM player_games),
-m AS (SELECT gameid, team, avg(kills) AS avg_kills, max(kills) AS star, min(kills) AS weakest FROM f GROUP BY gameid, team)
-SELECT gameid, team, round(avg_kills, 6) AS avg_kills, star, weakest FROM m""")
+PLAYERS_SQL = f"""
+, pfirst AS (SELECT *, row_number() OVER (PARTITION BY player, champ ORDER BY date, gameid) = 1 AS fresh FROM player_games),
+pstate AS (
+  SELECT gameid, team, position, avg(kills) {over('player', 10)} AS k, avg(deaths) {over('player', 10)} AS d, avg(assists) {over('player', 10)} AS a,
+    CASE WHEN count(result) {over('player', 15)} >= 3 THEN avg(result) {over('player', 3)} - avg(result) {over('player', 15)} ELSE 0.0 END AS streak,
+    count(dpm) {over('player', 30)} AS n30, avg(dpm) {over('player', 5)} AS now, avg(dpm) OVER (PARTITION BY player ORDER BY date, gameid ROWS BETWEEN 20 PRECEDING AND 6 PRECEDING) AS past,
+    coalesce(avg(result) {over('player, champ')}, 0.5) AS comfort, count(*) {over('player, champ')} AS on_champ,
+    coalesce(sum(fresh::INT) {over('player')}, 0) AS pool, count(*) {over('player')} AS experience FROM pfirst
+), pvalues AS (
+  SELECT *, CASE WHEN d IS NOT NULL THEN {KDA_SQL} END AS kda, CASE WHEN n30 >= 7 AND now IS NOT NULL AND abs(past) >= 1e-6 THEN (now - past) / (abs(past) + 1e-6) ELSE 0.0 END AS trajectory,
+    list_position(['top', 'jng', 'mid', 'bot', 'sup'], position) AS place FROM pstate
+), pside AS (
+  SELECT gameid, team, avg(kda) AS avg_player_kda, avg(streak) AS avg_player_streak, avg(trajectory) AS avg_player_trajectory, avg(comfort) AS avg_champ_comfort, avg(on_champ) AS avg_champ_games,
+    avg(pool) AS avg_player_pool, avg(experience) AS player_experience, CASE WHEN first(kda ORDER BY place) IS NOT NULL THEN max(kda) END AS star_player_kda,
+    CASE WHEN first(kda ORDER BY place) IS NOT NULL THEN min(kda) END AS weakest_player_kda FROM pvalues GROUP BY gameid, team
+)
+"""
+PLAYER_FEATURES = ("avg_player_kda", "avg_player_streak", "avg_player_trajectory", "avg_champ_comfort", "avg_champ_games", "avg_player_pool", "star_player_kda", "weakest_player_kda", "player_experience")
+
+
+@query(PLAYERS_SQL + "SELECT gameid, team, " + ", ".join(f"round({c}, 6) AS {c}" for c in PLAYER_FEATURES) + " FROM pside")
 def player_aggregates(spark, sf):
-    p = A.player_games(spark, sf)
-    return rounded(p.groupBy("gameid", "team").agg(F.avg("kills").alias("avg_kills"), F.max("kills").alias("star"), F.min("kills").alias("weakest")))
+    return rounded(W.player_sides(A.player_games(spark, sf), A.LANES).select("gameid", "team", *PLAYER_FEATURES))
 
 
 SERIES = "least(team_a, team_b) || '/' || greatest(team_a, team_b) || '/' || regexp_replace(game_name, '_[^_]*$', '')"
@@ -318,8 +334,8 @@ COACH_SQL = """
 """
 
 
-def coaches(spark, sf) -> DataFrame:
-    t = A.team_games(spark, sf).filter("(team + year) % 4 <> 0").select("team", "year").distinct()
+def coaches(spark, sf, sides: DataFrame | None = None) -> DataFrame:
+    t = (A.team_games(spark, sf) if sides is None else sides).filter("(team + year) % 4 <> 0").select("team", "year").distinct()
     return t.withColumn("coach", F.concat(F.lit("k"), (F.floor((F.col("team") * 7 + F.col("year")) / 2) % 11).cast("string")))
 
 
@@ -378,9 +394,10 @@ def region(c):
     return F.when(c == "1-URGENT", "KR").when(c == "2-HIGH", "CN").when(c == "3-MEDIUM", "EU").when(c == "4-NOT SPECIFIED", "INT").otherwise("NA")
 
 
-def with_regions(spark, sf) -> DataFrame:
-    home = dims.primary_league(A.team_games(spark, sf)).select("team", region(F.col("home_league")).alias("home"))
-    g = A.games(spark, sf).withColumn("event", region(F.col("league")))
+def with_regions(spark, sf, wide: DataFrame | None = None) -> DataFrame:
+    wide = A.wide_games(spark, sf) if wide is None else wide
+    home = dims.primary_league(A.sides_of(wide)).select("team", region(F.col("home_league")).alias("home"))
+    g = wide.drop("xs").withColumn("event", region(F.col("league")))
     for s in "ab":
         g = g.join(home.select(F.col("team").alias(f"team_{s}"), F.col("home").alias(f"region_{s}")), f"team_{s}", "left")
         g = g.withColumn(f"region_{s}", F.coalesce(f"region_{s}", "event", F.lit("INT")))
@@ -404,8 +421,8 @@ carry AS (SELECT region, arg_max(k, (gold, -k)) AS carry FROM (SELECT *, list_po
 """
 
 
-def profile(spark, sf) -> DataFrame:
-    p = A.player_games(spark, sf).select(region(F.col("league")).alias("region"), "position", (F.col("dpm") * 100).alias("gold"), F.col("kills").alias("dmg"))
+def profile(spark, sf, players: DataFrame | None = None) -> DataFrame:
+    p = (A.player_games(spark, sf) if players is None else players).select(region(F.col("league")).alias("region"), "position", (F.col("dpm") * 100).alias("gold"), F.col("kills").alias("dmg"))
     return dims.region_profile(p)
 
 

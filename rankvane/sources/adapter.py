@@ -23,15 +23,15 @@ STATS = {
     "team_kpm": "kills_{m} / (20.0 + part_{m} % 20)",
     "ckpm": "(kills_{m} + kills_{y}) / (20.0 + part_{m} % 20)",
     "firstblood": "CAST(part_{m} % 2 AS DOUBLE)",
-    "firstdragon": "CAST(part_{m} % 3 = 0 AS INT) * 1.0",
+    "firstdragon": "CAST(CAST(part_{m} % 3 = 0 AS INT) AS DOUBLE)",
     "dragons": "round(disc_{m} * 100)",
     "opp_dragons": "round(disc_{y} * 100)",
-    "firstherald": "CAST(part_{m} % 4 = 0 AS INT) * 1.0",
+    "firstherald": "CAST(CAST(part_{m} % 4 = 0 AS INT) AS DOUBLE)",
     "heralds": "CAST(part_{m} % 3 AS DOUBLE)",
-    "firstbaron": "CAST(part_{m} % 5 = 0 AS INT) * 1.0",
+    "firstbaron": "CAST(CAST(part_{m} % 5 = 0 AS INT) AS DOUBLE)",
     "barons": "CAST((part_{m} * 3) % 4 AS DOUBLE)",
     "opp_barons": "CAST((part_{y} * 3) % 4 AS DOUBLE)",
-    "firsttower": "CAST(part_{m} % 2 = 1 AS INT) * 1.0",
+    "firsttower": "CAST(CAST(part_{m} % 2 = 1 AS INT) AS DOUBLE)",
     "towers": "round(tax_{m} * 100)",
     "opp_towers": "round(tax_{y} * 100)",
     "dpm": "gold_{m} / (30.0 + part_{m} % 11)",
@@ -46,7 +46,7 @@ STATS = {
     "xpdiffat15": "CASE WHEN status_{m} = 'F' THEN (kills_{m} - kills_{y}) * 15 END",
     "csdiffat15": "CASE WHEN status_{m} = 'F' THEN CAST(part_{m} % 40 - part_{y} % 40 AS DOUBLE) END",
     "turretplates": "CAST(part_{m} % 6 AS DOUBLE)",
-    "gamelength": "1500.0 + (part_{m} + part_{y}) % 900",
+    "gamelength": "CAST(1500 + (part_{m} + part_{y}) % 900 AS DOUBLE)",
 }
 
 
@@ -116,7 +116,10 @@ def with_picks(wide: DataFrame) -> DataFrame:
 def team_games(spark: SparkSession, sf_dir: str, with_drafts: bool = False, stats: bool = False) -> DataFrame:
     """Two rows for each game, one a side; with_drafts adds champs, bans, opp_bans and
     roster, stats the rest of STATS."""
-    wide = wide_games(spark, sf_dir)
+    return sides_of(wide_games(spark, sf_dir), with_drafts, stats)
+
+
+def sides_of(wide: DataFrame, with_drafts: bool = False, stats: bool = False) -> DataFrame:
     sides = []
     for me, you in (("a", "b"), ("b", "a")):
         own = {
@@ -141,7 +144,10 @@ def team_games(spark: SparkSession, sf_dir: str, with_drafts: bool = False, stat
 
 def player_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each (game, player): the first line that the player has there."""
-    wide = wide_games(spark, sf_dir)
+    return players_of(wide_games(spark, sf_dir))
+
+
+def players_of(wide: DataFrame) -> DataFrame:
     rows = wide.select("gameid", "date", "league", F.explode(F.concat(_players("a"), _players("b"))).alias("p")).select("gameid", "date", "league", "p.*")
     lane = F.col("x.l_partkey") % 5
     return rows.select(
