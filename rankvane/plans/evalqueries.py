@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import metrics as M
 from ..operators import models as ML
-from ..operators import serving
+from ..operators import serving, simulation
 from ..operators import windows as W
 from ..sources import adapter as A
-from . import features
+from ..sources.store import cut
+from . import features, versions
 from .matchqueries import ELO_SQL, TIER_SQL, over, rounded, tier, with_elo
 
 REGISTRY: dict = {}
@@ -33,11 +34,10 @@ def query(sql: str | None = None, base: bool = True):
 # ---- scans, projections, filters
 
 @query("""
-SELECT year(o_orderdate)::BIGINT AS year, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997) GROUP BY 1""", base=False)
+SELECT year(o_orderdate)::BIGINT AS year, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""", base=False)
 def scan_union_years(spark, sf):
-    o = A.read(spark, sf, "orders").select("o_orderdate", "o_totalprice").withColumn("year", F.year("o_orderdate"))
-    parts = [o.filter(F.col("year") == y) for y in (1995, 1996, 1997)]
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # files of other years are other paths of the same read
+    u = A.read(spark, sf, "orders").select("o_totalprice", F.year("o_orderdate").alias("year"))
     return rounded(u.groupBy("year").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total")), 2)
 
 
@@ -125,14 +125,14 @@ def latest_per_team(spark, sf):
 
 
 @query("""
-, f AS (SELECT gameid AS probe, team_a AS x, team_b AS y, date FROM games WHERE league = '1-URGENT' AND year = 1996),
+, f AS (SELECT gameid AS probe, team_a AS x, team_b AS y, date FROM games),
 c AS (SELECT f.probe, g.gameid, row_number() OVER (PARTITION BY f.probe ORDER BY g.date, g.gameid) AS k FROM f JOIN games g ON ((g.team_a = f.x AND g.team_b = f.y) OR (g.team_a = f.y AND g.team_b = f.x))
   AND abs(floor((epoch(g.date) - epoch(f.date)) / 86400)) <= 30)
 SELECT probe, gameid AS found FROM c WHERE k = 1""")
 def band_join_first(spark, sf):
     g = A.games(spark, sf).select("gameid", "date", "league", "year", F.least("team_a", "team_b").alias("t1"), F.greatest("team_a", "team_b").alias("t2"))
     # the pair in a fixed order makes "either orientation" an equi-join; the band is a filter on it
-    f = g.filter("league = '1-URGENT' AND year = 1996").select(F.col("gameid").alias("probe"), F.col("date").alias("at"), "t1", "t2")
+    f = g.select(F.col("gameid").alias("probe"), F.col("date").alias("at"), "t1", "t2")
     both = f.join(g, ["t1", "t2"]).filter(F.abs(S.whole_days(F.col("date"), F.col("at"))) <= 30)
     return both.groupBy("probe").agg(F.min_by("gameid", F.struct("date", "gameid")).alias("found"))
 
@@ -168,7 +168,7 @@ def league_and_format(spark, sf):
 @query(f"""
 , m AS (SELECT gameid, team, avg(dragons) {over('team', 10)} AS d, avg(opp_dragons) {over('team', 10)} AS od, avg(towers) {over('team', 10)} AS t, avg(opp_towers) {over('team', 10)} AS ot,
   avg(kills) {over('team', 10)} AS k, avg(deaths) {over('team', 10)} AS x FROM team_rows)
-SELECT gameid, team, round(CASE WHEN d IS NOT NULL AND od IS NOT NULL THEN d / greatest(d + od, 0.5) END, 6) AS dragon_control, round(CASE WHEN t IS NOT NULL AND ot IS NOT NULL THEN t / greatest(t + ot, 0.01) END, 6) AS tower_control,
+SELECT gameid, team, round(CASE WHEN d IS NOT NULL AND od IS NOT NULL THEN d / greatest(d + od, 0.5) END, 6) AS dragon_control, round(CASE WHEN t IS NOT NULL AND ot IS NOT NULL THEN t / greatest(t + ot, 0.5) END, 6) AS tower_control,
   round(CASE WHEN x IS NOT NULL THEN k / greatest(CASE WHEN x = 0 THEN 1.0 ELSE x END, 0.5) END, 6) AS kda_ratio FROM m""")
 def derived_control_diffs(spark, sf):
     m = {c: W.rolling_mean(c, ["team"], 10) for c in ("dragons", "opp_dragons", "towers", "opp_towers", "kills", "deaths")}
@@ -176,7 +176,7 @@ def derived_control_diffs(spark, sf):
     return rounded(t.select(
         "gameid", "team",
         S.control_share(F.col("m_dragons"), F.col("m_opp_dragons")).alias("dragon_control"),
-        S.control_share(F.col("m_towers"), F.col("m_opp_towers"), 0.01).alias("tower_control"),
+        S.control_share(F.col("m_towers"), F.col("m_opp_towers")).alias("tower_control"),
         W.kda(F.col("m_kills"), F.col("m_deaths")).alias("kda_ratio"),
     ))
 
@@ -186,11 +186,11 @@ def features_core(spark, sf):
     return rounded(features.core(spark, sf).select("gameid", *features.CORE))
 
 
-@query(features.SIDE_SQL + features.PAIR_SQL + "SELECT gameid, round(0.25 * wr_diff_10 * 2 + 0.2 * coalesce(kda_ratio_diff, 0) + 0.15 * coalesce(dragon_control_diff, 0) * 2 + 0.1 * coalesce(avg10_golddiffat15_diff, 0) / 1000, 6) AS composite FROM pairrow")
+@query(ELO_SQL + features.SIDE_SQL + features.PAIR_SQL + "SELECT p.gameid, round(0.3 * (f.a - f.b) / 200 + 0.25 * wr_diff_10 * 2 + 0.2 * coalesce(kda_ratio_diff, 0) + 0.15 * coalesce(dragon_control_diff, 0) * 2 + 0.1 * coalesce(avg10_golddiffat15_diff, 0) / 1000, 6) AS composite FROM pairrow p JOIN fold f ON f.gameid = p.gameid AND f.i > 0")
 def composite_strength(spark, sf):
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    f = features.core(spark, sf)
-    return rounded(f.select("gameid", (0.25 * F.col("wr_diff_10") * 2 + 0.2 * z("kda_ratio_diff") + 0.15 * z("dragon_control_diff") * 2 + 0.1 * z("avg10_golddiffat15_diff") / 1000).alias("composite")))
+    f = features.core(spark, sf).join(with_elo(spark, sf).select("gameid", "elo_diff"), "gameid")
+    parts = ("elo_diff", "wr_diff_10", "kda_ratio_diff", "dragon_control_diff", "avg10_golddiffat15_diff")
+    return rounded(f.select("gameid", versions.composite(*map(F.col, parts)).alias("composite")))
 
 
 @query(features.SIDE_SQL + features.PAIR_SQL + "SELECT gameid, n_games_a, n_games_b FROM pairrow WHERE n_games_a >= 5 AND n_games_b >= 5")
@@ -265,11 +265,13 @@ def standardize(spark, sf):
     return rounded(M.standardized(g, ["kills_a", "gold_a"], F.col("year") < 1996).select("gameid", "kills_a", "gold_a"))
 
 
-@query("SELECT round(quantile_cont(gold_a, 0.05), 4) AS p05, round(quantile_cont(gold_a, 0.5), 4) AS p50, round(quantile_cont(gold_a, 0.95), 4) AS p95 FROM games")
+CUTS = [round((5 + 90 * i / 19) / 100, 6) for i in range(20)]  # from the 5th to the 95th percentile
+
+
+@query("SELECT " + ", ".join(f"round(quantile_cont(gold_a, {q}), 4) AS q{i:02d}" for i, q in enumerate(CUTS)) + " FROM games")
 def split_candidates(spark, sf):
-    q = F.percentile("gold_a", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    g = A.games(spark, sf).agg(q.alias("q"))
-    return rounded(g.select(F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95")), 4)
+    g = A.games(spark, sf).agg(F.percentile("gold_a", F.array(*map(F.lit, CUTS))).alias("q"))
+    return rounded(g.select(*(F.col("q")[i].alias(f"q{i:02d}") for i in range(len(CUTS)))), 4)
 
 
 # ---- serving
@@ -338,13 +340,23 @@ def text_search(spark, sf):
 
 # ---- models (fits have no form in SQL)
 
+_TABLES: dict = {}
+
+
+def feature_table(spark, sf) -> DataFrame:
+    """The table of all versions, written once for a session and read by every model."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = cut(versions.features(spark, sf).filter("n_games_a >= 5 AND n_games_b >= 5"))
+    return _TABLES[key]
+
+
 def _parts(spark, sf):
-    f = features.core(spark, sf).filter("n_games_a >= 5 AND n_games_b >= 5")
-    f = f.join(with_elo(spark, sf).select("gameid", "elo_diff", "elo_expected"), "gameid")
-    columns = [*features.CORE, "elo_diff", "elo_expected"]
-    rows = M.temporal_split(f, ["date", "gameid"])
+    columns = list(versions.VERSIONS[4])
+    rows = M.temporal_split(feature_table(spark, sf), ["date", "gameid"])
     rows = M.standardized(rows, columns, F.col("part") == "train")
-    rows = ML.matrix(rows, columns).select("gameid", "part", "rn", "n", "y", "features").persist()
+    rows = cut(ML.matrix(rows, columns).select("gameid", "part", "rn", "n", "y", "features"))
     return rows, columns, {p: rows.filter(F.col("part") == p) for p in ("train", "val", "test")}
 
 
@@ -357,29 +369,30 @@ def lr(spark, sf):
 @query()
 def gbdt(spark, sf):
     _, _, p = _parts(spark, sf)
-    return rounded(ML.compared(p["train"], p["test"], {"gbdt": ML.boosted(maxIter=10)}))
+    return rounded(ML.compared(p["train"], p["test"], {"gbdt": ML.boosted()}))
 
 
 @query()
 def forest_mlp_tree(spark, sf):
     _, columns, p = _parts(spark, sf)
-    return rounded(ML.compared(p["train"], p["test"], {"rf": ML.forest(numTrees=20), "tree": ML.tree(), "mlp": ML.perceptron(len(columns), maxIter=20)}))
+    return rounded(ML.compared(p["train"], p["test"], {"rf": ML.forest(), "tree": ML.tree(), "mlp": ML.perceptron(len(columns))}))
 
 
 @query()
 def weighted_ensemble(spark, sf):
-    _, _, p = _parts(spark, sf)
+    _, columns, p = _parts(spark, sf)
     val, test = p["val"], p["test"]
-    for name, e in {"p_lr": ML.logistic(), "p_tree": ML.tree()}.items():
+    members = {"p_lr": ML.logistic(), "p_gbdt": ML.boosted(), "p_rf": ML.forest(), "p_mlp": ML.perceptron(len(columns))}
+    for name, e in members.items():
         m = e.fit(p["train"])
         val, test = ML.predict(m, val, name), ML.predict(m, test, name)
-    return rounded(ML.weighted_ensemble(val, test, ["p_lr", "p_tree"]).select("gameid", "p"))
+    return rounded(ML.weighted_ensemble(val, test, list(members)).select("gameid", "p"))
 
 
 @query()
 def stacking(spark, sf):
     _, _, p = _parts(spark, sf)
-    members = {"p_lr": ML.logistic(), "p_tree": ML.tree()}
+    members = {"p_lr": ML.logistic(), "p_rf": ML.forest(), "p_tree": ML.tree()}
     train, test = ML.out_of_fold(p["train"], members), p["test"]
     for name, e in members.items():
         test = ML.predict(e.fit(p["train"]), test, name)
@@ -389,20 +402,50 @@ def stacking(spark, sf):
 @query()
 def walk_forward(spark, sf):
     rows, _, _ = _parts(spark, sf)
-    return rounded(ML.walk_forward(rows, ML.logistic(), splits=3, least=min(1000, rows.count() // 2)))
+    return rounded(ML.with_summary(ML.walk_forward(rows, ML.logistic())))
 
 
 @query()
 def importance_splits(spark, sf):
     _, columns, p = _parts(spark, sf)
-    share = ML.split_importance(ML.boosted(maxIter=5).fit(p["train"]), columns)
+    share = ML.split_importance(ML.boosted().fit(p["train"]), columns)
     return spark.createDataFrame(sorted(share.items(), key=lambda x: (-x[1], x[0])), "feature string, importance double").limit(30)
 
 
 @query()
+def compare_versions(spark, sf):
+    """The rating, and both models on the columns of each version."""
+    t = feature_table(spark, sf)
+    return rounded(ML.compare_versions(t, {f"V{v}": list(c) for v, c in versions.VERSIONS.items()}))
+
+
+@query("""
+, n AS (SELECT gameid, result, row_number() OVER (ORDER BY date, gameid) AS rn, count(*) OVER () AS n FROM games)
+SELECT CASE WHEN rn <= floor(n * 0.75) THEN 'train' WHEN rn <= floor(n * 0.85) THEN 'val' ELSE 'test' END AS part, round(avg(result), 6) AS balance, count(*) AS games FROM n GROUP BY 1""")
+def class_balance(spark, sf):
+    g = M.temporal_split(A.games(spark, sf).select("gameid", "date", "result"), ["date", "gameid"])
+    return rounded(g.groupBy("part").agg(F.avg("result").alias("balance"), F.count("*").alias("games")))
+
+
+@query(PRED_SQL + f"""
+, b AS (SELECT f.*, g.result, least(g.team_a, g.team_b) AS t1, greatest(g.team_a, g.team_b) AS t2, g.date, g.gameid AS id FROM fold f JOIN games g ON g.gameid = f.gameid WHERE f.i > 0),
+s AS (SELECT b.*, strftime(date, '%Y-%m') AS series FROM b),
+k AS (SELECT *, row_number() OVER w AS first, count(*) OVER (PARTITION BY series, t1, t2) AS games, sum(result) OVER (PARTITION BY series, t1, t2) AS won FROM s WINDOW w AS (PARTITION BY series, t1, t2 ORDER BY date, id)),
+p AS (SELECT *, 1 / (1 + pow(10, (b - a) / 400)) AS p FROM k WHERE first = 1)
+SELECT series, count(*) AS n, round(avg(((p >= 0.5) = (result = 1))::INT), 6) AS acc, round(avg(games), 6) AS games, round(avg(((p >= 0.5) = (2 * won > games) AND 2 * won <> games)::INT), 6) AS series_acc FROM p GROUP BY series""")
 def tournament_sim(spark, sf):
-    """Series picked by the rating before a cut-off: first game of each pair behind it, 0.5 where unknown."""
-    g = with_elo(spark, sf).filter(F.col("year") >= 1998).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
-    first = Window.partitionBy("series", "team_1", "team_2").orderBy("date", "gameid")
-    s = g.withColumn("k", F.row_number().over(first)).filter("k = 1").withColumn("p", F.coalesce("elo_expected", F.lit(0.5)))
-    return rounded(s.groupBy("patch").agg(F.count("*").alias("series"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("result")).cast("int")).alias("acc")))
+    """Each series of a pair picked by what was known before its first game: right in that game, right in the series."""
+    g = with_elo(spark, sf).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
+    return rounded(simulation.series_picks(g).groupBy("series").agg(
+        F.count("*").alias("n"), F.avg(F.col("first_right").cast("int")).alias("acc"), F.avg("games").alias("games"), F.avg(F.col("series_right").cast("int")).alias("series_acc"),
+    ))
+
+
+@query()
+def edge_probes(spark, sf):
+    """What a fitted model says of extreme, equal, swapped, longer and travelling match-ups."""
+    columns = list(versions.VERSIONS[4])
+    t = feature_table(spark, sf)
+    rows = ML.matrix(M.standardized(t, columns, F.lit(True)), columns)
+    model = ML.logistic().fit(rows.select("y", "features"))
+    return rounded(simulation.probes(model, t, columns))

@@ -81,7 +81,8 @@ def _coach(sides: DataFrame) -> DataFrame:
 
 
 def features(spark, sf, version: int = 4) -> DataFrame:
-    """gameid, date, team_a, team_b, result, n_games_a, n_games_b and the version's features."""
+    """gameid, date, league, year, team_a, team_b, result, n_games_a, n_games_b and the
+    version's features; the last version's table has those of all of them."""
     wide = cut(A.wide_games(spark, sf))
     sides = cut(A.sides_of(wide, with_drafts=True, stats=True))
     frames = [_by_team(sides)]
@@ -118,7 +119,10 @@ def features(spark, sf, version: int = 4) -> DataFrame:
     if version >= 4:
         g = g.join(meta.patch_age(wide), "gameid", "left")
     out = attach(g, per_team, columns)
-    return out.select("gameid", "date", "team_a", "team_b", "result", "n_games_a", "n_games_b", *(c.alias(n) for n, c in _formulas(version).items()))
+    made = _formulas(version)
+    if version > 2:  # in the lists of the first two versions only, and kept beside the later ones
+        made["roster_overlap_diff"] = F.col("roster_overlap_a") - F.col("roster_overlap_b")
+    return out.select("gameid", "date", "league", "year", "team_a", "team_b", "result", "n_games_a", "n_games_b", *(c.alias(n) for n, c in made.items()))
 
 
 def _formulas(version: int) -> dict:
