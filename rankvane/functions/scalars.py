@@ -35,9 +35,18 @@ def is_lan(league: Column) -> Column:
     return F.coalesce((league.isin(*MAJOR_LEAGUES) | any_contains(league, INTERNATIONAL)).cast("int"), F.lit(0))
 
 
+# fixed values: the scoring page's own tiers; all other leagues are 0
+PAGE_TIERS = {"LEC": 2, "LCS": 2, "LCK": 2, "LPL": 2, "PCS": 1, "LJL": 1, "VCS": 1, "TCL": 1, "EM": 1}
+
+
 def display_tier(league: Column) -> Column:
-    """The 0 to 2 scale of the scoring page."""
-    return league_tier(league) - 1
+    """The 0 to 2 scale of the scoring page, which is not that of league_tier()."""
+    return lookup(PAGE_TIERS, league, 0)
+
+
+def tint(a: Column, b: Column) -> Column:
+    """Which side of a row is highlighted: a, b, or t for a tie."""
+    return F.when(a > b, "a").when(a < b, "b").otherwise("t")
 
 
 def best_of(game_num: Column) -> Column:
@@ -55,11 +64,6 @@ def role_rank(roles: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.split(roles, ","), one)), F.lit(0))
 
 
-def holds_coach_role(roles: Column) -> Column:
-    """Whether some role of a comma list ends in Coach."""
-    return F.coalesce(F.exists(F.split(roles, ","), lambda r: F.trim(r).endswith("Coach")), F.lit(False))
-
-
 def parse_time(text: Column) -> Column:
     """Null where the text is no time."""
     return F.try_to_timestamp(text)
@@ -107,10 +111,6 @@ def control_share(own: Column, other: Column, floor: float = 0.5) -> Column:
     return F.when(own.isNotNull() & other.isNotNull(), own / F.greatest(own + other, F.lit(floor)))
 
 
-def clean_name(name: str) -> str:
-    return name.replace(" ", "_")
-
-
 def _half_up(x: Column, digits: int) -> Column:
     """Half away from zero, with a hair's allowance for binary fractions."""
     scale = 10**digits
@@ -124,6 +124,11 @@ def signed_text(x: Column, digits: int = 2) -> Column:
     return F.when(r == 0, "0").when(r > 0, F.concat(F.lit("+"), body)).otherwise(F.concat(F.lit("−"), body))
 
 
+def elo_text(x: Column) -> Column:
+    """A rating as a whole number."""
+    return _half_up(x, 0).cast("long").cast("string")
+
+
 def percent_text(p: Column) -> Column:
     return F.concat(_half_up(p * 100, 0).cast("int").cast("string"), F.lit("%"))
 

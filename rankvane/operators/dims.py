@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import REGION_NUMBER, lookup
+from ..functions.scalars import lookup
 from .windows import strictly_before
 
 POSITIONS = ("top", "jng", "mid", "bot", "sup")
@@ -64,12 +64,17 @@ def playstyle_differences(pairs: DataFrame, profile: DataFrame, carry: DataFrame
     }).drop(*(c for c in out.columns if c.startswith("__")), "__carry_a", "__carry_b")
 
 
-def coach_history(rows: DataFrame, last: int = 30) -> DataFrame:
+def coach_history(rows: DataFrame, last: int = 30, rows_per_game: int = 1) -> DataFrame:
     """Adds coach_wr (last 30 rows strictly before the time) and coach_experience.
 
-    `rows` has coach, team, date, gameid, result.  The rows to average are found
-    by their number, so a long history costs a join and not a list a row.
+    `rows` has coach, team, date, gameid, result, a row a game.  The rows to average are
+    found by their number, so a long history costs a join and not a list a row.  With
+    rows_per_game 6 it counts as published, where a team's players and the team itself
+    are a row each: experience is six times the games, and 30 rows are the last five.
     """
+    if rows_per_game > 1:
+        out = coach_history(rows, -(-last // rows_per_game))
+        return out.withColumn("coach_experience", F.col("coach_experience") * rows_per_game)
     keys = ["coach", "team"]
     timed = rows.withColumn("us", F.unix_micros("date"))
     order = Window.partitionBy(*keys).orderBy("date", "gameid")
@@ -91,7 +96,3 @@ def same_coach(coaches: DataFrame) -> DataFrame:
     last = coaches.select("team", (F.col("year") + 1).alias("year"), F.col("coach").alias("__last"))
     out = coaches.join(last, ["team", "year"], "left")
     return out.select("team", "year", "coach", F.coalesce((F.col("coach") == F.col("__last")).cast("int"), F.lit(0)).alias("same_coach"))
-
-
-def region_numbers() -> dict[str, int]:
-    return dict(REGION_NUMBER)

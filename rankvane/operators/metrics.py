@@ -112,9 +112,18 @@ def event_holdout(df: DataFrame, event: Column, order: list[str]) -> DataFrame:
     return out.withColumn("part", part).filter("part is not null").drop("__event")
 
 
-def standardized(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
-    """Columns less their training mean over their training population deviation (1 if tiny)."""
+def moments(df: DataFrame, columns: list[str], train: Column) -> tuple[dict[str, float], dict[str, float]]:
+    """Training mean and population deviation (1 if tiny) of each column."""
     stats = df.filter(train).agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     row = stats.first()  # one row
     spread = {c: row[f"s_{c}"] if row[f"s_{c}"] is not None and row[f"s_{c}"] >= 1e-8 else 1.0 for c in columns}
-    return df.withColumns({c: (F.col(c) - F.lit(row[f"m_{c}"] or 0.0)) / spread[c] for c in columns})
+    return {c: row[f"m_{c}"] or 0.0 for c in columns}, spread
+
+
+def scaled(df: DataFrame, means: dict[str, float], spreads: dict[str, float]) -> DataFrame:
+    return df.withColumns({c: (F.col(c) - F.lit(m)) / spreads[c] for c, m in means.items()})
+
+
+def standardized(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
+    """Columns less their training mean over their training population deviation."""
+    return scaled(df, *moments(df, columns, train))

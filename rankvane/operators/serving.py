@@ -43,6 +43,12 @@ def shown(p: Column) -> dict[str, Column]:
     return {"pct_a": a, "pct_b": 100 - a}
 
 
+def guarded(p: Column, team_a: Column, team_b: Column, known_a: Column, known_b: Column) -> dict[str, Column]:
+    """shown() for a match-up of two different, known teams; null otherwise."""
+    ok = (team_a != team_b) & known_a & known_b
+    return {n: F.when(ok, c) for n, c in shown(p).items()}
+
+
 def compare_rosters(rosters: DataFrame, pairs: DataFrame) -> DataFrame:
     """team_a, team_b, position, winner: a if strictly higher in 3 of the 5 numbers, else b.
 

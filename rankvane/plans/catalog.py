@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evalqueries, matchqueries, versions
+from . import evalqueries, literalqueries, matchqueries, versions
 
-MODULES = (matchqueries, evalqueries, versions)
+MODULES = (matchqueries, evalqueries, versions, literalqueries)
 
 
 def queries() -> dict:

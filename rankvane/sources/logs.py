@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import types as T
 
 # fixed values: numeric and text columns of the raw logs that the engine reads
@@ -113,6 +114,67 @@ def read_staff_changes(spark: SparkSession, path: str, roles_like: str = "Coach"
     return rows.withColumn("event_id", F.xxhash64("team", "person", "day", "direction", "rank"))
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a row, in a single file: for small tables."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """json: each row as a JSON object."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def parsed_rows(df: DataFrame, schema: str) -> DataFrame:
+    """The rows of a column json, back in columns."""
+    return df.select(F.from_json("json", schema).alias("x")).select("x.*")
+
+
+class PagedSource(DataSource):
+    """Rows of a source that hands out pages of JSON rows: spark.read.format("paged").
+
+    Options: module and function of a Python function fetch(offset, limit) that returns a
+    list of JSON strings, pages (how many tasks share), page_rows.  A failed page is asked
+    for again after waits that double from `wait` seconds up to fifty times that.
+    """
+
+    @classmethod
+    def name(cls):
+        return "paged"
+
+    def schema(self):
+        return "page int, json string"
+
+    def reader(self, schema):
+        return PagedReader(self.options)
+
+
+class PagedReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = options
+
+    def partitions(self):
+        return [InputPartition(k) for k in range(int(self.options.get("pages", "1")))]
+
+    def read(self, partition):
+        import importlib
+        import time
+
+        fetch = getattr(importlib.import_module(self.options["module"]), self.options["function"])
+        rows, wait = int(self.options.get("page_rows", "500")), float(self.options.get("wait", "15"))
+        most = 50 * wait
+        while True:
+            try:
+                page = fetch(partition.value * rows, rows)
+                break
+            except OSError:
+                if wait > most:
+                    raise
+                time.sleep(wait)
+                wait *= 2
+        for row in page:
+            yield partition.value, row
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str = "team string, year int, coach string") -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
