@@ -21,7 +21,7 @@ ORDER = 5
 #: stands before and behind a text; no character of Unicode
 EDGE = "￿"
 #: characters in a slice of documents that ask together, and in what is worked on at once
-SLICE_CHARS, PIECE_CHARS = 8_000_000, 2_000_000
+SLICE_CHARS, PIECE_CHARS = 8_000_000, 500_000
 #: languages are dealt into so many families, so that slices share most of their n-grams
 FAMILIES = 64
 
