@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.store import cut  # noqa: F401
 
@@ -73,7 +73,9 @@ def map_texts(
     made_fields = StructType.fromDDL(schema).fields
     names = [f.name for f in made_fields]
     own = keep.index(text) if text in keep and docs.schema[text].dataType.simpleString() == "string" else len(keep)
-    typed = StructType([docs.schema[c] for c in keep] + made_fields)
+    # kept columns pass under names of our own: mapInArrow() reads names as expressions
+    inner = [f"__keep{i}" for i in range(len(keep))]
+    typed = StructType([StructField(n, docs.schema[c].dataType) for n, c in zip(inner, keep)] + made_fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
@@ -82,8 +84,9 @@ def map_texts(
                 rows = batch.slice(part.start, part.stop - part.start)
                 made = apply([x or "" for x in rows.column(own).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[: len(keep)], *(pa.array(made[n]) for n in names)], names=[*keep, *names]
+                    [*rows.columns[: len(keep)], *(pa.array(made[n]) for n in names)], names=[*inner, *names]
                 )
 
     more = [column(text).cast("string").alias("__text")] if own == len(keep) else []
-    return docs.select(*map(column, keep), *more).mapInArrow(run, typed)
+    out = docs.select(*(column(c).alias(n) for c, n in zip(keep, inner)), *more).mapInArrow(run, typed)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(inner, keep)), *names)
