@@ -21,7 +21,8 @@ and the greatest of them to the bucket, and the others go on to the second
 refinement without it.  So a bucket gets two rows from each slice at most, however
 often a passage occurs and whatever surrounds it.
 
-Equal bytes are told by two independent 64-bit identifiers together.
+Equal bytes are told by two independent 64-bit identifiers together: a run by that of
+its bucket and its own (two runs of one bucket differ in the latter), a window by both.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ class Suffixes:
 
     A run are neighbouring windows that chose the same place: `text` (number),
     `start` and `end` (of the windows' first bytes, in the joined texts),
-    `bucket`, and `run` and `run2` (identifiers of all bytes that its windows cover).
+    `bucket` (by the second identifier) and `run` (the first one of all bytes that its windows
+    cover).
     """
 
     def __init__(self, raws: list[bytes], match: int, q: int, t: int):
@@ -78,11 +80,12 @@ class Suffixes:
         self.offset = np.concatenate([[0], np.cumsum(sizes)])
         self.match, n = match, len(x) - match + 1
         if n <= 0:
-            self.text = self.start = self.end = self.bucket = self.run = self.run2 = np.empty(0, np.int64)
+            self.text = self.start = self.end = self.bucket = self.run = np.empty(0, np.int64)
             self.whole = self.whole2 = np.empty(0, np.uint64)
             return
         grams = Grams(x)
-        self.whole, self.whole2 = grams.of(match), Grams(x, 1).of(match)
+        second = Grams(x, 1)
+        self.whole, self.whole2 = grams.of(match), second.of(match)
         width = match - t + 1
         best = (_mix(grams.of(t)) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(x) - t + 1, dtype=np.uint64)
         size = 1
@@ -102,18 +105,15 @@ class Suffixes:
         own = inside[self.start]
         self.start, self.end = self.start[own], self.end[own]
         self.text = owner[self.start]
-        self.bucket = _mix(grams.of(q)[chosen[self.start]]).view(np.int64)
-        self.run, self.run2 = self._of_runs(self.whole), self._of_runs(self.whole2)
-
-    def _of_runs(self, whole: np.ndarray) -> np.ndarray:
+        self.bucket = _mix(second.of(q)[chosen[self.start]]).view(np.int64)
         # windows of `match` bytes at most that far apart cover the whole run
-        out = _mix(whole[self.start] + (self.end - self.start).astype(np.uint64) * _ODD)
+        out = _mix(self.whole[self.start] + (self.end - self.start).astype(np.uint64) * _ODD)
         left, at = self.end - self.start - 1, self.start
         while (left > 0).any():
-            step = np.minimum(left, self.match)
+            step = np.minimum(left, match)
             at, left = at + step, left - step
-            out = np.where(step > 0, _mix(out * _ODD + whole[at]), out)
-        return out.view(np.int64)
+            out = np.where(step > 0, _mix(out * _ODD + self.whole[at]), out)
+        self.run = out.view(np.int64)
 
     def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, both identifiers) of all windows in the runs that `of` marks."""
@@ -241,22 +241,22 @@ def _runs(source: DataFrame, match: int, q: int, t: int) -> DataFrame:
                 ids, found = batch.column(0).to_numpy()[part], []
                 for c in text_slices(texts, CHUNK):
                     s = Suffixes([x.as_py().encode() for x in texts[c]], match, q, t)
-                    found.append((ids[c.start + s.text], s.bucket, s.run, s.run2))
-                doc, bucket, run, run2 = map(np.concatenate, zip(*found))
-                rows, known = _merged(doc, bucket, run, run2)
-                doc, bucket, run, run2 = doc[rows], bucket[rows], run[rows], run2[rows]
+                    found.append((ids[c.start + s.text], s.bucket, s.run))
+                doc, bucket, run = map(np.concatenate, zip(*found))
+                rows, known = _merged(doc, bucket, run)
+                doc, bucket, run = doc[rows], bucket[rows], run[rows]
                 # above zero: known to be removed; below: asks, as the slice knows its bucket to be split
                 salt = np.where(known, _aside(doc), np.where(_inner(bucket, run, known), -_aside(doc), 0))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, salt, run, run2, doc)], names=["bucket", "salt", "run", "run2", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, salt, run, doc)], names=["bucket", "salt", "run", "doc"])
 
-    first = source.mapInArrow(runs, "bucket long, salt long, run long, run2 long, doc long")
-    bucket = Window.partitionBy("bucket", "salt").orderBy("run", "run2").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = source.mapInArrow(runs, "bucket long, salt long, run long, doc long")
+    bucket = Window.partitionBy("bucket", "salt").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     state = first.select(
         "run",
         "doc",
         "salt",
-        (F.struct(F.first("run").over(bucket), F.first("run2").over(bucket)) != F.struct(F.last("run").over(bucket), F.last("run2").over(bucket))).alias("split"),
-        F.min("doc").over(Window.partitionBy("bucket", "salt", "run", "run2")).alias("least"),
+        (F.first("run").over(bucket) != F.last("run").over(bucket)).alias("split"),
+        F.min("doc").over(Window.partitionBy("bucket", "salt", "run")).alias("least"),
     )
     gone = (F.col("salt") > 0) | ((F.col("salt") == 0) & (F.col("doc") > F.col("least")))
     asks = ~gone & ((F.col("salt") < 0) | F.col("split"))

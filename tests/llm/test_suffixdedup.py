@@ -80,7 +80,7 @@ def test_a_bucket_gets_two_rows_of_a_slice():
     rows = phrase_everywhere(300)
     s = S.Suffixes([t.encode() for _, t in rows], 50, 30, 9)
     doc = np.array([d for d, _ in rows])[s.text]
-    some, known = S._merged(doc, s.bucket, s.run, s.run2)
+    some, known = S._merged(doc, s.bucket, s.run)
     bucket, run = s.bucket[some], s.run[some]
     assert max(np.unique(bucket[~known], return_counts=True)[1]) > 100  # so many differ around the phrase
     grouped = ~known & ~S._inner(bucket, run, known)
