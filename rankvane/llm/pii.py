@@ -335,16 +335,23 @@ PIECE = re.compile(TOKEN.pattern + r"|\n")
 LONG = 500
 
 
+#: shape() of a word of lower-case letters that is no cue, by its length
+_PLAIN = [shape("z" * max(n, 1)) for n in range(_BOUNDS[-1] + 2)]
+
+
 class Shapes(dict):
     """token -> number of its features; 0 is the place beyond a line."""
 
-    def __init__(self, crf: Crf, limit: int = 100_000):
+    def __init__(self, crf: Crf, limit: int = 250_000):
         super().__init__()
         self.crf, self.limit, self.numbers, self.features, self.weights = crf, limit, {}, [(0,)], None
         self["\n"] = 0
 
     def __missing__(self, token):
-        own = shape(token)
+        if token.islower() and token.isalpha() and token not in CUES:  # most words: only their length counts
+            own = _PLAIN[min(len(token), len(_PLAIN) - 1)]
+        else:
+            own = shape(token)
         number = self.numbers.get(own)
         if number is None:
             number = self.numbers[own] = len(self.features)
@@ -366,6 +373,38 @@ class Shapes(dict):
         return sum(w[wide[pad + o : pad + o + len(ids)]] for w, o in zip(self.weights, _OFFSETS))
 
 
+def _surely_outside(s: np.ndarray, t: np.ndarray, line_end: np.ndarray) -> np.ndarray:
+    """Places that the best path passes outside of every kind, whatever its other tags are.
+
+    Another tag goes where "outside" leads by more than the two transitions can make up
+    for, over those tags of the neighbours that are left: a path with it would get better
+    by the exchange.  What goes narrows the neighbours' choice, so that is repeated as long
+    as it decides many places.
+    """
+    kinds = range(len(TAGS))
+    left = np.ones((len(TAGS), len(s)), bool)  # tags that are left; nothing is behind the end of a line
+    left[1:, line_end] = False
+    open_ = np.flatnonzero(~line_end)
+    while len(open_):
+        before, behind = open_ - 1, np.minimum(open_ + 1, len(s) - 1)
+        edge_before, edge_behind = line_end[before] | (open_ == 0), line_end[behind] | (open_ == len(s) - 1)
+        stays = np.zeros(len(open_), bool)
+        for k in kinds[1:]:
+            gains = []
+            for at, edge, gain in ((before, edge_before, t[:, k] - t[:, 0]), (behind, edge_behind, t[k] - t[0])):
+                most = np.full(len(open_), gain[0])
+                for a in kinds[1:]:
+                    np.maximum(most, gain[a], out=most, where=left[a, at])
+                gains.append(np.where(edge, 0.0, most))
+            own = left[k, open_] & (s[open_, 0] <= s[open_, k] + gains[0] + gains[1] + 1e-9)
+            left[k, open_] = own
+            stays |= own
+        if stays.sum() > 0.95 * len(open_):
+            break
+        open_ = open_[stays]
+    return ~left[1:].any(0)
+
+
 def tags_of(texts: list[str], shapes: Shapes) -> list[np.ndarray]:
     """The best tag of each PIECE of each text; ends of lines are outside."""
     crf, t = shapes.crf, shapes.crf.t
@@ -375,10 +414,7 @@ def tags_of(texts: list[str], shapes: Shapes) -> list[np.ndarray]:
     ids = np.concatenate([x for o in own for x in (o, end)] or [end])
     ids = np.repeat(ids, np.where(ids == 0, 2, 1))
     s = shapes.scores(ids)
-    # what another tag than outside can gain by its two transitions, at most
-    gain = [max(t[a, k] - t[a, 0] for a in range(len(TAGS))) + max(t[k, b] - t[0, b] for b in range(len(TAGS))) for k in range(len(TAGS))]
-    gain = np.maximum(gain, 0)
-    sure = (s[:, :1] > s + gain + 1e-9)[:, 1:].all(1) | (ids == 0)
+    sure = _surely_outside(s, t, ids == 0)
     out = np.zeros(len(ids), np.int8)
     edges = np.flatnonzero(np.diff(np.concatenate([[True], sure, [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
