@@ -146,7 +146,7 @@ def coach_win_rate_rows(spark, sf):
 FLIP = ("elo_diff", "elo_expected", "wr_a_10", "h2h_a", "game_number", "avg10_dpm_diff")
 
 
-@query("SELECT gameid, -(gold_a - gold_b) AS elo_diff, -(gold_a / (gold_a + gold_b)) AS elo_expected, -kills_a AS wr_a_10, -kills_b AS h2h_a, game_num::BIGINT AS game_number, -(disc_a - disc_b) AS avg10_dpm_diff FROM games", base=True)
+@query("SELECT gameid, round(-(gold_a - gold_b), 6) AS elo_diff, round(-(gold_a / (gold_a + gold_b)), 6) AS elo_expected, -kills_a AS wr_a_10, -kills_b AS h2h_a, game_num::BIGINT AS game_number, round(-(disc_a - disc_b), 6) AS avg10_dpm_diff FROM games", base=True)
 def side_flip(spark, sf):
     """As published: levels are negated with the differences."""
     made = {"elo_diff": F.expr("gold_a - gold_b"), "elo_expected": F.expr("gold_a / (gold_a + gold_b)"), "wr_a_10": F.col("kills_a"), "h2h_a": F.col("kills_b"), "game_number": F.col("game_num"), "avg10_dpm_diff": F.expr("disc_a - disc_b")}
