@@ -143,7 +143,11 @@ def unpack(column) -> list[str]:
 
 
 def counts(packed: DataFrame) -> DataFrame:
-    """(gram, n) over all whole texts; summed in each task's slices before the shuffle."""
+    """(gram, n) over all whole texts; summed in each task's slices before the shuffle.
+
+    An empty text has the n-grams of its edges; repeated rows count as often as they occur;
+    without rows there are no n-grams.
+    """
 
     def run(batches):
         texts, size = [], 0
@@ -302,5 +306,6 @@ def judge(docs: DataFrame, labels: DataFrame, share: float = 0.99, slice_chars:
 
 
 def op8_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, perplexity, the language's threshold, kept."""
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.round("perplexity", 6).alias("perplexity"), "threshold", "kept")
