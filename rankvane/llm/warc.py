@@ -28,7 +28,8 @@ STEPS = (
     (r"<[A-Za-z/!][^<>]*>", ""),
 )
 _STEPS = [(re.compile(pattern), new) for pattern, new in STEPS]
-_SPACES, _LINES = re.compile(r"[ \t\r\x0b\x0c]+"), re.compile(r" ?\n[ \n]*")
+#: runs that are more than one space, and lines that are empty or begin with a space
+_SPACES, _LINES = re.compile(r"[\t\r\x0b\x0c][ \t\r\x0b\x0c]*| [ \t\r\x0b\x0c]+"), re.compile(r"\n[ \n]+")
 
 
 def uuid_of(text: Column) -> Column:
@@ -48,7 +49,7 @@ def text_of(page: str) -> str:
     for pattern, new in _STEPS:
         page = pattern.sub(new, page)
     page = html.unescape(page)
-    return _LINES.sub("\n", _SPACES.sub(" ", page)).strip(" \n")
+    return _LINES.sub("\n", _SPACES.sub(" ", page).replace(" \n", "\n")).strip(" \n")
 
 
 def plain_text(payload: Column) -> Column:
