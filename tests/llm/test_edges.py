@@ -8,6 +8,7 @@ import corpus_pipeline
 from rankvane.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
+TABLES = {"op1": "pages", "op11": "embeddings"}
 EXTRA = ["my col", "a.b", "tick`s", "__h", "words", "item", "start", "name", "rank", "seq", "fp", "node", "slice", "packed", "score", "word", "hits", "value", "part", "label", "bucket", "n", "kept"]
 
 
@@ -38,7 +39,7 @@ def rows_of(spark, name, odd):
 @pytest.fixture(scope="module", params=["nulls", "empty", "repeated", "extra"])
 def odd_tables(spark, request, tmp_path_factory):
     top = str(tmp_path_factory.mktemp(request.param))
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "embeddings"):
         rows_of(spark, name, request.param).write.parquet(f"{top}/{name}.parquet")
     return request.param, top
 
@@ -47,8 +48,14 @@ def odd_tables(spark, request, tmp_path_factory):
 def test_a_result_for_each_row(spark, odd_tables, name):
     odd, top = odd_tables
     got = Q.queries()[name](spark, top).collect()
-    given = spark.read.parquet(f"{top}/{'pages' if name.startswith('op1_') else 'documents'}.parquet").count()
-    assert len(got) == given * (2 if name.startswith("op1_") else 1)
+    if name.startswith("op12_"):
+        items = spark.read.parquet(f"{top}/benchmark.parquet").count()
+        assert len(got) <= 20 * items and (odd == "empty" or got)
+        return
+    given = spark.read.parquet(f"{top}/{TABLES.get(name.split('_')[0], 'documents')}.parquet")
+    if name.startswith("op11_"):
+        given = given.filter("embedding IS NOT NULL")
+    assert len(got) == given.count() * (2 if name.startswith("op1_") else 1)
 
 
 def test_stages(spark, odd_tables, tmp_path):
