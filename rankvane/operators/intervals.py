@@ -41,18 +41,34 @@ def tenures(events: DataFrame) -> DataFrame:
 def close_open(intervals: DataFrame, events: DataFrame) -> DataFrame:
     """Open intervals end when another person of at least the same rank joins the team later.
 
-    The join is on the team alone; its candidates are reduced to each team's joins.
+    Linear in the events: each join is put on the levels 1 to its rank, and of a level's
+    days a backward window keeps the next one, and the next one on which someone else
+    than that day's only person joins.  An interval looks up its level's next day.
     """
-    joins = events.filter("direction = 'Join' and rank > 0").select(
-        F.col("team").alias("j_team"), F.col("person").alias("j_person"), F.col("rank").alias("j_rank"), F.col("day").alias("j_day")
-    ).distinct()
-    open_ = intervals.filter(F.col("end") == F.to_date(F.lit(FAR_FUTURE)))
-    later = open_.join(
-        joins, (open_.team == joins.j_team) & (open_.person != joins.j_person) & (joins.j_rank >= open_["rank"]) & (joins.j_day > open_.start), "left"
-    )
-    ended = later.groupBy("team", "person", "rank", "start", "end").agg(F.min("j_day").alias("next"))
-    ended = ended.select("team", "person", "rank", "start", F.coalesce("next", "end").alias("end"))
-    return intervals.filter(F.col("end") < F.to_date(F.lit(FAR_FUTURE))).unionByName(ended)
+    far = F.to_date(F.lit(FAR_FUTURE))
+    open_, ended = intervals.filter(F.col("end") == far), intervals.filter(F.col("end") < far)
+    joins = events.filter("direction = 'Join' and rank > 0 and person is not null")
+    levels = joins.select("team", "person", "day", F.explode(F.sequence(F.lit(1), F.col("rank").cast("int"))).alias("level"))
+    days = levels.groupBy("team", "level", "day").agg(F.min("person").alias("one"), F.max("person").alias("other"))
+
+    # from the last day to the first: a frame before the row holds all later days, and only grows
+    back = Window.partitionBy("team", "level").orderBy(F.desc("day"))
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    people = F.struct("one", "other")
+    earlier = F.lead(people).over(back)  # of the nearest earlier day
+    change = F.when((F.col("one") != F.col("other")) | earlier.isNull() | (people != earlier), F.col("day"))
+    days = days.withColumn("change", change).withColumn("else", F.last("change", ignorenulls=True).over(later))
+
+    probes = open_.select("team", F.col("rank").cast("int").alias("level"), F.col("start").alias("day"), F.struct("person", "rank", "start", "end").alias("probe"))
+    facts = days.select("team", "level", "day", F.struct("day", "one", "other", "else").alias("fact"))
+    both = probes.unionByName(facts, allowMissingColumns=True)
+    # an interval comes before its own day, which it mustn't see
+    order = Window.partitionBy("team", "level").orderBy(F.desc("day"), F.col("probe").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("fact", F.last("fact", ignorenulls=True).over(order)).filter("probe is not null")
+    someone_else = (F.col("fact.one") != F.col("fact.other")) | (F.col("fact.one") != F.col("probe.person"))
+    following = F.when(someone_else, F.col("fact.day")).otherwise(F.col("fact.else"))
+    closed = found.select("team", "probe.person", "probe.rank", "probe.start", F.coalesce(following, "probe.end").alias("end"))
+    return ended.unionByName(closed)
 
 
 def by_year(intervals: DataFrame, first: int, last: int) -> DataFrame:

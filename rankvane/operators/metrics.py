@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 
 def roc_auc(df: DataFrame, by: list[str] | None = None, bins: int = 1000) -> DataFrame:
     """auc by the Mann-Whitney statistic with mean ranks for ties; 0.5 with one class.
@@ -127,3 +131,47 @@ def scaled(df: DataFrame, means: dict[str, float], spreads: dict[str, float]) ->
 def standardized(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """Columns less their training mean over their training population deviation."""
     return scaled(df, *moments(df, columns, train))
+
+
+def exact_percentiles(df: DataFrame, column: str, shares: list[float], bins: int = 1024) -> list[float | None]:
+    """The percentiles of a column's known values, interpolated between neighbouring ranks.
+
+    Exact selection by narrowing: each round counts the values of the open ranges in equal
+    bins, and goes on with the bins that hold a wanted rank, until their least and greatest
+    value are one.  A task holds a row for each open bin; no value but those comes back.
+    Nulls and NaN are left out; without values all are None.
+    """
+    x = cut(df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)"))
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    wanted = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
+    known: dict[int, float] = {}
+    ranges = [(low, high, 0, wanted)]  # least and greatest value, the rank of the first, ranks in it
+    while ranges:
+        for low, _, _, ranks in (r for r in ranges if r[0] == r[1]):
+            known |= dict.fromkeys(ranks, low)
+        ranges = [r for r in ranges if r[0] < r[1]]
+        if ranges:
+            ranges = _narrowed(x, ranges, bins)
+    return [known[math.floor(p)] * (1 - p % 1) + known[math.ceil(p)] * (p % 1) for p in places]
+
+
+def _narrowed(x: DataFrame, ranges: list[tuple], bins: int) -> list[tuple]:
+    number = bin_ = F.lit(None).cast("int")
+    for k, (low, high, _, _) in enumerate(ranges):
+        inside = F.col("x").between(low, high)
+        scale = 0.5 if math.isinf(high - low) else 1.0  # halves of the largest doubles have a finite difference
+        at = F.floor((F.col("x") * scale - low * scale) / (high * scale - low * scale) * bins)
+        number, bin_ = F.when(inside, k).otherwise(number), F.when(inside, F.least(at, F.lit(bins - 1))).otherwise(bin_)
+    counts = x.select("x", number.alias("k"), bin_.cast("int").alias("bin")).filter("k IS NOT NULL").groupBy("k", "bin")
+    rows = counts.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("k", "bin").collect()
+    out, at = [], {k: first for k, (_, _, first, _) in enumerate(ranges)}
+    for r in rows:  # `bins` rows for each open range at most
+        first = at[r.k]
+        at[r.k] += r.n
+        ranks = [i for i in ranges[r.k][3] if first <= i < at[r.k]]
+        if ranks:
+            out.append((r.low, r.high, first, ranks))
+    return out

@@ -138,25 +138,61 @@ def series_key(gameid: Column, a: Column, b: Column) -> dict[str, Column]:
     return {"series": F.regexp_replace(gameid, "_[^_]*$", ""), "team_1": F.least(a, b), "team_2": F.greatest(a, b)}
 
 
-def series_state(keys: list[str]) -> dict[str, Column]:
-    """State before a game from earlier-numbered games of its series; `result` and
-    `game_num` as recorded, with the earlier games' own orientation of a and b."""
-    past = F.filter(F.collect_list(F.struct("game_num", "result")).over(prior(keys)), lambda x: x["game_num"] < F.col("game_num"))
-    a = F.aggregate(past, F.lit(0), lambda n, x: n + x["result"])
-    b = F.size(past) - a
-    last = F.element_at(past, -1)["result"]
-    return {
-        "series_games_played": F.size(past),
-        "series_score_diff": a - b,
-        "is_elimination": ((F.size(past) > 0) & (a == b)).cast("int"),
-        "series_momentum_a": F.when(F.size(past) == 0, 0).when(last == 1, 1).otherwise(-1),
-    }
+def series_state(df: DataFrame, keys: list[str], row: str = "gameid") -> DataFrame:
+    """`row` and the state before each game, from games of its series that were played
+    earlier and have a smaller number; `result` and `game_num` as recorded, with the
+    earlier games' own orientation of a and b.
+
+    Both orders hold at once, so a running sum alone can't tell.  Game numbers are cut
+    into binary intervals: a game adds to those that hold its number, and reads those that
+    together hold all smaller ones, each with running sums in the order of play.  The work
+    is linear in the games times the bits of a number; no row holds its series.  Numbers
+    below zero and unknown ones have no state and add none.
+    """
+    number = F.col("game_num").cast("int")
+    bits = F.expr("length(bin(greatest(max(game_num) OVER (PARTITION BY {}), 1)))".format(", ".join(f"`{k}`" for k in keys)))
+    rows = df.select(row, *keys, *ORDER[:1], number.alias("game_num"), F.col("result").cast("int").alias("result"), *(c for c in ORDER[1:] if c != row))
+    rows = rows.withColumn("__bits", F.coalesce(bits, F.lit(1)))
+    known = "game_num IS NOT NULL AND game_num >= 0"
+    # (level, place, reads): an even place adds to the interval, the odd one beside it reads it
+    nodes = F.expr(
+        f"""array_append(
+          IF({known}, transform(sequence(0, __bits - 1), j -> struct(j AS level, shiftright(game_num, j) & -2 AS place, (shiftright(game_num, j) & 1) = 1 AS reads)),
+             CAST(array() AS array<struct<level:int,place:int,reads:boolean>>)),
+          struct(-1 AS level, 0 AS place, true AS reads))"""
+    )
+    spread = rows.withColumn("__n", F.explode(nodes)).select(row, *keys, *(c for c in ORDER if c != row), "result", "__n.*")
+    before = Window.partitionBy(*keys, "level", "place").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    adds = ~F.col("reads")
+    spread = spread.withColumns({
+        "__games": F.count(F.when(adds, 1)).over(before),
+        "__won": F.coalesce(F.sum(F.when(adds, F.col("result"))).over(before), F.lit(0)),
+        "__last": F.last(F.when(adds, F.struct(*ORDER, "result")), ignorenulls=True).over(before),
+    })
+    state = spread.filter("reads").groupBy(row).agg(F.sum("__games").alias("games"), F.sum("__won").alias("a"), F.max("__last")["result"].alias("last"))
+    games, a, b = F.col("games"), F.col("a"), F.col("games") - F.col("a")
+    return state.select(
+        row,
+        games.cast("int").alias("series_games_played"),
+        (a - b).cast("int").alias("series_score_diff"),
+        ((games > 0) & (a == b)).cast("int").alias("is_elimination"),
+        F.when(games == 0, 0).when(F.col("last") == 1, 1).otherwise(-1).alias("series_momentum_a"),
+    )
 
 
-def fearless(keys: list[str], least: int = 5) -> Column:
-    """1 if more than 5 picks were made in the series so far and none of the current ones is among them."""
-    past = F.flatten(F.collect_list("picks").over(prior(keys)))
-    return ((F.size(past) > least) & (F.size(F.array_intersect(past, F.col("picks"))) == 0)).cast("int")
+def fearless(df: DataFrame, keys: list[str], row: str = "gameid", least: int = 5) -> DataFrame:
+    """`row` and is_fearless: 1 if more than 5 picks were made in the series so far and none
+    of the current ones is among them.
+
+    The picks so far are a running sum; whether one was made before is told by its first
+    game in the series, so no row holds the series' picks.
+    """
+    made = F.coalesce(F.sum(F.coalesce(F.size("picks"), F.lit(0))).over(prior(keys)), F.lit(0))
+    # the sum first: beside explode() it would run over the exploded rows
+    picks = df.withColumn("__made", made).select(row, *keys, *(c for c in ORDER if c != row), "__made", F.explode_outer("picks").alias("__pick"))
+    first = F.first(row).over(Window.partitionBy(*keys, "__pick").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    by = picks.withColumn("__seen", F.col("__pick").isNotNull() & (first != F.col(row))).groupBy(row).agg(F.max("__made").alias("made"), F.max("__seen").alias("seen"))
+    return by.select(row, ((F.col("made") > least) & ~F.col("seen")).cast("int").alias("is_fearless"))
 
 
 def sessions(df: DataFrame, keys: list[str], gap_hours: float = 12) -> DataFrame:
@@ -185,3 +221,24 @@ def last_value_before(df: DataFrame, events: DataFrame, keys: list[str], time: s
     order = Window.partitionBy(*keys).orderBy(time, F.desc("__probe")).rowsBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("__last", F.last("__v", ignorenulls=True).over(order)).filter("__probe = 1")
     return found.select(*df.columns, *(F.col("__last")[v].alias(v) for v in values))
+
+
+def first_in_band(probes: DataFrame, facts: DataFrame, keys: list[str], at: str, time: str, values: list[str], below: int, above: int) -> DataFrame:
+    """probes with `values` of the key's first fact (by time, then values) whose time lies
+    at most `below` seconds before the probe's `at` and under `above` seconds after it;
+    null if there is none.
+
+    The first one not before the band's start is looked up by a window that runs back
+    from the latest fact; whether it is within the band's end is told afterwards.  So a
+    key's rows are read once, however many facts a band holds.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    fact = F.struct(F.lit(True).alias("__is"), micros(time).alias("__us"), *values)
+    left = probes.withColumns({"__t": micros(at) - below * 1_000_000, "__at": micros(at), "__fact": F.lit(None).cast(facts.select(fact).schema[0].dataType)})
+    right = facts.select(*keys, micros(time).alias("__t"), fact.alias("__fact"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    # a probe comes after the facts of its band's first instant, which belong to the band
+    order = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.col("__fact").isNull(), F.desc("__fact")).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("__found", F.last("__fact", ignorenulls=True).over(order)).filter("__fact IS NULL")
+    inside = F.col("__found.__us") - F.col("__at") < above * 1_000_000
+    return found.select(*probes.columns, *(F.when(inside, F.col("__found")[v]).alias(v) for v in values))

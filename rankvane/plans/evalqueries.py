@@ -130,11 +130,12 @@ c AS (SELECT f.probe, g.gameid, row_number() OVER (PARTITION BY f.probe ORDER BY
   AND abs(floor((epoch(g.date) - epoch(f.date)) / 86400)) <= 30)
 SELECT probe, gameid AS found FROM c WHERE k = 1""")
 def band_join_first(spark, sf):
-    g = A.games(spark, sf).select("gameid", "date", "league", "year", F.least("team_a", "team_b").alias("t1"), F.greatest("team_a", "team_b").alias("t2"))
-    # the pair in a fixed order makes "either orientation" an equi-join; the band is a filter on it
-    f = g.select(F.col("gameid").alias("probe"), F.col("date").alias("at"), "t1", "t2")
-    both = f.join(g, ["t1", "t2"]).filter(F.abs(S.whole_days(F.col("date"), F.col("at"))) <= 30)
-    return both.groupBy("probe").agg(F.min_by("gameid", F.struct("date", "gameid")).alias("found"))
+    # the pair in a fixed order makes "either orientation" an equality
+    g = A.games(spark, sf).select("gameid", "date", F.least("team_a", "team_b").alias("t1"), F.greatest("team_a", "team_b").alias("t2"))
+    probes = g.select(F.col("gameid").alias("probe"), F.col("date").alias("at"), "t1", "t2")
+    day = 86_400
+    found = W.first_in_band(probes, g, ["t1", "t2"], "at", "date", ["gameid"], 30 * day, 31 * day)
+    return found.filter("gameid IS NOT NULL").select("probe", F.col("gameid").alias("found"))
 
 
 @query("""
@@ -270,8 +271,9 @@ CUTS = [round((5 + 90 * i / 19) / 100, 6) for i in range(20)]  # from the 5th to
 
 @query("SELECT " + ", ".join(f"round(quantile_cont(gold_a, {q}), 4) AS q{i:02d}" for i, q in enumerate(CUTS)) + " FROM games")
 def split_candidates(spark, sf):
-    g = A.games(spark, sf).agg(F.percentile("gold_a", F.array(*map(F.lit, CUTS))).alias("q"))
-    return rounded(g.select(*(F.col("q")[i].alias(f"q{i:02d}") for i in range(len(CUTS)))), 4)
+    cuts = M.exact_percentiles(A.games(spark, sf), "gold_a", CUTS)
+    g = spark.createDataFrame([cuts], ", ".join(f"q{i:02d} double" for i in range(len(CUTS))))
+    return rounded(g, 4)
 
 
 # ---- serving

@@ -205,7 +205,7 @@ SELECT gameid, n::BIGINT AS series_games_played, (2 * a - n)::BIGINT AS series_s
   CASE WHEN n = 0 THEN 0 WHEN last = 1 THEN 1 ELSE -1 END::BIGINT AS series_momentum_a FROM u""")
 def series_state(spark, sf):
     g = A.games(spark, sf).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
-    return rounded(g.select("gameid", *(c.alias(n) for n, c in W.series_state(["series", "team_1", "team_2"]).items())))
+    return rounded(W.series_state(g, ["series", "team_1", "team_2"]))
 
 
 @query("""
@@ -223,7 +223,7 @@ q AS (SELECT *, flatten(coalesce(list(picks) OVER (PARTITION BY series ORDER BY
 SELECT gameid, (len(past) > 5 AND len(list_intersect(past, picks)) = 0)::BIGINT AS is_fearless FROM q""")
 def fearless(spark, sf):
     g = A.with_picks(A.wide_games(spark, sf)).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
-    return rounded(g.select("gameid", W.fearless(["series", "team_1", "team_2"]).alias("is_fearless")))
+    return rounded(W.fearless(g, ["series", "team_1", "team_2"]))
 
 
 # ---- ratings

@@ -108,7 +108,7 @@ def features(spark, sf, version: int = 4) -> DataFrame:
     if version >= 2:
         state = A.with_picks(wide).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
         keys = ["series", "team_1", "team_2"]
-        g = g.join(state.select("gameid", *(c.alias(n) for n, c in W.series_state(keys).items()), W.fearless(keys).alias("is_fearless")), "gameid")
+        g = g.join(W.series_state(state, keys), "gameid").join(W.fearless(state, keys), "gameid")
     if version >= 3:
         r = Q.with_regions(spark, sf, wide)
         r = r.withColumns(dims.travel(F.col("region_a"), F.col("event"), "a") | dims.travel(F.col("region_b"), F.col("event"), "b"))
