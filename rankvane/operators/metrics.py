@@ -134,44 +134,76 @@ def standardized(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, column: str, shares: list[float], bins: int = 1024) -> list[float | None]:
-    """The percentiles of a column's known values, interpolated between neighbouring ranks.
+    """The percentiles of a column's known values, see exact_percentiles_of()."""
+    return exact_percentiles_of(df, [column], shares, bins)[column]
+
+
+def exact_percentiles_of(df: DataFrame, columns: list[str], shares: list[float], bins: int = 1024) -> dict[str, list[float | None]]:
+    """The percentiles of each column's known values, interpolated between neighbouring ranks.
 
     Exact selection by narrowing: each round counts the values of the open ranges in equal
     bins, and goes on with the bins that hold a wanted rank, until their least and greatest
     value are one.  A task holds a row for each open bin; no value but those comes back.
     Nulls and NaN are left out; without values all are None.
     """
-    x = cut(df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)"))
-    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(shares)
-    places = [share * (n - 1) for share in shares]
-    wanted = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
-    known: dict[int, float] = {}
-    ranges = [(low, high, 0, wanted)]  # least and greatest value, the rank of the first, ranks in it
+    values = _columns(df, columns)
+    ranges, places, known = [], {}, {}  # ranges: column, least and greatest value, the rank of the first, ranks in it
+    for f, (n, low, high) in _extent(values).items():
+        places[f] = [share * (n - 1) for share in shares]
+        ranges.append((f, low, high, 0, sorted({math.floor(p) for p in places[f]} | {math.ceil(p) for p in places[f]})))
     while ranges:
-        for low, _, _, ranks in (r for r in ranges if r[0] == r[1]):
-            known |= dict.fromkeys(ranks, low)
-        ranges = [r for r in ranges if r[0] < r[1]]
-        if ranges:
-            ranges = _narrowed(x, ranges, bins)
-    return [known[math.floor(p)] * (1 - p % 1) + known[math.ceil(p)] * (p % 1) for p in places]
-
-
-def _narrowed(x: DataFrame, ranges: list[tuple], bins: int) -> list[tuple]:
-    number = bin_ = F.lit(None).cast("int")
-    for k, (low, high, _, _) in enumerate(ranges):
-        inside = F.col("x").between(low, high)
-        scale = 0.5 if math.isinf(high - low) else 1.0  # halves of the largest doubles have a finite difference
-        at = F.floor((F.col("x") * scale - low * scale) / (high * scale - low * scale) * bins)
-        number, bin_ = F.when(inside, k).otherwise(number), F.when(inside, F.least(at, F.lit(bins - 1))).otherwise(bin_)
-    counts = x.select("x", number.alias("k"), bin_.cast("int").alias("bin")).filter("k IS NOT NULL").groupBy("k", "bin")
-    rows = counts.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("k", "bin").collect()
-    out, at = [], {k: first for k, (_, _, first, _) in enumerate(ranges)}
-    for r in rows:  # `bins` rows for each open range at most
-        first = at[r.k]
-        at[r.k] += r.n
-        ranks = [i for i in ranges[r.k][3] if first <= i < at[r.k]]
-        if ranks:
-            out.append((r.low, r.high, first, ranks))
+        known |= {(f, rank): low for f, low, high, _, ranks in ranges if low == high for rank in ranks}
+        ranges = [r for r in ranges if r[1] < r[2]]
+        found = _counted(values, [r[:3] for r in ranges], bins)
+        narrowed = []
+        for (f, _, _, first, ranks), rows in zip(ranges, found):
+            for n, low, high in rows:
+                inside = [i for i in ranks if first <= i < first + n]
+                if inside:
+                    narrowed.append((f, low, high, first, inside))
+                first += n
+        ranges = narrowed
+    at = lambda f, p: known[f, math.floor(p)] * (1 - p % 1) + known[f, math.ceil(p)] * (p % 1)
+    return {c: [at(f, p) for p in places[f]] if f in places else [None] * len(shares) for f, c in enumerate(columns)}
+
+
+def few_values(df: DataFrame, columns: list[str], limit: int, bins: int = 1024) -> dict[str, list[float] | None]:
+    """For each column all its known values, ascending, or None if they are more than `limit`.
+
+    Ranges with several values are cut into bins until each has one, or there are too many.
+    """
+    values = _columns(df, columns)
+    parts = {f: [(low, high)] for f, (_, low, high) in _extent(values).items()}
+    while open_ := [(f, low, high) for f, own in parts.items() if len(own) <= limit for low, high in own if low < high]:
+        found = dict(zip(open_, _counted(values, open_, bins)))
+        for f in {f for f, _, _ in open_}:
+            parts[f] = [y for low, high in parts[f] for y in ([(a, b) for _, a, b in found[f, low, high]] if low < high else [(low, high)])][: limit + 1]
+    return {c: [low for low, _ in parts.get(f, [])] if len(parts.get(f, [])) <= limit else None for f, c in enumerate(columns)}
+
+
+def _columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """f and x: the number of a column and a known value of it."""
+    rows = cut(df.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("xs")))
+    return rows.select(F.posexplode("xs").alias("f", "x")).filter("x IS NOT NULL AND NOT isnan(x)")
+
+
+def _extent(values: DataFrame) -> dict[int, tuple[int, float, float]]:
+    return {r.f: (r.n, r.low, r.high) for r in values.groupBy("f").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+
+
+def _counted(values: DataFrame, ranges: list[tuple[int, float, float]], bins: int) -> list[list[tuple[int, float, float]]]:
+    """For each range (column, least and greatest value) its bins in order: number of
+    values, least and greatest.  Ranges of a column have no value in common."""
+    if not ranges:
+        return []
+    # halves of the largest doubles have a finite difference
+    rows = [(k, f, low, high, 0.5 if math.isinf(high - low) else 1.0) for k, (f, low, high) in enumerate(ranges)]
+    given = F.broadcast(values.sparkSession.createDataFrame(rows, "k int, g int, low double, high double, scale double"))  # some for each share and column
+    inside = values.join(given, (F.col("f") == F.col("g")) & F.col("x").between(F.col("low"), F.col("high")))
+    x, low, high, scale = (F.col(c) for c in ("x", "low", "high", "scale"))
+    at = F.floor((x * scale - low * scale) / (high * scale - low * scale) * bins)
+    by = inside.groupBy("k", F.least(at, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    out: list[list] = [[] for _ in ranges]
+    for r in by.orderBy("k", "bin").collect():  # `bins` rows for each open range at most
+        out[r.k].append((r.n, r.least, r.most))
     return out

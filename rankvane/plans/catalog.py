@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evalqueries, literalqueries, matchqueries, versions
+from . import evalqueries, literalqueries, matchqueries, treequeries, versions
 
-MODULES = (matchqueries, evalqueries, versions, literalqueries)
+MODULES = (matchqueries, evalqueries, versions, literalqueries, treequeries)
 
 
 def queries() -> dict:
