@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,6 +42,12 @@ def id_back(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
+def tree_depth(partitions: int) -> int:
+    """The depth for treeAggregate() at which each level has about a quarter of the partitions of
+    the one before, so that the driver merges a handful of partial results for any input."""
+    return max(2, math.ceil(math.log2(max(partitions, 2)) / 2))
+
+
 def text_slices(texts: pa.Array, limit: int) -> Iterator[slice]:
     """Neighbouring rows of an Arrow column with up to `limit` bytes together, one row at least."""
     import pyarrow.compute

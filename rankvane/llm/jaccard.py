@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, keyed, map_texts, table
+from .common import cut, id_back, keyed, map_texts, table, tree_depth
 from .simhash import _hung, components, pair_tasks, with_roots
 
 FANOUT = 16
@@ -122,7 +122,8 @@ def frequent_counters(docs: DataFrame, width: int, least: int = 50) -> np.ndarra
         b = np.frombuffer(row[0], np.int64)
         return b if a is None else a + b
 
-    counts = docs.select("text").mapInArrow(count, "total binary").rdd.treeAggregate(None, add, lambda a, b: a if b is None else b if a is None else a + b)
+    parts = docs.select("text").mapInArrow(count, "total binary").rdd
+    counts = parts.treeAggregate(None, add, lambda a, b: a if b is None else b if a is None else a + b, tree_depth(parts.getNumPartitions()))
     return np.zeros(COUNTERS, bool) if counts is None else counts > max(least, 4 * counts.mean())
 
 

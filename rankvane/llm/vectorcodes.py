@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import column, cut, table
+from .common import column, cut, table, tree_depth
 
 PARTS, ENTRIES, SCALE = 4, 256, 1024
 #: vectors whose distances to a codebook are held at once, so that they stay in the processor's cache
@@ -86,7 +86,8 @@ def _round(blocks: DataFrame, books: np.ndarray) -> np.ndarray:
     def merge(a, b):
         return a if b is None else b if a is None else (a[0] + b[0], a[1] + b[1])
 
-    state = blocks.select("block").rdd.treeAggregate(None, add, merge)
+    rows = blocks.select("block").rdd
+    state = rows.treeAggregate(None, add, merge, tree_depth(rows.getNumPartitions()))
     shared.unpersist()
     if state is None:
         return books
