@@ -240,10 +240,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     while not _stars(edges):
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written first: a join of shuffled rows with checkpointed ones is split where a hub's rows are many
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))).hint("merge")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least.hint("merge"), "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -421,8 +423,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands:
 
     # candidates: all that share a band with the smallest node of it hang together
     banded = nodes.select("node", "n", F.explode("bands").alias("group"))
-    least = banded.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    loose = cut(with_roots(components(_hung(banded.join(least, "group")))))
+    least = cut(banded.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m"))
+    loose = cut(with_roots(components(_hung(banded.join(least.hint("merge"), "group")))))
 
     # the texts of those are compared; a group that would be dealt into more blocks than there are bands goes by its bands
     whole = pair_tasks(loose.join(nodes.select("node", "n"), "node").select(F.col("root").alias("group"), "node", "n"), shard_limit)
