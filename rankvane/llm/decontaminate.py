@@ -6,6 +6,11 @@ the benchmark's seeds; each hit gives an alignment, and the words around the hit
 are compared one by one, so that overlaps with substituted words are found and
 measured.
 
+Long items and texts are worked on in pieces of PIECE windows.  Only seeds and their
+places go through the join by seed; the words of two pieces are fetched for each pair of
+pieces that has hits.  What is equal up to the edge of a piece goes on in the next one
+and is put together afterwards.
+
 Nothing of the benchmark is gathered in one place.  Most text seeds are in no
 item and don't reach the shuffle: a bitmap of the benchmark's seeds, of at most
 MOST_BITS bits whatever its size, rules them out in the tasks that read the
@@ -19,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, column, cut, table, text_slices
@@ -31,6 +36,8 @@ MASKS = ("11101011", "110110011", "100110111")
 SHORT_MASKS = ("11111", "110111", "11001011")
 #: bits of the largest bitmap of seeds (16 MB) and of the smallest
 MOST_BITS, LEAST_BITS = 27, 16
+#: windows of an item or text that are compared at once
+PIECE = 1024
 #: bytes of text that are worked on at once
 SLICE = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -97,41 +104,58 @@ def _bit(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)) if probe == 0 else (h >> np.uint64(5)) & np.uint64((1 << bits) - 1)
 
 
-def stretch(own: np.ndarray, ids: np.ndarray, shift: int, window: int, share: float) -> int:
-    """Words of the longest stretch of an item, aligned at ids[shift:], in which every
-    window has enough equal words; 0 if no window has."""
+def good_runs(own: np.ndarray, ids: np.ndarray, shift: int, window: int, share: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(first and last window of an item that have a place at ids[shift:], starts and ends
+    of the runs of windows in which enough words are equal)."""
     a, b = max(0, -shift), min(len(own), len(ids) - shift)
     w = min(window, len(own))
     if b - a < w:
-        return 0
+        return a, a, np.empty(0, np.int64), np.empty(0, np.int64)
     equal = np.concatenate([[0], (own[a:b] == ids[a + shift : b + shift]).cumsum()])
     good = np.concatenate([[False], equal[w:] - equal[:-w] >= share * w - 1e-9, [False]])
     edges = np.flatnonzero(good[1:] != good[:-1])
-    return int((edges[1::2] - edges[::2]).max() + w - 1) if len(edges) else 0
+    return a, b - w + 1, a + edges[::2], a + edges[1::2]
+
 
+def pieces(windows: int) -> list[tuple[int, int]]:
+    """(first, last) windows of each piece."""
+    return [(p, min(windows, p + PIECE)) for p in range(0, windows, PIECE)]
 
-def _item_seeds(benchmark: DataFrame, min_words: int, masks, short_masks, window: int) -> DataFrame:
-    """(seed, item, name, at: places of the seed in the item, words: hashes of all its words)."""
+
+def _item_pieces(benchmark: DataFrame, min_words: int, masks, short_masks, window: int) -> DataFrame:
+    """A row for each piece of an item: name, item (hash of name and text), piece (its first
+    word), more_before and more_after, words (hashes), and seeds with their places in it."""
     items = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text"))
+    schema = "name string, item long, piece int, more_before boolean, more_after boolean, words array<bigint>, seeds array<struct<seed:bigint,at:array<int>>>"
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for name, text in zip(batch.column(0), batch.column(1)):
+            for name, item, text in zip(*batch.columns):
                 ids = hashes.of(text.as_py())
                 if len(ids) < min_words:
                     continue
                 own = masks if len(ids) >= window else short_masks
-                seeds, places = _grouped([seed_hashes(ids, m, (*masks, *short_masks).index(m)) for m in own])
-                n = len(seeds)
-                words = pa.array([ids.view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seeds.view(np.int64)), pa.array([name.as_py()] * n, pa.string()), places, words.take(pa.array(np.zeros(n, np.int32)))],
-                    names=["seed", "name", "at", "words"],
-                )
-
-    made = items.distinct().mapInArrow(run, "seed long, name string, at array<int>, words array<bigint>")
-    return made.withColumn("item", F.xxhash64("name", "words"))
+                w = min(window, len(ids))
+                n = len(ids) - w + 1
+                for first, last in pieces(n):
+                    words = ids[first : last + w - 1]
+                    seeds, at = _grouped([seed_hashes(words, m, (*masks, *short_masks).index(m)) for m in own])
+                    pairs = pa.StructArray.from_arrays([pa.array(seeds.view(np.int64)), at], names=["seed", "at"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name.as_py()], pa.string()),
+                            pa.array([item.as_py()], pa.int64()),
+                            pa.array([first], pa.int32()),
+                            pa.array([first > 0]),
+                            pa.array([last < n]),
+                            pa.array([words.view(np.int64)], pa.list_(pa.int64())),
+                            pa.ListArray.from_arrays(pa.array([0, len(seeds)], pa.int32()), pairs),
+                        ],
+                        names=["name", "item", "piece", "more_before", "more_after", "words", "seeds"],
+                    )
+
+    return items.distinct().select("name", F.xxhash64("name", "text").alias("item"), "text").mapInArrow(run, schema)
 
 
 def _grouped(found: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
@@ -158,9 +182,10 @@ def _bitmap(seeds: DataFrame) -> tuple[int, np.ndarray]:
 
 def _text_seeds(docs: DataFrame, bits: int, bitmap: np.ndarray, masks: tuple[str, ...], window: int) -> DataFrame:
     """For each stretch of a text in which seeds pass the bitmap, with `window` - 1 words on
-    both sides: key, start, words (hashes) and seeds: array of (seed, places)."""
+    both sides, its pieces: key, start (the first word's place), text_before and text_after
+    (whether the stretch goes on there), words (hashes) and seeds: array of (seed, places)."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    schema = "__d long, __t long, start int, words array<bigint>, seeds array<struct<seed:bigint,places:array<int>>>"
+    schema = "__d long, __t long, start int, text_before boolean, text_after boolean, words array<bigint>, seeds array<struct<seed:bigint,places:array<int>>>"
     pad, longest = window - 1, max(map(len, masks))
 
     def run(batches):
@@ -195,9 +220,14 @@ def _text_seeds(docs: DataFrame, bits: int, bitmap: np.ndarray, masks: tuple[str
                 cuts = np.append(np.flatnonzero(new), len(place))
                 rows = []
                 for a, b in zip(cuts[:-1], cuts[1:]):
-                    at, first = low[a], starts[doc[a]]
-                    got, where = _grouped_at(seed[a:b], place[a:b] - at)
-                    rows.append((part.start + doc[a], int(at - first), ids[at : high[a:b].max()].view(np.int64), got, where))
+                    at, end, begin = low[a], high[a:b].max(), starts[doc[a]]
+                    n = max(1, end - at - pad)
+                    for first, last in pieces(n):
+                        from_, to = at + first, min(end, at + last + pad)
+                        x, y = a + np.searchsorted(place[a:b], [from_, to])
+                        if x < y:
+                            got, where = _grouped_at(seed[x:y], place[x:y] - from_)
+                            rows.append((part.start + doc[a], int(from_ - begin), first > 0, last < n, ids[from_:to].view(np.int64), got, where))
                 yield _segments(batch, rows)
 
     return docs.select(*KEY, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -211,21 +241,22 @@ def _grouped_at(seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.
 
 
 def _segments(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
-    seeds = np.concatenate([r[3] for r in rows]).view(np.int64)
-    places = pa.array([p for r in rows for p in r[4]], pa.list_(pa.int32()))
-    pairs = pa.StructArray.from_arrays([pa.array(seeds), places], names=["seed", "places"])
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32))
-    doc = pa.array([int(r[0]) for r in rows])
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column(0).take(doc),
-            batch.column(1).take(doc),
-            pa.array([r[1] for r in rows], pa.int32()),
-            pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-            pa.ListArray.from_arrays(offsets, pairs),
-        ],
-        names=[*KEY, "start", "words", "seeds"],
+    doc, start, before, after, words, seeds, places = zip(*rows)
+    pairs = pa.StructArray.from_arrays(
+        [pa.array(np.concatenate(seeds).view(np.int64)), pa.array([p for own in places for p in own], pa.list_(pa.int32()))], names=["seed", "places"]
     )
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in seeds])]).astype(np.int32))
+    doc = pa.array(list(map(int, doc)))
+    columns = [
+        batch.column(0).take(doc),
+        batch.column(1).take(doc),
+        pa.array(start, pa.int32()),
+        pa.array(list(map(bool, before))),
+        pa.array(list(map(bool, after))),
+        pa.array(list(words), pa.list_(pa.int64())),
+        pa.ListArray.from_arrays(offsets, pairs),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[*KEY, "start", "text_before", "text_after", "words", "seeds"])
 
 
 def shifts_of(hits, most: int = 4_000_000) -> np.ndarray:
@@ -239,20 +270,47 @@ def shifts_of(hits, most: int = 4_000_000) -> np.ndarray:
 
 
 def _compared(pairs: DataFrame, window: int, share: float) -> DataFrame:
-    """(key, name, n): words of the longest overlap of each stretch with each item that it shares seeds with."""
+    """For each two pieces with hits the words of the longest overlap inside them (n), and
+    the overlaps that reach an edge where either goes on: shift (place in the text less
+    that in the item), low and high (first and last window in the item) and width (words
+    of a window)."""
+    schema = "__d long, __t long, name string, item long, n int, shift long, low long, high long, width int"
 
     def run(batches):
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
-                words, own = (batch.column(k)[i].values.to_numpy() for k in (3, 4))
-                hits = batch.column(5)[i].values
+            for r in range(batch.num_rows):
+                key = [batch.column(k)[r].as_py() for k in range(4)]
+                start, before, after, piece, more_before, more_after = (batch.column(k)[r].as_py() for k in range(4, 10))
+                words, own = (batch.column(k)[r].values.to_numpy() for k in (10, 11))
+                hits = batch.column(12)[r].values
                 places, ats = (hits.field(k) for k in (0, 1))
-                shifts = shifts_of((p.values.to_numpy(), a.values.to_numpy()) for p, a in zip(places, ats))
-                out.append(max(stretch(own, words, int(s), window, share) for s in shifts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int32())], names=[*KEY, "name", "n"])
-
-    return pairs.select(*KEY, "name", "words", "own", "hits").mapInArrow(run, "__d long, __t long, name string, n int").filter("n > 0")
+                width, best = min(window, len(own)), 0
+                for shift in shifts_of([(p.values.to_numpy(), a.values.to_numpy()) for p, a in zip(places, ats)]).tolist():
+                    a, b, lows, highs = good_runs(own, words, shift, window, share)
+                    for low, high in zip(lows.tolist(), highs.tolist()):
+                        on_left = low == a and ((a == 0 and more_before) or (a == -shift and before))
+                        on_right = high == b and ((b == len(own) - width + 1 and more_after) or (b == len(words) - shift - width + 1 and after))
+                        if on_left or on_right:
+                            out.append((*key, None, start + shift - piece, piece + low, piece + high, width))
+                        else:
+                            best = max(best, high - low + width - 1)
+                if best:
+                    out.append((*key, best, None, None, None, None))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            columns = zip(*out) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*KEY, "name", "item", "n", "shift", "low", "high", "width"])
+
+    given = pairs.select(*KEY, "name", "item", "start", "text_before", "text_after", "piece", "more_before", "more_after", "words", "own", "hits")
+    found = cut(given.mapInArrow(run, schema))
+    inside = found.filter("n IS NOT NULL").select(*KEY, "name", "n")
+    # runs of one alignment that touch or overlap are one
+    order = Window.partitionBy(*KEY, "item", "shift").orderBy("low", "high")
+    reached = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.filter("n IS NULL").withColumn("new", F.coalesce(F.col("low") > reached, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = runs.groupBy(*KEY, "name", "item", "shift", "run").agg((F.max("high") - F.min("low") + F.max("width") - 1).cast("int").alias("n"))
+    return inside.union(joined.select(*KEY, "name", "n"))
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -280,13 +338,14 @@ def overlap_lengths(
     count as one; a null id is the empty one.
     """
     checked(window, share, min_words, masks, short_masks)
-    items = cut(_item_seeds(benchmark, min_words, masks, short_masks, window))
-    segments = _text_seeds(docs, *_bitmap(items), (*masks, *short_masks), window)
-    one = segments.select(*KEY, "start", "words", F.explode("seeds").alias("s")).select(*KEY, "start", "words", "s.seed", "s.places")
-    hits = one.join(items.withColumnRenamed("words", "own"), "seed")
-    pairs = hits.groupBy(*KEY, "start", "item").agg(
-        F.first("name").alias("name"), F.first("words").alias("words"), F.first("own").alias("own"), F.collect_list(F.struct("places", "at")).alias("hits")
-    )
+    items = cut(_item_pieces(benchmark, min_words, masks, short_masks, window))
+    seeds = items.select("item", "piece", F.explode("seeds").alias("s")).select("item", "piece", "s.seed", "s.at")
+    segments = cut(_text_seeds(docs, *_bitmap(seeds), (*masks, *short_masks), window))
+    one = segments.select(*KEY, "start", F.explode("seeds").alias("s")).select(*KEY, "start", "s.seed", "s.places")
+    # shuffled on both sides, whatever their estimated sizes: a hot seed's rows can be split, nothing is broadcast
+    hits = one.join(seeds.hint("merge"), "seed").groupBy(*KEY, "start", "item", "piece").agg(F.collect_list(F.struct("places", "at")).alias("hits"))
+    pairs = hits.join(segments.drop("seeds").hint("merge"), [*KEY, "start"])
+    pairs = pairs.join(items.drop("seeds").withColumnRenamed("words", "own").hint("merge"), ["item", "piece"])
     return _compared(pairs, window, share).groupBy(*KEY, "name").agg(F.max("n").alias("n"))
 
 
