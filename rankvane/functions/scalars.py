@@ -130,7 +130,7 @@ def elo_text(x: Column) -> Column:
 
 
 def percent_text(p: Column) -> Column:
-    return F.concat(_half_up(p * 100, 0).cast("int").cast("string"), F.lit("%"))
+    return F.concat(_half_up(p * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
 def ratio_text(x: Column) -> Column:

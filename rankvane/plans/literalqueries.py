@@ -1,5 +1,5 @@
-"""Registered queries on literal tables and on small log files: the rules that the
-match tables can't exercise, each with its SQL."""
+"""Registered queries of rules that the match tables don't exercise as they are: on names,
+numbers and texts made from columns of the given tables, and on log files, each with its SQL."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import dims, serving
+from ..operators import windows as W
 from ..sources import adapter as A
 from ..sources import logs
 from ..sources.store import cut
@@ -19,8 +20,6 @@ REGISTRY: dict = {}
 SQL: dict[str, str] = {}
 
 LEAGUES = ("LCK", "LPL", "LEC", "LCS", "LTA", "LTA North", "LTA South", "LCP", "PCS", "VCS", "CBLOL", "LJL", "LLA", "LCO", "TCL", "EM", "LFL", "Worlds", "WLDs", "MSI 2024", "First Stand", "KeSPA", "Other", "")
-NUMBERS = (0.0, 0.004, -0.004, 1.25, -1.25, 0.005, 2.675, -13.5, 1499.5, 0.42, 1e-12)
-
 
 def query(sql: str, base: bool = False):
     def add(f):
@@ -31,10 +30,6 @@ def query(sql: str, base: bool = False):
     return add
 
 
-def _values(items) -> str:
-    return ", ".join("(" + ("'{}'".format(str(i).replace("'", "''")) if isinstance(i, str) else repr(i)) + ")" for i in items)
-
-
 def _in(items) -> str:
     return "(" + ", ".join(f"'{i}'" for i in items) + ")"
 
@@ -47,56 +42,65 @@ def _case(values: dict, default) -> str:
 _TOP = f"(league IN {_in(S.MAJOR_LEAGUES)} OR " + " OR ".join(f"contains(league, '{x}')" for x in S.INTERNATIONAL) + ")"
 
 
-@query(f"""
-WITH l AS (SELECT league, {_case(S.LEAGUE_REGION, "INT")} AS region FROM (VALUES {_values(LEAGUES)}) v(league))
-SELECT league, CASE WHEN {_TOP} THEN 3 WHEN league IN {_in(S.SECOND_LEAGUES)} THEN 2 ELSE 1 END::BIGINT AS tier, {_TOP}::BIGINT AS is_lan, {_case(S.PAGE_TIERS, 0)}::BIGINT AS page_tier, region,
-  {_case(S.REGION_NUMBER, 9).replace("CASE league", "CASE region")}::BIGINT AS region_number FROM l""")
-def league_rules(spark, sf):
-    """Tiers, venue, the scoring page's tier and the home region of every known league name."""
-    t = spark.createDataFrame([(x,) for x in LEAGUES], "league string")
-    c = F.col("league")
-    return Q.rounded(t.select("league", S.league_tier(c).alias("tier"), S.is_lan(c).alias("is_lan"), S.display_tier(c).alias("page_tier"), S.region_of(c).alias("region"), S.region_number(S.region_of(c)).alias("region_number")))
+_NAMES = "[" + ", ".join(f"'{x}'" for x in LEAGUES) + "]"
 
 
 @query(f"""
-WITH v AS (SELECT x::DOUBLE AS x, sign(x) * floor(abs(x) * 100 + 0.5 + 1e-9) / 100 AS r, sign(x * 100) * floor(abs(x * 100) + 0.5 + 1e-9) AS p, sign(x) * floor(abs(x) + 0.5 + 1e-9) AS w,
-  sign(x) * floor(abs(x) * 10 + 0.5 + 1e-9) / 10 AS d FROM (VALUES {_values(NUMBERS)}) t(x))
-SELECT x, CASE WHEN r = 0 THEN '0' WHEN r > 0 THEN '+' || printf('%.2f', r) ELSE chr(8722) || printf('%.2f', -r) END AS signed, p::INT || '%' AS percent, w::BIGINT::VARCHAR AS elo, printf('%.1f', d) AS ratio FROM v""")
-def number_texts(spark, sf):
-    t = spark.createDataFrame([(x,) for x in NUMBERS], "x double")
-    c = F.col("x")
-    return t.select("x", S.signed_text(c).alias("signed"), S.percent_text(c).alias("percent"), S.elo_text(c).alias("elo"), S.ratio_text(c).alias("ratio"))
+WITH l AS (SELECT o_orderkey AS gameid, ({_NAMES})[o_orderkey % {len(LEAGUES)} + 1] AS league FROM orders), r AS (SELECT *, {_case(S.LEAGUE_REGION, "INT")} AS region FROM l)
+SELECT gameid, league, CASE WHEN {_TOP} THEN 3 WHEN league IN {_in(S.SECOND_LEAGUES)} THEN 2 ELSE 1 END::BIGINT AS tier, {_TOP}::BIGINT AS is_lan, {_case(S.PAGE_TIERS, 0)}::BIGINT AS page_tier, region,
+  {_case(S.REGION_NUMBER, 9).replace("CASE league", "CASE region")}::BIGINT AS region_number FROM r""")
+def league_rules(spark, sf):
+    """Tier, venue, the scoring page's tier and the home region of each order, whose key names its league."""
+    o = A.read(spark, sf, "orders")
+    league = F.element_at(F.array(*map(F.lit, LEAGUES)), (F.col("o_orderkey") % len(LEAGUES) + 1).cast("int"))
+    t, c = o.select(F.col("o_orderkey").alias("gameid"), league.alias("league")), F.col("league")
+    return Q.rounded(t.select("gameid", "league", S.league_tier(c).alias("tier"), S.is_lan(c).alias("is_lan"), S.display_tier(c).alias("page_tier"), S.region_of(c).alias("region"), S.region_number(S.region_of(c)).alias("region_number")))
 
 
-TIMES = ("2026-01-05 12:30:00", "2026-02-30", "2026-03-04T05:06:07", "no time", "", "2025-12-31 23:59:59 and more")
+@query("""
+WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN o_totalprice / 100000 WHEN 2 THEN o_totalprice / -200 ELSE o_totalprice / 100000000 END AS x FROM orders),
+w AS (SELECT o_orderkey, sign(x) * floor(abs(x) * 100 + 0.5 + 1e-9) / 100 AS r, sign(x * 100) * floor(abs(x * 100) + 0.5 + 1e-9) AS p, sign(x) * floor(abs(x) + 0.5 + 1e-9) AS w, sign(x) * floor(abs(x) * 10 + 0.5 + 1e-9) / 10 AS d FROM v)
+SELECT o_orderkey, CASE WHEN r = 0 THEN '0' WHEN r > 0 THEN '+' || printf('%.2f', r) ELSE chr(8722) || printf('%.2f', -r) END AS signed, p::BIGINT || '%' AS percent, w::BIGINT::VARCHAR AS elo, printf('%.1f', d) AS ratio FROM w""")
+def number_texts(spark, sf):
+    """Texts of numbers of several sizes and signs, from prices."""
+    price, k = F.col("o_totalprice").cast("double"), F.col("o_orderkey") % 4
+    x = F.when(k == 0, 0.0).when(k == 1, price / 100_000).when(k == 2, price / -200).otherwise(price / 100_000_000)
+    t, c = A.read(spark, sf, "orders").select("o_orderkey", x.alias("x")), F.col("x")
+    return t.select("o_orderkey", S.signed_text(c).alias("signed"), S.percent_text(c).alias("percent"), S.elo_text(c).alias("elo"), S.ratio_text(c).alias("ratio"))
 
 
-@query(f"""
-SELECT text, epoch(try_cast(text AS TIMESTAMP))::DOUBLE AS seconds, strftime(try_cast(left(text, 10) AS DATE), '%Y-%m-%d') AS day FROM (VALUES {_values(TIMES)}) v(text)""")
+@query("""
+WITH v AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN d || ' 12:30:00' WHEN 1 THEN left(d, 8) || '31' WHEN 2 THEN d || 'T05:06:07' WHEN 3 THEN 'day ' || d WHEN 4 THEN '' ELSE d || ' 23:59:59 and more' END AS text FROM v)
+SELECT o_orderkey, text, epoch(try_cast(text AS TIMESTAMP))::DOUBLE AS seconds, strftime(try_cast(left(text, 10) AS DATE), '%Y-%m-%d') AS day FROM t""")
 def parsed_times(spark, sf):
-    """Times and leading dates of texts; null where there is none."""
-    t = spark.createDataFrame([(x,) for x in TIMES], "text string")
-    return t.select("text", F.unix_timestamp(S.parse_time(F.col("text"))).cast("double").alias("seconds"), F.date_format(S.date_prefix(F.col("text")), "yyyy-MM-dd").alias("day"))
-
-
-SCORES = (-1000.0, -3.0, 0.0, 0.5, 700.0)
+    """Times and leading dates of texts made of order dates; null where there is none."""
+    d, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 6
+    forms = [F.concat(d, F.lit(" 12:30:00")), F.concat(F.substring(d, 1, 8), F.lit("31")), F.concat(d, F.lit("T05:06:07")), F.concat(F.lit("day "), d), F.lit("")]
+    text = F.concat(d, F.lit(" 23:59:59 and more"))
+    for i, form in enumerate(forms):
+        text = F.when(k == i, form).otherwise(text)
+    t = A.read(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+    return t.select("o_orderkey", "text", F.unix_timestamp(S.parse_time(F.col("text"))).cast("double").alias("seconds"), F.date_format(S.date_prefix(F.col("text")), "yyyy-MM-dd").alias("day"))
 
 
-@query(f"SELECT z, round(1 / (1 + exp(-greatest(least(z, 500), -500))), 6) AS p FROM (VALUES {_values(SCORES)}) v(z)")
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(1 / (1 + exp(-greatest(least((l_extendedprice - 30000) / 40, 500), -500))), 6) AS p FROM lineitem")
 def sigmoid_clipped(spark, sf):
-    return Q.rounded(spark.createDataFrame([(x,) for x in SCORES], "z double").select("z", S.sigmoid(F.col("z")).alias("p")))
+    """Probabilities of scores, most of them beyond where the exponent is held."""
+    z = (F.col("l_extendedprice").cast("double") - 30_000) / 40
+    return Q.rounded(A.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.sigmoid(z).alias("p")))
 
 
-IDS = ("LOLTMNT01_10", "LOLTMNT01_11", "LOLTMNT02_10", "ESPORTSTMNT_1_2", "plain", "_", "a_")
-
-
-@query(f"SELECT id, CASE WHEN contains(id, '_') THEN left(id, len(id) - position('_' IN reverse(id))) ELSE id END AS series FROM (VALUES {_values(IDS)}) v(id)")
+@query("""
+WITH v AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority WHEN 1 THEN '_' WHEN 2 THEN 'A_' || o_custkey || '_' ELSE strftime(o_orderdate, '%Y_%m') || '_' || o_orderkey END AS id FROM orders)
+SELECT o_orderkey, id, CASE WHEN contains(id, '_') THEN left(id, len(id) - position('_' IN reverse(id))) ELSE id END AS series FROM v""")
 def series_prefix(spark, sf):
     """The id before its last underscore, which games of one series share."""
-    from ..operators import windows as W
-
-    t = spark.createDataFrame([(x,) for x in IDS], "id string")
-    return t.select("id", W.series_key(F.col("id"), F.lit(1), F.lit(2))["series"].alias("series"))
+    k = F.col("o_orderkey") % 5
+    made = F.concat_ws("_", F.date_format("o_orderdate", "yyyy_MM"), F.col("o_orderkey"))
+    made = F.when(k == 0, F.col("o_orderpriority")).when(k == 1, "_").when(k == 2, F.concat(F.lit("A_"), F.col("o_custkey"), F.lit("_"))).otherwise(made)
+    t = A.read(spark, sf, "orders").select("o_orderkey", made.alias("id"))
+    return t.select("o_orderkey", "id", W.series_key(F.col("id"), F.lit(1), F.lit(2))["series"].alias("series"))
 
 
 @query("""
