@@ -380,6 +380,20 @@ def forest_mlp_tree(spark, sf):
     return rounded(ML.compared(p["train"], p["test"], {"rf": ML.forest(), "tree": ML.tree(), "mlp": ML.perceptron(len(columns))}))
 
 
+@query()
+def lr_by_steps(spark, sf):
+    """A logistic regression by 2000 steps along batches of 512."""
+    _, _, p = _parts(spark, sf)
+    return rounded(ML.by_steps(p["train"], p["test"]))
+
+
+@query()
+def network(spark, sf):
+    """Two rectified layers with dropout, by Adam; training ends when the loss stays."""
+    _, columns, p = _parts(spark, sf)
+    return rounded(ML.by_network(p["train"], p["test"], len(columns), epochs=40))
+
+
 @query()
 def weighted_ensemble(spark, sf):
     _, columns, p = _parts(spark, sf)

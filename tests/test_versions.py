@@ -82,7 +82,7 @@ def test_all_models_beat_chance(spark):
     got = {r["model"]: r["auc"] for r in ML.compared(train, test, {"lr": ML.logistic(), "gbdt": ML.boosted(maxIter=10), "rf": ML.forest(numTrees=10), "tree": ML.tree(), "mlp": ML.perceptron(3)}).collect()}
     assert len(got) == 5 and min(got.values()) > 0.7
     both = ML.compare_versions(df.withColumn("elo_expected", F.lit(0.5)), {"V1": ["u"], "V2": ["u", "v", "w"]}, trees=5).collect()
-    assert {(r["version"], r["model"]) for r in both} == {("-", "rating"), ("V1", "lr"), ("V1", "gbdt"), ("V2", "lr"), ("V2", "gbdt")}
+    assert {(r["version"], r["model"]) for r in both} == {("-", "rating"), ("V1", "lr"), ("V1", "gbdt"), ("V1", "sgd"), ("V2", "lr"), ("V2", "gbdt"), ("V2", "sgd")}
     top = [r for r in both if r["best"]]
     assert len(top) == 1 and top[0]["auc"] == max(r["auc"] for r in both) and top[0]["version"] == "V2"
 
