@@ -158,24 +158,45 @@ def side_flip(spark, sf):
     return Q.rounded(g.select("gameid", *(c.alias(n) for n, c in serving.flipped(list(FLIP)).items())))
 
 
-@query("""SELECT strftime(o_orderdate, '%Y')::BIGINT AS year, o_orderpriority AS league, count(*) AS games, count(DISTINCT o_custkey) AS teams, round(sum(o_totalprice), 2) AS gold FROM orders GROUP BY ALL""")
-def log_files(spark, sf):
-    """Yearly log files, written and read as logs are: typed, missing files skipped, united by name."""
-    o = A.read(spark, sf, "orders")
-    written = o.select(
-        F.col("o_orderkey").cast("string").alias("gameid"), F.lit("complete").alias("datacompleteness"), F.col("o_orderpriority").alias("league"), F.year("o_orderdate").alias("year"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"), F.lit("team").alias("position"), F.col("o_custkey").cast("string").alias("teamname"), F.lit(1).alias("result"),
-        F.col("o_totalprice").alias("earnedgold"),
+def _log_rows(spark, sf):
+    return A.read(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("gameid"), F.when(F.col("o_orderkey") % 13 == 0, "partial").otherwise("complete").alias("datacompleteness"), F.col("o_orderpriority").alias("league"),
+        F.year("o_orderdate").alias("year"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"), F.when(F.col("o_orderkey") % 5 == 0, "top").otherwise("team").alias("position"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.concat(F.lit('Team "'), F.col("o_custkey"), F.lit('", first'))).alias("teamname"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey").cast("string")).alias("playerid"),
+        F.lit(1).alias("result"), F.col("o_totalprice").alias("earnedgold"),
     )
+
+
+@query("""
+WITH r AS (SELECT *, year(o_orderdate)::BIGINT AS year FROM orders), k AS (SELECT *, o_orderkey % 13 <> 0 AND year <> 1994 AS read, year % 2 = 0 AS short FROM r)
+SELECT year, o_orderpriority AS league, count(*) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 > 0) AS games, count(DISTINCT CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 > 0 THEN 'Team "' || o_custkey || '", first' END) AS teams,
+  count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 > 0) AS players, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 > 0 AND NOT short), 0), 2) AS gold FROM k WHERE read GROUP BY ALL""")
+def log_files(spark, sf):
+    """Yearly log files, written and read as logs are: one scan of files whose headers have
+    other columns in another order, some quoted or empty fields, and a file that is missing."""
+    written = _log_rows(spark, sf)
     years = [r["year"] for r in written.select("year").distinct().orderBy("year").collect()]  # a few years
-    folder = os.path.join(_folder(spark), "logs")
-    written.repartition("year").write.mode("overwrite").option("header", True).partitionBy("year").csv(folder)
-    read = [logs.typed(spark.read.option("header", True).csv(f"{folder}/year={y}").withColumn("year", F.lit(y).cast("string"))) for y in years]
-    log = read[0]
-    for more in read[1:]:
-        log = log.unionByName(more, allowMissingColumns=True)
-    out = logs.team_rows(log).groupBy("year", "league").agg(F.count("*").alias("games"), F.count_distinct("teamname").alias("teams"), F.sum("earnedgold").alias("gold"))
-    return cut(Q.rounded(out, 2))
+    folder = _folder(spark)
+    rows = written.withColumn("file", F.col("year"))
+    for part, columns in ((1, rows.columns), (0, [c for c in reversed(rows.columns) if c != "earnedgold"])):  # the short header is in the other order
+        own = rows.filter(F.col("year") % 2 == part).select(*columns).repartition("file")
+        own.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("file").csv(os.path.join(folder, f"layout{part}"))
+    paths = [os.path.join(folder, f"layout{y % 2}", f"file={y if y != 1994 else 'gone'}") for y in years]
+    log = logs.read_games(spark, paths)
+    teams = logs.team_rows(log).groupBy("year", "league").agg(F.count("*").alias("games"), F.count_distinct("teamname").alias("teams"), F.sum("earnedgold").alias("gold"))
+    players = logs.player_rows(log).groupBy("year", "league").agg(F.count("*").alias("players"))
+    out = teams.join(players, ["year", "league"], "full").fillna(0)
+    return cut(Q.rounded(out.select("year", "league", "games", "teams", "players", "gold"), 2))
+
+
+@query("SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice >= 150000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 2 = 0 GROUP BY ALL")
+def paged_rows(spark, sf):
+    """Rows asked for page by page; two of three conditions are left to the source."""
+    folder = os.path.join(_folder(spark), "pages")
+    logs.stage_pages(A.read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice")), folder, ["o_orderkey"])
+    rows = logs.read_paged(spark, "o_orderkey long, o_orderpriority string, o_totalprice double", module=logs.__name__, function="fetch_staged", folder=folder, page_rows=5000)
+    some = rows.filter((F.col("o_totalprice") >= 150_000) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderkey") % 2 == 0))
+    return cut(Q.rounded(some.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total")), 2))
 
 
 def _folder(spark) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,13 +21,14 @@ NUMBER_COLUMNS = (
 WHOLE_COLUMNS = ("year", "playoffs", "game", "firstPick", "result")
 
 
-def typed(df: DataFrame) -> DataFrame:
-    """The declared columns with their types: missing ones null, NaN null, bad times null,
-    the patch kept as text (as a number 16.10 would become 16.1)."""
+def typed(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The declared columns with their types, and those to keep: missing ones null, NaN null,
+    bad times null, the patch kept as text (as a number 16.10 would become 16.1)."""
     have = {c.strip(): c for c in df.columns}
     col = lambda c: F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")
     number = lambda c: F.nanvl(F.expr("cast(null as double)") if c not in have else col(c).try_cast("double"), F.lit(None).cast("double"))
     return df.select(
+        *keep,
         *(F.nullif(F.trim(col(c).cast("string")), F.lit("")).alias(c) for c in TEXT_COLUMNS),
         F.try_to_timestamp(col("date").cast("string")).alias("date"),
         *(col(c).try_cast("double").cast("int").alias(c) for c in WHOLE_COLUMNS),
@@ -37,18 +36,44 @@ def typed(df: DataFrame) -> DataFrame:
     )
 
 
-def read_games(spark: SparkSession, paths: list[str], complete_only: bool = True) -> DataFrame:
-    """The union of yearly CSV files, each with the columns it has; missing files are skipped."""
-    frames = []
-    for path in paths:
-        try:
-            frames.append(typed(spark.read.option("header", True).csv(path)))
-        except Exception as e:  # an analysis error names the missing path
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    if not frames:
+def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return [p for p in paths if path(p).getFileSystem(conf).exists(path(p))]
+
+
+def read_logs(spark: SparkSession, paths: list[str], marks: tuple[str, ...] = ("gameid", "datacompleteness")) -> DataFrame:
+    """typed() rows of CSV files with headers of their own, with `file` and `corrupt` (the
+    line, where it has not as many fields as its file's header); missing files are skipped.
+
+    All files are one scan of lines.  A line that names the `marks` is a header; where each
+    column stands in it is found once for each file and joined to that file's lines.
+    Fields may be quoted; a field doesn't reach over lines.
+    """
+    found = _existing(spark, paths)
+    if not found:
         raise FileNotFoundError(f"none of {paths} exists")
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    lines = spark.read.text(found).select("value", F.col("_metadata.file_path").alias("file")).filter("trim(value) <> ''")
+    quoted = F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, '^\\s*"(.*)"\\s*$', "$1"), '""', '"')
+    fields = F.when(F.col("value").contains('"'), F.transform(quoted, bare)).otherwise(F.split("value", ",", -1))
+    lines = lines.withColumn("fields", fields)
+    names = F.transform("fields", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", "")))
+    is_header = F.lit(True)
+    for mark in marks:
+        is_header &= F.array_contains(names, mark)
+    wanted = [*TEXT_COLUMNS, "date", *WHOLE_COLUMNS, *NUMBER_COLUMNS]
+    at = F.struct(*(F.coalesce(F.array_position(F.col("names"), c) - 1, F.lit(-1)).cast("int").alias(f"p{i}") for i, c in enumerate(wanted)))
+    headers = lines.filter(is_header).groupBy("file").agg(F.first(names).alias("names")).select("file", F.size("names").alias("n"), at.alias("at"))
+    rows = lines.filter(~is_header).join(headers, "file")  # files without a header have no columns
+    get = lambda i: F.when(F.col(f"at.p{i}") >= 0, F.get("fields", F.col(f"at.p{i}")))
+    wide = rows.select("file", F.when(F.size("fields") != F.col("n"), F.col("value")).alias("corrupt"), *(get(i).alias(c) for i, c in enumerate(wanted)))
+    return typed(wide, ("file", "corrupt"))
+
+
+def read_games(spark: SparkSession, paths: list[str], complete_only: bool = True) -> DataFrame:
+    """The rows of yearly CSV files, each with the columns it has; missing files are skipped."""
+    out = read_logs(spark, paths).drop("file", "corrupt")
     return out.filter("datacompleteness = 'complete'") if complete_only else out
 
 
@@ -130,13 +155,20 @@ def parsed_rows(df: DataFrame, schema: str) -> DataFrame:
 
 
 class PagedSource(DataSource):
-    """Rows of a source that hands out pages of JSON rows: spark.read.format("paged").
-
-    Options: module and function of a Python function fetch(offset, limit) that returns a
-    list of JSON strings, pages (how many tasks share), page_rows.  A failed page is asked
-    for again after waits that double from `wait` seconds up to fifty times that.
+    """Rows of a source that hands out pages of JSON objects: spark.read.format("paged").
+
+    Options: module and function of a Python function fetch(offset, limit), with further
+    options as keywords, that returns JSON strings; page_rows; tasks, which share the
+    pages.  How many pages there are needn't be known: a task takes every `tasks`-th page
+    until it gets a short one.  Where filters on columns of the reader's schema can be left
+    to the source, it gets them as `where`: (column, operation, value) for =, <, <=, >, >=,
+    in, ends and known; Spark applies the rest.  A failed page is asked for again after
+    waits that double from `wait` seconds up to fifty times that.  Without a schema the
+    columns are page and json.
     """
 
+    OWN = ("module", "function", "page_rows", "pages", "tasks", "wait", "path")
+
     @classmethod
     def name(cls):
         return "paged"
@@ -145,34 +177,100 @@ class PagedSource(DataSource):
         return "page int, json string"
 
     def reader(self, schema):
-        return PagedReader(self.options)
+        return PagedReader(self.options, schema)
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+    SIMPLE = {"EqualTo": "=", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "In": "in", "StringEndsWith": "ends"}
+
+    def __init__(self, options, schema=None):
+        self.options, self.where = dict(options), []
+        self.names = schema.fieldNames() if schema is not None else ["page", "json"]
+        self.plain = set(self.names) <= {"page", "json"}
+
+    def pushFilters(self, filters):
+        for f in filters:
+            kind = type(f).__name__
+            if self.plain:
+                yield f
+            elif len(getattr(f, "attribute", ())) == 1 and kind in self.SIMPLE:
+                self.where.append((f.attribute[0], self.SIMPLE[kind], list(f.value) if kind == "In" else f.value))
+            elif kind == "IsNotNull" and len(f.attribute) == 1:
+                self.where.append((f.attribute[0], "known", None))
+            else:
+                yield f
 
     def partitions(self):
-        return [InputPartition(k) for k in range(int(self.options.get("pages", "1")))]
+        return [InputPartition(k) for k in range(int(self.options.get("tasks", "4")))]
 
-    def read(self, partition):
+    def _page(self, number: int, rows: int) -> list[str]:
         import importlib
         import time
 
         fetch = getattr(importlib.import_module(self.options["module"]), self.options["function"])
-        rows, wait = int(self.options.get("page_rows", "500")), float(self.options.get("wait", "15"))
+        more = {k: v for k, v in self.options.items() if k not in PagedSource.OWN}
+        if self.where:
+            more["where"] = self.where
+        wait = float(self.options.get("wait", "15"))
         most = 50 * wait
         while True:
             try:
-                page = fetch(partition.value * rows, rows)
-                break
+                return fetch(number * rows, rows, **more)
             except OSError:
                 if wait > most:
                     raise
                 time.sleep(wait)
                 wait *= 2
-        for row in page:
-            yield partition.value, row
+
+    def read(self, partition):
+        import json
+
+        rows, tasks = int(self.options.get("page_rows", "500")), int(self.options.get("tasks", "4"))
+        number = partition.value
+        while True:
+            page = self._page(number, rows)
+            for row in page:
+                given = {"page": number, "json": row} if self.plain else json.loads(row)
+                yield tuple(given.get(n) for n in self.names)
+            if len(page) < rows:
+                return
+            number += tasks
+
+
+def read_paged(spark: SparkSession, schema: str | None = None, **options) -> DataFrame:
+    """The rows of a PagedSource, whose filters reach the source."""
+    spark.dataSource.register(PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("paged").options(**options)
+    return (reader.schema(schema) if schema else reader).load()
+
+
+def stage_pages(df: DataFrame, path: str, order: list[str]) -> None:
+    """Rows as JSON lines in files of a folder, in order, for fetch_staged()."""
+    ordered = df.orderBy(*order)
+    ordered.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def fetch_staged(offset: int, limit: int, folder: str, where: list = ()) -> list[str]:
+    """A page of the rows of stage_pages() that fit `where`."""
+    import glob
+    import itertools
+    import json
+
+    test = {
+        "=": lambda x, v: x == v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v, ">": lambda x, v: x > v, ">=": lambda x, v: x >= v,
+        "in": lambda x, v: x in v, "ends": lambda x, v: x.endswith(v), "known": lambda x, v: True,
+    }
+
+    def rows():
+        for name in sorted(glob.glob(f"{folder}/part-*")):
+            with open(name) as f:
+                for line in f:
+                    row = json.loads(line)
+                    if all(row.get(c) is not None and test[op](row[c], v) for c, op, v in where):
+                        yield line
+
+    return list(itertools.islice(rows(), offset, offset + limit))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str = "team string, year int, coach string") -> DataFrame:
