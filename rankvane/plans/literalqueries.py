@@ -4,7 +4,6 @@ numbers and texts made from columns of the given tables, and on log files, each
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from ..operators import dims, serving
 from ..operators import windows as W
 from ..sources import adapter as A
 from ..sources import logs
-from ..sources.store import cut
+from ..sources.store import cut, shared_folder
 from . import matchqueries as Q
 
 REGISTRY: dict = {}
@@ -176,7 +175,7 @@ def log_files(spark, sf):
     other columns in another order, some quoted or empty fields, and a file that is missing."""
     written = _log_rows(spark, sf)
     years = [r["year"] for r in written.select("year").distinct().orderBy("year").collect()]  # a few years
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows = written.withColumn("file", F.col("year"))
     for part, columns in ((1, rows.columns), (0, [c for c in reversed(rows.columns) if c != "earnedgold"])):  # the short header is in the other order
         own = rows.filter(F.col("year") % 2 == part).select(*columns).repartition("file")
@@ -192,23 +191,13 @@ def log_files(spark, sf):
 @query("SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice >= 150000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 2 = 0 GROUP BY ALL")
 def paged_rows(spark, sf):
     """Rows asked for page by page; two of three conditions are left to the source."""
-    folder = os.path.join(_folder(spark), "pages")
+    folder = os.path.join(shared_folder(spark), "pages")
     logs.stage_pages(A.read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice")), folder, ["o_orderkey"])
     rows = logs.read_paged(spark, "o_orderkey long, o_orderpriority string, o_totalprice double", module=logs.__name__, function="fetch_staged", folder=folder, page_rows=5000)
     some = rows.filter((F.col("o_totalprice") >= 150_000) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderkey") % 2 == 0))
     return cut(Q.rounded(some.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total")), 2))
 
 
-def _folder(spark) -> str:
-    """A folder of this session that driver and executors share; a temporary one on a local master."""
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local["):
-        shared = spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(shared, f"files-{uuid.uuid4().hex}") if shared else tempfile.mkdtemp(prefix="files-")
-
-
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def json_round_trip(spark, sf):
     """Rows as JSON objects, and back."""

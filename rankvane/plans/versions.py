@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import dims, elo, meta
 from ..operators import windows as W
 from ..sources import adapter as A
-from ..sources.store import cut
+from ..sources.store import FeatureStore, cut
 from . import matchqueries as Q
 from .features import attach
 
@@ -82,43 +82,48 @@ def _coach(sides: DataFrame) -> DataFrame:
 
 def features(spark, sf, version: int = 4) -> DataFrame:
     """gameid, date, league, year, team_a, team_b, result, n_games_a, n_games_b and the
-    version's features; the last version's table has those of all of them."""
+    version's features; the last version's table has those of all of them.
+
+    Each frame is stored by the game's id, and they meet there without an exchange."""
+    with FeatureStore(spark, "gameid") as store:
+        return cut(joined(*stored_frames(spark, sf, store, version), version))
+
+
+def stored_frames(spark, sf, store: FeatureStore, version: int = 4) -> tuple[DataFrame, list[DataFrame], list[tuple[DataFrame, list[str]]]]:
+    """The games, frames of one row a game, and frames of one row a side with their columns, all in the store."""
     wide = cut(A.wide_games(spark, sf))
     sides = cut(A.sides_of(wide, with_drafts=True, stats=True))
-    frames = [_by_team(sides)]
-    columns = [*_TEAM, "team_champ_comfort", "ban_target"]
-    if version >= 2:
-        frames.append(W.player_sides(A.players_of(wide), A.LANES))
-        columns += Q.PLAYER_FEATURES
-    if version >= 3:
-        frames.append(_coach(sides))
-        columns += COACH
-    if version >= 4:
-        some = sides.filter(F.size("champs") > 0)
-        frames += [meta.team_patch(sides), meta.side_champion_rates(sides), meta.meta_conformity(some)]
-        columns += [*PATCHED, "avg_pick_rate", "avg_champ_wr", "meta_conformity"]
-    per_team = frames[0]
-    for more in frames[1:]:
-        per_team = per_team.join(more, _KEY, "left")
-
-    g = Q.tier(wide.drop("xs"))
-    ratings = elo.elo(g)
+    per_team = [(_by_team(sides), [*_TEAM, "team_champ_comfort", "ban_target"])]
     h2h = sides.select("gameid", "slot", W.win_rate(["team", "opp"], 10).alias("h2h_a")).filter("slot = 'a'").drop("slot")
-    g = g.join(ratings, "gameid").join(h2h, "gameid")
+    per_game = [elo.elo(Q.tier(wide.drop("xs"))), h2h]
     if version >= 2:
+        per_team.append((W.player_sides(A.players_of(wide), A.LANES), list(Q.PLAYER_FEATURES)))
         state = A.with_picks(wide).withColumns(W.series_key(F.col("game_name"), F.col("team_a"), F.col("team_b")))
         keys = ["series", "team_1", "team_2"]
-        g = g.join(W.series_state(state, keys), "gameid").join(W.fearless(state, keys), "gameid")
+        per_game += [W.series_state(state, keys), W.fearless(state, keys)]
     if version >= 3:
+        per_team.append((_coach(sides), list(COACH)))
         r = Q.with_regions(spark, sf, wide)
         r = r.withColumns(dims.travel(F.col("region_a"), F.col("event"), "a") | dims.travel(F.col("region_b"), F.col("event"), "b"))
         p = Q.profile(spark, sf, A.players_of(wide))
         pairs = dims.playstyle_differences(r.select("region_a", "region_b").distinct(), p, dims.carry_position(p))
         own = r.select("gameid", "region_a", "region_b", "is_home_a", "is_home_b", "is_traveling_a", "is_traveling_b")
-        g = g.join(own.join(pairs, ["region_a", "region_b"], "left"), "gameid")
+        per_game.append(own.join(pairs, ["region_a", "region_b"], "left"))
     if version >= 4:
-        g = g.join(meta.patch_age(wide), "gameid", "left")
-    out = attach(g, per_team, columns)
+        some = sides.filter(F.size("champs") > 0)
+        per_team += [(meta.team_patch(sides), list(PATCHED)), (meta.side_champion_rates(sides), ["avg_pick_rate", "avg_champ_wr"]), (meta.meta_conformity(some), ["meta_conformity"])]
+        per_game.append(meta.patch_age(wide))
+    games = store.put(Q.tier(wide.drop("xs")))
+    return games, [store.put(f) for f in per_game], [(store.put(f.select(*_KEY, *columns)), columns) for f, columns in per_team]
+
+
+def joined(g: DataFrame, per_game: list[DataFrame], per_team: list[tuple[DataFrame, list[str]]], version: int) -> DataFrame:
+    """The version's features from stored frames."""
+    for frame in per_game:
+        g = g.join(frame, "gameid", "left")
+    out = g
+    for frame, columns in per_team:
+        out = attach(out, frame, columns)
     made = _formulas(version)
     if version > 2:  # in the lists of the first two versions only, and kept beside the later ones
         made["roster_overlap_diff"] = F.col("roster_overlap_a") - F.col("roster_overlap_b")

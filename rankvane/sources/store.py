@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -28,3 +29,41 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # planned anew, under that setting
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one on a local master."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(shared, f"files-{uuid.uuid4().hex}") if shared else tempfile.mkdtemp(prefix="files-")
+
+
+class FeatureStore:
+    """Frames written as tables that are bucketed by one key, so that they meet without
+    another exchange: each frame is dealt out once, when it is written.
+
+    As a context it drops its tables and their files at the end; what is read from it has
+    to be written elsewhere before, as cut() does.
+    """
+
+    def __init__(self, spark: SparkSession, key: str):
+        self.spark, self.key, self.folder, self.names = spark, key, shared_folder(spark), []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def put(self, frame: DataFrame) -> DataFrame:
+        """The frame as it is stored."""
+        name = f"frame_{uuid.uuid4().hex}"
+        dealt = frame.repartition(self.buckets, self.key)
+        dealt.write.format("parquet").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, self.key).sortBy(self.key).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def __enter__(self) -> FeatureStore:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -172,3 +172,21 @@ def test_json_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
     logs.write_json(df, str(tmp_path / "j"))
     assert sorted(map(tuple, spark.read.schema("k int, s string").json(str(tmp_path / "j")).collect())) == [(1, "a"), (2, None)]
+
+
+def test_stored_frames_meet_without_an_exchange(spark):
+    import os
+
+    from rankvane.plans import versions
+    from rankvane.sources.store import FeatureStore
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with FeatureStore(spark, "gameid") as store:
+            out = versions.joined(*versions.stored_frames(spark, "/root/testdata/sf0.001", store), 4)
+            assert len(store.names) == 13 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == spark.table(store.names[0]).count() > 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not os.path.exists(store.folder) and not any(t.name in store.names for t in spark.catalog.listTables())
