@@ -71,6 +71,22 @@ def linear_score(features: dict[str, Column], weights: dict[str, float], mean: d
     return {"p": p, "confidence": conf, "band": F.when(conf > 0.6, "high").when(conf > 0.3, "medium").otherwise("low")}
 
 
+def filled_slots(elo_a: Column, elo_b: Column, games_a: Column, games_b: Column, wr_a: Column, wr_b: Column, blue: Column, tier: Column) -> dict[str, Column]:
+    """What two teams' snapshots tell of a model's features, by name; unknown numbers are 0."""
+    known = lambda x: F.coalesce(x, F.lit(0))
+    gap = elo_a - elo_b
+    return {
+        "elo_diff": gap,
+        "elo_expected": 1 / (1 + F.pow(F.lit(10.0), -gap / 400)),
+        "n_games_diff": known(games_a) - known(games_b),
+        "wr_a_10": known(wr_a),
+        "wr_b_10": known(wr_b),
+        "wr_diff_10": known(wr_a) - known(wr_b),
+        "is_blue_a": blue.cast("int"),
+        "league_tier": tier,
+    }
+
+
 def search(teams: DataFrame, text: str) -> DataFrame:
     """Teams whose name contains the text, whatever the case, strongest first."""
     return teams.filter(F.lower("name").contains(text.lower())).orderBy(F.desc("elo"), "name")

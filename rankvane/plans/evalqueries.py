@@ -290,8 +290,8 @@ tot AS (SELECT *, pe + pf + ps + pv AS total, 1 / (1 + exp(-(pe + pf + ps + pv))
 def duels(spark, sf) -> DataFrame:
     t = A.team_games(spark, sf).groupBy("team").agg(F.count("*").alias("games"), F.avg("result").alias("wr"), F.avg("kills").alias("k"))
     t = t.withColumn("elo", 40.0 * (F.col("team") % 5) + F.col("k"))
-    a = t.select(F.col("team").alias("team_a"), F.col("elo").alias("elo_a"), F.col("wr").alias("wr_a"))
-    b = t.select(F.col("team").alias("team_b"), F.col("elo").alias("elo_b"), F.col("wr").alias("wr_b"), (F.col("team") - 1).alias("team_a"))
+    a = t.select(F.col("team").alias("team_a"), F.col("elo").alias("elo_a"), F.col("wr").alias("wr_a"), F.col("games").alias("games_a"))
+    b = t.select(F.col("team").alias("team_b"), F.col("elo").alias("elo_b"), F.col("wr").alias("wr_b"), F.col("games").alias("games_b"), (F.col("team") - 1).alias("team_a"))
     return a.join(b, "team_a").withColumns({"blue": F.col("team_a") % 2 == 0, "event": F.col("team_b") % 3 == 0})
 
 
@@ -325,13 +325,28 @@ def compare_rosters(spark, sf):
     return serving.compare_rosters(snap, teams.select(F.col("team").alias("team_a"), (F.col("team") + 1).alias("team_b")))
 
 
-@query(SNAP_SQL + """
-, z AS (SELECT team_a, 0.1 + 0.5 * ((ea - eb) - 5) / 60 + 0.3 * ((wa - wb) - 0.01) / 0.1 - 0.2 * (0 - 0.5) / 0.5 AS z FROM duel), q AS (SELECT team_a, 1 / (1 + exp(-z)) AS p FROM z)
-SELECT team_a, round(p, 6) AS p, round(2 * abs(p - 0.5), 6) AS confidence, CASE WHEN 2 * abs(p - 0.5) > 0.6 THEN 'high' WHEN 2 * abs(p - 0.5) > 0.3 THEN 'medium' ELSE 'low' END AS band FROM q""")
+SLOTS = versions.VERSIONS[2]
+#: a linear model of every slot by rule, in place of fitted weights, means and spreads
+SLOT_MODEL = {c: (((i * 37) % 19 - 9) / 100, ((i * 11) % 7 - 3) / 20, 0.5 + (i % 5) / 4) for i, c in enumerate(SLOTS)}
+SLOT_BIAS = 0.1
+#: what a team snapshot fills of the slots; all others are 0 before they are standardized
+FILLED_SQL = {
+    "elo_diff": "ea - eb", "elo_expected": "1 / (1 + pow(10, -(ea - eb) / 400))", "n_games_diff": "ga - gb", "wr_a_10": "wa", "wr_b_10": "wb", "wr_diff_10": "wa - wb",
+    "is_blue_a": "blue::INT", "league_tier": "CASE WHEN team_a % 3 = 0 THEN 2 WHEN team_a % 3 = 1 THEN 1 ELSE 0 END",
+}
+
+
+@query(SNAP_SQL.replace("a.wr AS wa", "a.wr AS wa, a.games AS ga, b.games AS gb") + ", z AS (SELECT team_a, " + repr(SLOT_BIAS) + " + " + " + ".join(
+    f"{w} * (({FILLED_SQL.get(c, '0')}) - ({m})) / {s}" for c, (w, m, s) in SLOT_MODEL.items()
+) + """ AS z FROM duel), q AS (SELECT team_a, 1 / (1 + exp(-z)) AS p FROM z)
+SELECT team_a, round(p, 6) AS p, round(2 * abs(p - 0.5), 6) AS confidence, CASE WHEN 2 * abs(p - 0.5) > 0.6 THEN 'high' WHEN 2 * abs(p - 0.5) > 0.3 THEN 'medium' ELSE 'low' END AS band FROM q""")
 def legacy_lr_score(spark, sf):
-    given = {"elo_diff": F.col("elo_a") - F.col("elo_b"), "wr_diff": F.col("wr_a") - F.col("wr_b")}
-    out = serving.linear_score(given, {"elo_diff": 0.5, "wr_diff": 0.3, "tier": -0.2}, {"elo_diff": 5.0, "wr_diff": 0.01, "tier": 0.5}, {"elo_diff": 60.0, "wr_diff": 0.1, "tier": 0.5}, 0.1)
-    return rounded(duels(spark, sf).withColumns(out).select("team_a", "p", "confidence", "band"))
+    """All slots of the second version's model; a snapshot fills eight of them."""
+    c = F.col
+    tier_ = S.display_tier(F.element_at(F.array(F.lit("LCK"), F.lit("PCS"), F.lit("LCO")), (c("team_a") % 3 + 1).cast("int")))
+    given = serving.filled_slots(c("elo_a"), c("elo_b"), c("games_a"), c("games_b"), c("wr_a"), c("wr_b"), c("blue"), tier_)
+    weights, mean, spread = ({n: v[k] for n, v in SLOT_MODEL.items()} for k in range(3))
+    return rounded(duels(spark, sf).withColumns(serving.linear_score(given, weights, mean, spread, SLOT_BIAS)).select("team_a", "p", "confidence", "band"))
 
 
 @query("SELECT s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier WHERE lower(s_name) LIKE '%0001%'", base=False)
