@@ -170,7 +170,7 @@ def _grouped(found: list[np.ndarray]) -> tuple[np.ndarray, pa.Array]:
 def _bitmap(seeds: DataFrame) -> tuple[int, np.ndarray]:
     """(bits, bitmap of two bits for each seed); what comes back has 2 ** MOST_BITS bits at most."""
     n = seeds.agg(F.approx_count_distinct("seed")).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))  # two of 64 bits a seed: one in a thousand others passes
     at = [F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned("seed", 5).bitwiseAND(F.lit((1 << bits) - 1))]
     both = seeds.select(F.explode(F.array(*at)).alias("at"))
     words = both.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
