@@ -13,7 +13,7 @@ from ..operators import models as ML
 from ..operators import serving, simulation
 from ..operators import windows as W
 from ..sources import adapter as A
-from ..sources.store import cut
+from ..sources.store import cut, files_of
 from . import features, versions
 from .matchqueries import ELO_SQL, TIER_SQL, over, rounded, tier, with_elo
 
@@ -361,8 +361,8 @@ _TABLES: dict = {}
 
 
 def feature_table(spark, sf) -> DataFrame:
-    """The table of all versions, written once for a session and read by every model."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The table of all versions, written once for a session and its input files, and read by every model."""
+    key = (spark.sparkContext.applicationId, sf, *(file for name in ("orders", "lineitem", "part", "supplier", "customer", "nation", "region", "events") for file in files_of(spark, f"{sf}/{name}.parquet")))
     if key not in _TABLES:
         _TABLES.clear()
         _TABLES[key] = cut(versions.features(spark, sf).filter("n_games_a >= 5 AND n_games_b >= 5"))

@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of a file, or of a folder's files; none if there is no such path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one on a local master."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
