@@ -6,8 +6,12 @@ of its first h lines and of the h lines after them; equal ranks form an interval
 of suffixes with a common prefix of at least 2h lines.  Suffixes alone in their
 interval are finished and leave the job, so each round works only on what still
 repeats.  The first member of an interval in (doc_id, line) order is the
-original.  Intervals on the same diagonal (document, original, shift) join into
-maximal repeated runs, and lines of later copies are deleted.
+original, and lines of later copies are deleted.
+
+The longest common prefix of a suffix with an earlier one is found from the intervals: its
+greatest power of two is known from the rounds, and smaller powers are added from the top
+down, as long as the interval that an addition leads to has an earlier member.  Suffixes
+whose prefix isn't part of the one before start maximal repeated runs.
 """
 
 from __future__ import annotations
@@ -57,21 +61,16 @@ def _longer(level: DataFrame, by: int) -> DataFrame:
     return both.filter("next is not null").select(*KEY, "seq", F.xxhash64("rank", "next").alias("rank"), F.hash("rank2", "next2").alias("rank2"))
 
 
-def repeated_runs(docs: DataFrame, min_lines: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(lines to delete: key, seq, line_no; maximal repeated runs: key, seq, n_lines, and
-    d, t, original_seq of the first occurrence).  `docs` comes from with_key().
-
-    A suffix is aligned with the first occurrence of its longest prefix of 1, 2, 4, ...
-    lines that occurs earlier; such stretches at the same shift from the same document
-    join into one run, so a run is as long as that alignment goes on.
-    """
+def repeated_lines(docs: DataFrame, min_lines: int, min_chars: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """(lines to delete: key, seq, line_no; intervals of the suffixes that repeat: length of
+    the common prefix and members, for 1, 2, 4, ... lines).  `docs` comes from with_key()."""
     if min_lines < 1:
         raise ValueError("a run has one line at least")
     lines = cut(_intervals(line_suffixes(docs, min_chars)))
-    hits, found = [lines.filter("earlier and long").select(*KEY, "seq")], []
+    hits, levels = [lines.filter("earlier and long").select(*KEY, "seq")], []
     level, h = lines, 1
     while True:
-        found.append(level.filter("earlier").select(*KEY, "seq", F.lit(h).alias("h"), "first"))
+        levels.append((h, level))
         if h <= min_lines < 2 * h:  # prefixes of exactly min_lines lines: two of h lines that overlap
             exact = level if h == min_lines else _intervals(_longer(level, min_lines - h))
             at = exact.filter("earlier").select(*KEY, F.explode(F.sequence("seq", F.col("seq") + (min_lines - 1))).alias("seq"))
@@ -79,32 +78,80 @@ def repeated_runs(docs: DataFrame, min_lines: int, min_chars: int) -> tuple[Data
         level, h = cut(_intervals(_longer(level, h))), 2 * h
         if level.isEmpty():
             break
-    marked, all_ = hits[0], found[0]
+    marked = hits[0]
     for more in hits[1:]:
         marked = marked.union(more)
-    for more in found[1:]:
-        all_ = all_.union(more)
-    delete = lines.join(marked.distinct(), [*KEY, "seq"], "left_semi").select(*KEY, "seq", "line_no").distinct()
-    return delete, _runs(all_)
+    return lines.join(marked.distinct(), [*KEY, "seq"], "left_semi").select(*KEY, "seq", "line_no").distinct(), levels
+
+
+_NODE = ["node", "node2", "n"]
+
+
+def earlier_prefixes(levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(key, seq, n, first): for each suffix that shares a prefix with an earlier one the
+    length of the longest such prefix, and the place of its first occurrence."""
+    state, done, higher = None, [], None
+    for h, level in reversed(levels):
+        if state is not None:
+            state = _extended(state, level, h)
+        top = level.select(*KEY, "seq", F.col("rank").alias("node"), F.col("rank2").alias("node2"), F.lit(h).alias("n"), "first", F.col("earlier").alias("active"))
+        if higher is not None:  # those whose prefix of twice the length has an earlier place are on their way already
+            top = top.join(higher.hint("merge"), [*KEY, "seq"], "left").withColumn("active", F.col("active") & F.col("higher").isNull()).drop("higher")
+        if h == 1:
+            done.append(top.filter("active"))
+        else:
+            top = _with_active(top)
+            state = top if state is None else state.unionByName(top)
+        higher = level.filter("earlier").select(*KEY, "seq", F.lit(True).alias("higher"))
+    if state is not None:
+        done.append(state.filter("active"))
+    out = done[0] if len(done) == 1 else done[0].unionByName(done[1])
+    return out.select(*KEY, "seq", "n", "first")
+
+
+def _with_active(state: DataFrame) -> DataFrame:
+    """The intervals in which a suffix still looks for a longer prefix, all members."""
+    state = cut(state)
+    open_ = cut(state.groupBy(*_NODE).agg(F.max("active").alias("open")).filter("open").drop("open"))
+    return cut(state.join(open_.hint("merge"), _NODE))
+
+
+def _extended(state: DataFrame, level: DataFrame, h: int) -> DataFrame:
+    """Intervals with prefixes that are `h` lines longer, where that leads an active suffix to
+    an earlier place, and the intervals as they were for those that found none."""
+    ahead = level.select(*KEY, F.col("seq").alias("at"), "rank", "rank2")
+    longer = state.withColumn("at", F.col("seq") + F.col("n")).join(ahead.hint("merge"), [*KEY, "at"], "left")
+    longer = cut(longer.withColumns({"to": F.when(F.col("rank").isNotNull(), F.xxhash64("node", "rank")), "to2": F.hash("node2", "rank2")}).drop("at", "rank", "rank2"))
+    place = F.struct(*KEY, "seq")
+    found = longer.filter("to IS NOT NULL").groupBy("to", "to2", "n").agg(F.min(place).alias("to_first"), F.count_if("active").alias("ask"), F.min_by("active", place).alias("own"))
+    found = cut(found.filter(F.col("ask") > F.col("own").cast("int")).drop("ask", "own"))  # someone but the first asks
+    both = longer.join(found.hint("merge"), ["to", "to2", "n"], "left")
+    moved = F.col("active") & F.coalesce(F.col("to_first") < place, F.lit(False))
+    stay = F.struct("node", "node2", "n", "first", (F.col("active") & ~moved).alias("active"))
+    go = F.struct(F.col("to").alias("node"), F.col("to2").alias("node2"), (F.col("n") + h).alias("n"), F.col("to_first").alias("first"), moved.alias("active"))
+    rows = both.select(*KEY, "seq", F.explode(F.when(F.col("to_first").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("x"))
+    return _with_active(rows.select(*KEY, "seq", "x.*"))
 
 
-def _runs(found: DataFrame) -> DataFrame:
-    best = found.groupBy(*KEY, "seq").agg(F.max(F.struct("h", "first")).alias("m")).select(
-        *KEY, "seq", (F.col("seq") + F.col("m.h")).alias("end"), F.col("m.first.__d").alias("d"), F.col("m.first.__t").alias("t"),
-        (F.col("seq") - F.col("m.first.seq")).alias("shift"),
-    )
-    diagonal = [*KEY, "d", "t", "shift"]
-    before = Window.partitionBy(*diagonal).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parted = best.withColumn("new", F.coalesce(F.col("seq") > F.max("end").over(before), F.lit(True)).cast("int"))
-    numbered = parted.withColumn("run", F.sum("new").over(Window.partitionBy(*diagonal).orderBy("seq")))
-    runs = numbered.groupBy(*diagonal, "run").agg(F.min("seq").alias("seq"), F.max("end").alias("end"))
-    return runs.select(*KEY, "seq", (F.col("end") - F.col("seq")).alias("n_lines"), "d", "t", (F.col("seq") - F.col("shift")).alias("original_seq"))
+def maximal_runs(levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """key, seq, n_lines and d, t, original_seq of the first occurrence, for each run of lines
+    that occurs earlier and is no part of a longer one that does."""
+    before = Window.partitionBy(*KEY).orderBy("seq").rangeBetween(-1, -1)
+    rows = earlier_prefixes(levels).withColumn("above", F.max("n").over(before))
+    first = {"d": F.col("first.__d"), "t": F.col("first.__t"), "original_seq": F.col("first.seq")}
+    return rows.filter("above IS NULL OR n >= above").select(*KEY, "seq", F.col("n").alias("n_lines"), *(c.alias(k) for k, c in first.items()))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(lines to delete, maximal_runs()); `docs` comes from with_key()."""
+    delete, levels = repeated_lines(docs, min_lines, min_chars)
+    return delete, maximal_runs(levels)
 
 
 def deduplicate_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 60) -> DataFrame:
     """All columns and rows of docs with later copies of repeated line runs deleted
     from `text`, and __removed: array of the (seq, line_no) deleted, __n_lines: how many
-    lines the text had, __longest: lines in its longest run that occurs earlier.
+    lines the text had.
 
     A run counts if it has at least `min_lines` lines, or is one line of at least
     `min_chars` characters.  The copy with the smallest (doc_id, text hash, line)
@@ -114,19 +161,21 @@ def deduplicate_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 60)
     the smallest, rows equal in doc_id and text are one document and get the same
     result.  A document may end up with an empty text.
     """
-    delete, runs = repeated_runs(with_key(docs), min_lines, min_chars)
+    return _without(docs, repeated_lines(with_key(docs), min_lines, min_chars)[0])
+
+
+def _without(docs: DataFrame, delete: DataFrame, keep: list[str] | None = None) -> DataFrame:
     gone = delete.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seq", "line_no"))).alias("__removed"))
-    longest = runs.groupBy(*KEY).agg(F.max("n_lines").alias("__longest"))
     # split before the join: behind it the lines are a column and not split again for each line
     named = with_key(docs).withColumn("__lines", F.split(F.col("text").cast("string"), "\n")).drop("text")
-    joined = named.join(longest.join(gone, KEY, "left"), KEY, "left")
+    joined = named.join(gone, KEY, "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed.line_no"))
     text = F.when(F.col("__removed").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
     return joined.select(
         *(text.alias("text") if c == "text" else column(c) for c in docs.columns),
+        *(keep or []),
         "__removed",
         F.greatest(F.coalesce(F.size("__lines"), F.lit(0)), F.lit(0)).alias("__n_lines"),
-        F.coalesce("__longest", F.lit(0)).alias("__longest"),
     )
 
 
@@ -134,7 +183,10 @@ def line_report(docs: DataFrame, min_lines: int = 2, min_chars: int = 60) -> Dat
     """doc_id, n_lines (all lines; a null text has the one of an empty text), n_removed,
     n_runs (stretches of neighbouring deleted lines), longest_run (lines of the longest
     run that occurs earlier) and kept_sha256 of the text that stays, for each row of docs."""
-    out = deduplicate_lines(docs.select("doc_id", "text"), min_lines, min_chars)
+    docs = docs.select("doc_id", "text")
+    delete, levels = repeated_lines(with_key(docs), min_lines, min_chars)
+    longest = maximal_runs(levels).groupBy(*KEY).agg(F.max("n_lines").alias("longest_run"))
+    out = _without(docs, delete, KEY).join(longest, KEY, "left")
     gone = F.coalesce("__removed", F.array().cast("array<struct<seq:int,line_no:int>>"))
     starts = F.size(F.filter(gone, lambda x, i: (i == 0) | (F.element_at(gone, F.greatest(i, F.lit(1)))["seq"] != x["seq"] - 1)))
     return out.select(
@@ -142,7 +194,7 @@ def line_report(docs: DataFrame, min_lines: int = 2, min_chars: int = 60) -> Dat
         F.greatest("__n_lines", F.lit(1)).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         starts.cast("long").alias("n_runs"),
-        F.col("__longest").cast("long").alias("longest_run"),
+        F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
@@ -154,7 +206,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: ids are unique in these tables, so (doc_id, line) orders the copies
 OP2_SQL = """
-WITH RECURSIVE split AS (
+WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), lines AS (
   SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS seq FROM (
@@ -176,21 +228,13 @@ WITH RECURSIVE split AS (
   SELECT s.doc_id, string_agg(s.part, chr(10) ORDER BY s.line_no) AS text FROM (
     SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS part FROM split
   ) s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.line_no = g.line_no GROUP BY 1
-), levels(h, doc_id, seq, r) AS (
-  SELECT 1, doc_id, seq, md5(line) FROM lines QUALIFY count(*) OVER (PARTITION BY line) > 1
-  UNION ALL
-  SELECT 2 * a.h, a.doc_id, a.seq, md5(a.r || b.r) FROM levels a JOIN levels b ON b.doc_id = a.doc_id AND b.seq = a.seq + a.h
-  QUALIFY count(*) OVER (PARTITION BY md5(a.r || b.r)) > 1
-), placed AS (
-  SELECT *, first_value(doc_id) OVER w AS d, first_value(seq) OVER w AS s FROM levels WINDOW w AS (PARTITION BY h, r ORDER BY doc_id, seq)
-), best AS (
-  SELECT doc_id, seq, seq + max(h) AS upto, arg_max(d, h) AS d, seq - arg_max(s, h) AS shift FROM placed WHERE (doc_id, seq) > (d, s) GROUP BY doc_id, seq
-), parted AS (
-  SELECT *, coalesce(seq > max(upto) OVER (PARTITION BY doc_id, d, shift ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM best
-), numbered AS (
-  SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, d, shift ORDER BY seq) AS run FROM parted
+), spelled AS MATERIALIZED (
+  SELECT doc_id, seq, hash(line) AS h FROM lines QUALIFY count(*) OVER (PARTITION BY line) > 1
+), diagonal AS (
+  SELECT a.doc_id, b.doc_id AS d, a.seq - b.seq AS shift, a.seq, a.seq - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.seq - b.seq ORDER BY a.seq) AS island
+  FROM spelled a JOIN spelled b ON a.h = b.h AND (a.doc_id, a.seq) > (b.doc_id, b.seq)
 ), longest AS (
-  SELECT doc_id, max(n) AS n FROM (SELECT doc_id, max(upto) - min(seq) AS n FROM numbered GROUP BY doc_id, d, shift, run) GROUP BY doc_id
+  SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) AS n FROM diagonal GROUP BY doc_id, d, shift, island) GROUP BY doc_id
 )
 SELECT s.doc_id, len(s.parts)::BIGINT AS n_lines, coalesce(c.n_removed, 0)::BIGINT AS n_removed,
   coalesce(c.n_runs, 0)::BIGINT AS n_runs, coalesce(l.n, 0)::BIGINT AS longest_run, sha256(coalesce(k.text, '')) AS kept_sha256
