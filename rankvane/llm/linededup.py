@@ -11,7 +11,8 @@ original, and lines of later copies are deleted.
 The longest common prefix of a suffix with an earlier one is found from the intervals: its
 greatest power of two is known from the rounds, and smaller powers are added from the top
 down, as long as the interval that an addition leads to has an earlier member.  Suffixes
-whose prefix isn't part of the one before start maximal repeated runs.
+whose prefix isn't part of the one before start maximal repeated runs.  That is done for
+each document's suffixes of the greatest power, among which its longest run is.
 """
 
 from __future__ import annotations
@@ -88,21 +89,24 @@ _NODE = ["node", "node2", "n"]
 
 
 def earlier_prefixes(levels: list[tuple[int, DataFrame]]) -> DataFrame:
-    """(key, seq, n, first): for each suffix that shares a prefix with an earlier one the
-    length of the longest such prefix, and the place of its first occurrence."""
-    state, done, higher = None, [], None
+    """(key, seq, n, first): for the suffixes of a document that share the greatest power of
+    two of lines with an earlier one the length of the longest such prefix, and the place of
+    its first occurrence.  A document's longest runs are among them."""
+    best = [level.filter("earlier").select(*KEY, F.lit(h).alias("h")) for h, level in levels]
+    while len(best) > 1:
+        best = [a.union(b) for a, b in zip(best[::2], best[1::2])] + best[len(best) // 2 * 2 :]
+    best = cut(best[0].groupBy(*KEY).agg(F.max("h").alias("most")))
+    state, done = None, []
     for h, level in reversed(levels):
         if state is not None:
             state = _extended(state, level, h)
-        top = level.select(*KEY, "seq", F.col("rank").alias("node"), F.col("rank2").alias("node2"), F.lit(h).alias("n"), "first", F.col("earlier").alias("active"))
-        if higher is not None:  # those whose prefix of twice the length has an earlier place are on their way already
-            top = top.join(higher.hint("merge"), [*KEY, "seq"], "left").withColumn("active", F.col("active") & F.col("higher").isNull()).drop("higher")
+        top = level.select(*KEY, "seq", F.col("rank").alias("node"), F.col("rank2").alias("node2"), F.lit(h).alias("n"), "first", "earlier")
+        top = top.join(best.hint("merge"), KEY, "left").withColumn("active", F.col("earlier") & (F.col("most") == h)).drop("earlier", "most")
         if h == 1:
             done.append(top.filter("active"))
         else:
             top = _with_active(top)
             state = top if state is None else state.unionByName(top)
-        higher = level.filter("earlier").select(*KEY, "seq", F.lit(True).alias("higher"))
     if state is not None:
         done.append(state.filter("active"))
     out = done[0] if len(done) == 1 else done[0].unionByName(done[1])
@@ -111,7 +115,6 @@ def earlier_prefixes(levels: list[tuple[int, DataFrame]]) -> DataFrame:
 
 def _with_active(state: DataFrame) -> DataFrame:
     """The intervals in which a suffix still looks for a longer prefix, all members."""
-    state = cut(state)
     open_ = cut(state.groupBy(*_NODE).agg(F.max("active").alias("open")).filter("open").drop("open"))
     return cut(state.join(open_.hint("merge"), _NODE))
 
@@ -121,7 +124,7 @@ def _extended(state: DataFrame, level: DataFrame, h: int) -> DataFrame:
     an earlier place, and the intervals as they were for those that found none."""
     ahead = level.select(*KEY, F.col("seq").alias("at"), "rank", "rank2")
     longer = state.withColumn("at", F.col("seq") + F.col("n")).join(ahead.hint("merge"), [*KEY, "at"], "left")
-    longer = cut(longer.withColumns({"to": F.when(F.col("rank").isNotNull(), F.xxhash64("node", "rank")), "to2": F.hash("node2", "rank2")}).drop("at", "rank", "rank2"))
+    longer = longer.withColumns({"to": F.when(F.col("rank").isNotNull(), F.xxhash64("node", "rank")), "to2": F.hash("node2", "rank2")}).drop("at", "rank", "rank2")
     place = F.struct(*KEY, "seq")
     found = longer.filter("to IS NOT NULL").groupBy("to", "to2", "n").agg(F.min(place).alias("to_first"), F.count_if("active").alias("ask"), F.min_by("active", place).alias("own"))
     found = cut(found.filter(F.col("ask") > F.col("own").cast("int")).drop("ask", "own"))  # someone but the first asks
@@ -134,8 +137,9 @@ def _extended(state: DataFrame, level: DataFrame, h: int) -> DataFrame:
 
 
 def maximal_runs(levels: list[tuple[int, DataFrame]]) -> DataFrame:
-    """key, seq, n_lines and d, t, original_seq of the first occurrence, for each run of lines
-    that occurs earlier and is no part of a longer one that does."""
+    """key, seq, n_lines and d, t, original_seq of the first occurrence, for the longest runs
+    of lines of each document that occur earlier and are no part of longer ones that do:
+    those of more than half the length of its longest one at any rate."""
     before = Window.partitionBy(*KEY).orderBy("seq").rangeBetween(-1, -1)
     rows = earlier_prefixes(levels).withColumn("above", F.max("n").over(before))
     first = {"d": F.col("first.__d"), "t": F.col("first.__t"), "original_seq": F.col("first.seq")}
