@@ -100,13 +100,13 @@ def earlier_prefixes(levels: list[tuple[int, DataFrame]]) -> DataFrame:
     for h, level in reversed(levels):
         if state is not None:
             state = _extended(state, level, h)
+            state = _with_active(state) if h == 1 else state
         top = level.select(*KEY, "seq", F.col("rank").alias("node"), F.col("rank2").alias("node2"), F.lit(h).alias("n"), "first", "earlier")
         top = top.join(best.hint("merge"), KEY, "left").withColumn("active", F.col("earlier") & (F.col("most") == h)).drop("earlier", "most")
         if h == 1:
             done.append(top.filter("active"))
         else:
-            top = _with_active(top)
-            state = top if state is None else state.unionByName(top)
+            state = _with_active(top if state is None else state.unionByName(top))
     if state is not None:
         done.append(state.filter("active"))
     out = done[0] if len(done) == 1 else done[0].unionByName(done[1])
@@ -133,7 +133,7 @@ def _extended(state: DataFrame, level: DataFrame, h: int) -> DataFrame:
     stay = F.struct("node", "node2", "n", "first", (F.col("active") & ~moved).alias("active"))
     go = F.struct(F.col("to").alias("node"), F.col("to2").alias("node2"), (F.col("n") + h).alias("n"), F.col("to_first").alias("first"), moved.alias("active"))
     rows = both.select(*KEY, "seq", F.explode(F.when(F.col("to_first").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("x"))
-    return _with_active(rows.select(*KEY, "seq", "x.*"))
+    return rows.select(*KEY, "seq", "x.*")
 
 
 def maximal_runs(levels: list[tuple[int, DataFrame]]) -> DataFrame:
