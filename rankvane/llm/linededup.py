@@ -97,7 +97,9 @@ def earlier_prefixes(levels: list[tuple[int, DataFrame]]) -> DataFrame:
         best = [a.union(b) for a, b in zip(best[::2], best[1::2])] + best[len(best) // 2 * 2 :]
     best = cut(best[0].groupBy(*KEY).agg(F.max("h").alias("most")))
     state, done = None, []
+    jvm = levels[0][1].sparkSession.sparkContext._jvm
     for h, level in reversed(levels):
+        jvm.System.gc()  # what the steps before have written goes when the driver forgets it
         if state is not None:
             state = _extended(state, level, h)
             state = _with_active(state) if h == 1 else state
