@@ -121,3 +121,13 @@ def test_percentiles_are_exact(spark, kind):
 
 def test_percentiles_without_values(spark):
     assert metrics.exact_percentiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
+
+
+def test_the_side_win_rate_holds_no_lists(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice("ab"), dt.datetime(2020, 1, 1 + rng.randrange(20)), rng.choice(["A", "N", "R", None] if g % 3 else ["A"]), rng.randrange(2)) for g in range(400)]
+    df = spark.createDataFrame(rows, "gameid long, team string, date timestamp, side string, result int")
+    made = W.with_side_win_rate(df, ["team"])
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    both = made.withColumn("listed", W.side_win_rate(["team"]))
+    assert both.filter("NOT side_wr <=> listed").count() == 0 and both.filter("side_wr NOT IN (0, 0.5, 1)").count() > 200
