@@ -251,26 +251,44 @@ def stage_pages(df: DataFrame, path: str, order: list[str]) -> None:
     ordered.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+#: of each (folder, conditions): rows handed out so far, and the file and byte behind them
+_REACHED: dict[tuple[str, str], tuple[int, int, int]] = {}
+
+
 def fetch_staged(offset: int, limit: int, folder: str, where: list = ()) -> list[str]:
-    """A page of the rows of stage_pages() that fit `where`."""
+    """A page of the rows of stage_pages() that fit `where`.
+
+    A later page goes on where the one before ended, so a process that asks for pages in
+    order reads the files once; an earlier page starts anew."""
     import glob
-    import itertools
     import json
 
     test = {
         "=": lambda x, v: x == v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v, ">": lambda x, v: x > v, ">=": lambda x, v: x >= v,
         "in": lambda x, v: x in v, "ends": lambda x, v: x.endswith(v), "known": lambda x, v: True,
     }
-
-    def rows():
-        for name in sorted(glob.glob(f"{folder}/part-*")):
-            with open(name) as f:
-                for line in f:
-                    row = json.loads(line)
-                    if all(row.get(c) is not None and test[op](row[c], v) for c, op, v in where):
-                        yield line
-
-    return list(itertools.islice(rows(), offset, offset + limit))
+    key = (folder, repr(where))
+    done, file, byte = _REACHED.get(key, (0, 0, 0))
+    if done > offset:
+        done, file, byte = 0, 0, 0
+    names = sorted(glob.glob(f"{folder.removeprefix('file://')}/part-*"))
+    page: list[str] = []
+    while file < len(names) and done < offset + limit:
+        with open(names[file], "rb") as f:
+            f.seek(byte)
+            for line in f:
+                byte += len(line)
+                row = json.loads(line)
+                if all(row.get(c) is not None and test[op](row[c], v) for c, op, v in where):
+                    done += 1
+                    if done > offset:
+                        page.append(line.decode())
+                    if done == offset + limit:
+                        break
+            else:
+                file, byte = file + 1, 0
+    _REACHED[key] = done, file, byte
+    return page
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str = "team string, year int, coach string") -> DataFrame:

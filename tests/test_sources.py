@@ -56,3 +56,19 @@ def test_headers_drift(spark, tmp_path):
         logs.read_games(spark, [paths[1]])
     plan = logs.read_logs(spark, paths)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_staged_pages_are_read_once(tmp_path, monkeypatch):
+    rows = [{"id": k, "role": "ab"[k % 2]} for k in range(2000)]
+    for part in range(4):
+        (tmp_path / f"part-{part}").write_text("".join(json.dumps(r) + "\n" for r in rows[part * 500 : part * 500 + 500]))
+    seen, loads = [], json.loads
+    monkeypatch.setattr(json, "loads", lambda line: seen.append(1) or loads(line))
+    where, got, page = [("role", "=", "a")], [], None
+    while page is None or len(page) == 30:
+        page = logs.fetch_staged(len(got), 30, f"file://{tmp_path}", where)
+        got += page
+    assert [loads(line)["id"] for line in got] == list(range(0, 2000, 2)) and len(seen) == 2000
+    assert [loads(line)["id"] for line in logs.fetch_staged(60, 2, str(tmp_path), where)] == [120, 122]
+    assert [loads(line)["id"] for line in logs.fetch_staged(30, 2, str(tmp_path), where)] == [60, 62]
+    assert logs.fetch_staged(5000, 2, str(tmp_path), where) == []
