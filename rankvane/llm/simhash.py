@@ -393,15 +393,25 @@ def _hung(joined: DataFrame) -> DataFrame:
     return of.select(ends.alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands: int = 32, rows: int = 6, shard_limit: int = 4096) -> DataFrame:
+def fingerprint_groups(nodes: DataFrame, distance: int, shard_limit: int) -> DataFrame:
+    """(node, group): nodes whose fingerprints the Gray-order index links have the same group."""
+    apart = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    found = components(links(shards(apart, distance, shard_limit), distance))
+    roots = apart.join(found, "node", "left").select("fp", F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "node")).alias("group"))
+    return nodes.select("node", "fp").join(roots, "fp").select("node", "group")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands: int = 32, rows: int = 6, shard_limit: int = 4096, distance: int = 2) -> DataFrame:
     """The rows of docs, all columns, but for one of each group of near copies only the
     row with the smallest doc_id stays.
 
     Near copies have sets of word shingles with a Jaccard similarity of `share` or
-    more; groups are what such pairs connect.  Sets that agree in one of `bands`
-    bands of `rows` min-hashes are candidates, whose sets are then compared: of
-    pairs at exactly 0.8 all but 6 in 100,000 become candidates, at any number of
-    texts.  Rows with equal sets (all texts without words among them) are always one
+    more; groups are what such pairs connect.  Candidates are the sets whose
+    fingerprints are linked at `distance` or fewer differing bits, found by the
+    Gray-order index and joined to components, and, as few pairs at 0.8 are that
+    close, sets that agree in one of `bands` bands of `rows` min-hashes.  The sets of
+    candidates are then compared: of pairs at exactly 0.8 all but 6 in 100,000 become
+    candidates, at any number of texts.  Rows with equal sets (all texts without words among them) are always one
     group; of rows that share the doc_id as well one stays.  Null texts count as
     empty, a null doc_id as the smallest.
     """
@@ -413,24 +423,26 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands:
             return {
                 "node": [set_key(s) for s in sets],
                 "n": [len(s) for s in sets],
+                "fp": np.array([fingerprint(s)[0] for s in sets], np.uint64).view(np.int64),
                 "bands": pa.array([band_values(s, bands, rows) for s in sets], pa.list_(pa.int64())),
             }
 
         return apply
 
-    seen = map_texts(named, make, "node long, n long, bands array<bigint>", ["__d", "__t"])
-    nodes = cut(seen.groupBy("node").agg(F.min(F.struct("__d", "__t")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    seen = map_texts(named, make, "node long, n long, fp long, bands array<bigint>", ["__d", "__t"])
+    nodes = cut(seen.groupBy("node").agg(F.min(F.struct("__d", "__t")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
-    # candidates: all that share a band with the smallest node of it hang together
-    banded = nodes.select("node", "n", F.explode("bands").alias("group"))
+    # candidates: all that share a band with the smallest node of it hang together; a component of fingerprints is a band too
+    linked = cut(fingerprint_groups(nodes, distance, shard_limit)).join(nodes.select("node", "n"), "node")
+    banded = nodes.select("node", "n", F.explode("bands").alias("group")).unionByName(linked)
     least = cut(banded.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     loose = cut(with_roots(components(_hung(banded.join(least.hint("merge"), "group")))))
 
     # the texts of those are compared; a group that would be dealt into more blocks than there are bands goes by its bands
     whole = pair_tasks(loose.join(nodes.select("node", "n"), "node").select(F.col("root").alias("group"), "node", "n"), shard_limit)
-    large = whole.filter(F.col("parts") > bands + 1).select("node").distinct()
+    large = whole.filter(F.col("parts") > bands + 2).select("node").distinct()
     by_band = pair_tasks(banded.join(large, "node").select("group", "node", "n"), shard_limit)
-    tasks = whole.filter(F.col("parts") <= bands + 1).withColumn("by_band", F.lit(False)).union(by_band.withColumn("by_band", F.lit(True)))
+    tasks = whole.filter(F.col("parts") <= bands + 2).withColumn("by_band", F.lit(False)).union(by_band.withColumn("by_band", F.lit(True)))
 
     def make_sets():
         return lambda texts: {"shingles": pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], pa.list_(pa.int64()))}

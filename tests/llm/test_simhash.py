@@ -178,3 +178,14 @@ def test_a_large_group_goes_by_its_bands(spark):
     rows = [(i, " ".join([*words, f"end{i}"])) for i in range(40)] + [(50, "something else of its own")]
     kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), shard_limit=2)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 50]
+
+
+def test_the_stage_finds_candidates_by_fingerprints(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(5):
+        words = [str(w) for w in rng.choice(10**9, 3000)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join([*words, "end"]))]
+    rows += [(100, ""), (101, "alone")]
+    kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), bands=0, distance=3)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40, 100, 101]
