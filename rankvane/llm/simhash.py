@@ -337,6 +337,12 @@ def similar(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
     return found
 
 
+def _blocks(shard_limit: int) -> Column:
+    """Blocks of a group with m nodes and n shingles."""
+    over = F.greatest(F.col("m") / shard_limit, F.col("n") / SHARD_SHINGLES)
+    return F.when(over <= 1, 1).otherwise(F.ceil(2 * over)).cast("int")
+
+
 def pair_tasks(groups: DataFrame, shard_limit: int) -> DataFrame:
     """(group, parts, i, j, node): tasks in which any two nodes of a group meet.
 
@@ -344,9 +350,7 @@ def pair_tasks(groups: DataFrame, shard_limit: int) -> DataFrame:
     larger one is dealt into `parts` blocks, and any two blocks make a task.
     """
     sized = groups.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter("m > 1")
-    over = F.greatest(F.col("m") / shard_limit, F.col("n") / SHARD_SHINGLES)
-    parts = F.when(over <= 1, 1).otherwise(F.ceil(2 * over)).cast("int")
-    dealt = groups.select("group", "node").join(sized.select("group", parts.alias("parts")), "group")
+    dealt = groups.select("group", "node").join(sized.select("group", _blocks(shard_limit).alias("parts")), "group")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "parts").cast("int"))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
     return dealt.withColumn("other", F.explode(other)).select("group", "parts", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
@@ -393,12 +397,17 @@ def _hung(joined: DataFrame) -> DataFrame:
     return of.select(ends.alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
+def fingerprint_edges(nodes: DataFrame, distance: int, shard_limit: int) -> DataFrame:
+    """Edges (a, b), a > b, that connect the nodes whose fingerprints the Gray-order index links."""
+    apart = nodes.groupBy("fp").agg(F.min("node").alias("b"))
+    same = nodes.select("fp", F.col("node").alias("a")).join(apart, "fp").filter("a != b").select("a", "b")
+    return links(shards(apart.withColumnRenamed("b", "node"), distance, shard_limit), distance).union(same)
+
+
 def fingerprint_groups(nodes: DataFrame, distance: int, shard_limit: int) -> DataFrame:
     """(node, group): nodes whose fingerprints the Gray-order index links have the same group."""
-    apart = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    found = components(links(shards(apart, distance, shard_limit), distance))
-    roots = apart.join(found, "node", "left").select("fp", F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "node")).alias("group"))
-    return nodes.select("node", "fp").join(roots, "fp").select("node", "group")
+    found = components(fingerprint_edges(nodes, distance, shard_limit))
+    return nodes.join(found, "node", "left").select("node", F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "node")).alias("group"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands: int = 32, rows: int = 6, shard_limit: int = 4096, distance: int = 2) -> DataFrame:
@@ -432,17 +441,22 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, share: float = 0.8, bands:
     seen = map_texts(named, make, "node long, n long, fp long, bands array<bigint>", ["__d", "__t"])
     nodes = cut(seen.groupBy("node").agg(F.min(F.struct("__d", "__t")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
-    # candidates: all that share a band with the smallest node of it hang together; a component of fingerprints is a band too
-    linked = cut(fingerprint_groups(nodes, distance, shard_limit)).join(nodes.select("node", "n"), "node")
-    banded = nodes.select("node", "n", F.explode("bands").alias("group")).unionByName(linked)
+    # candidates: all that share a band with the smallest node of it hang together, and so do those linked by fingerprints
+    banded = nodes.select("node", "n", F.explode("bands").alias("group"))
     least = cut(banded.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m"))
-    loose = cut(with_roots(components(_hung(banded.join(least.hint("merge"), "group")))))
+    edges = _hung(banded.join(least.hint("merge"), "group")).union(fingerprint_edges(nodes, distance, shard_limit)).distinct()
+    loose = cut(with_roots(components(edges)).join(nodes.select("node", "n"), "node").select(F.col("root").alias("group"), "node", "n"))
 
     # the texts of those are compared; a group that would be dealt into more blocks than there are bands goes by its bands
-    whole = pair_tasks(loose.join(nodes.select("node", "n"), "node").select(F.col("root").alias("group"), "node", "n"), shard_limit)
-    large = whole.filter(F.col("parts") > bands + 2).select("node").distinct()
-    by_band = pair_tasks(banded.join(large, "node").select("group", "node", "n"), shard_limit)
-    tasks = whole.filter(F.col("parts") <= bands + 2).withColumn("by_band", F.lit(False)).union(by_band.withColumn("by_band", F.lit(True)))
+    tasks = pair_tasks(loose, shard_limit).withColumn("by_band", F.lit(False))
+    over = loose.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("n")).agg(F.max(_blocks(shard_limit))).first()[0]
+    if (over or 0) > bands + 2:
+        large = cut(tasks.filter(F.col("parts") > bands + 2).select("node").distinct())
+        own = nodes.join(large, "node")
+        linked = fingerprint_groups(own, distance, shard_limit).join(own.select("node", "n"), "node")
+        by_band = own.select("node", "n", F.explode("bands").alias("group")).unionByName(linked)
+        by_band = pair_tasks(by_band.select("group", "node", "n"), shard_limit).withColumn("by_band", F.lit(True))
+        tasks = tasks.filter(F.col("parts") <= bands + 2).union(by_band)
 
     def make_sets():
         return lambda texts: {"shingles": pa.array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], pa.list_(pa.int64()))}

@@ -189,3 +189,20 @@ def test_the_stage_finds_candidates_by_fingerprints(spark):
     rows += [(100, ""), (101, "alone")]
     kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), bands=0, distance=3)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40, 100, 101]
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_groups_are_joined_once_whatever_makes_the_candidates(spark, limit, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [str(w) for w in rng.choice(10**9, 3000)]
+    rows = [(i, " ".join([*words, *["end"] * i])) for i in range(6)] + [(10, "alone"), (11, ""), (12, None)]
+    runs, plain = [], S.components
+
+    def counted(edges):
+        runs.append(1)
+        return plain(edges)
+
+    monkeypatch.setattr(S, "components", counted)
+    kept = S.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), bands=0, distance=3, shard_limit=limit)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 11]
+    assert len(runs) == (2 if limit > 6 else 3)  # those of a group that is dealt by its bands come apart again
