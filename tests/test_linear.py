@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankvane.operators import intervals, metrics
+from rankvane.operators import elo, intervals, metrics
 from rankvane.operators import windows as W
 
 DAY = dt.date(2020, 1, 1)
@@ -131,3 +131,17 @@ def test_the_side_win_rate_holds_no_lists(spark):
     assert "collect_list" not in made._jdf.queryExecution().toString()
     both = made.withColumn("listed", W.side_win_rate(["team"]))
     assert both.filter("NOT side_wr <=> listed").count() == 0 and both.filter("side_wr NOT IN (0, 0.5, 1)").count() > 200
+
+
+def test_a_large_pool_is_sorted_in_ranges(spark, monkeypatch):
+    rng = random.Random(12)
+    start = dt.datetime(2019, 11, 1)
+    rows = [(i, start + dt.timedelta(days=rng.randrange(200)), *rng.sample(range(8), 2), rng.randrange(2), rng.randrange(1, 4)) for i in range(900)]
+    rows += [(1000 + i, start + dt.timedelta(days=i), 20, 21, i % 2, 1) for i in range(20)]
+    games = spark.createDataFrame(rows, "gameid long, date timestamp, team_a long, team_b long, result int, tier int")
+    whole = sorted(map(tuple, elo.elo(games).collect()))
+    monkeypatch.setattr(elo, "POOL_GAMES", 100)
+    got = elo.elo(games)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" in plan and plan.count("Sort [") == 1  # the small pool's task sorts, the large one's reads sorted ranges
+    assert sorted(map(tuple, got.collect())) == whole and len(whole) == 920
