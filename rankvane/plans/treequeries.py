@@ -66,10 +66,10 @@ ROUND_SQL = _tree_sql("y - (SELECT avg(y) FROM rws)", "(gameid * 7919) % 1000003
 
 
 def _rows(spark, sf) -> tuple[DataFrame, list[list[float]]]:
-    """The core features with their bins, written once, and the cuts."""
+    """The core features with their bins, written once each, and the cuts."""
     g = cut(T.prepared(features.core(spark, sf).select("gameid", F.col("result").cast("double").alias("y"), *COLUMNS), COLUMNS))
     cuts = T.cuts_of(g, COLUMNS)
-    return T.binned(g, COLUMNS, cuts), cuts
+    return cut(T.binned(g, COLUMNS, cuts)), cuts  # every level of a tree reads the bins
 
 
 def _cart(spark, sf) -> tuple[DataFrame, DataFrame]:

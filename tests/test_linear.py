@@ -145,3 +145,16 @@ def test_a_large_pool_is_sorted_in_ranges(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce 1" in plan and plan.count("Sort [") == 1  # the small pool's task sorts, the large one's reads sorted ranges
     assert sorted(map(tuple, got.collect())) == whole and len(whole) == 920
+
+
+def test_ranges_are_counted_without_a_row_for_each_range_and_value(spark):
+    # a value was compared with all open ranges of its column, joined to it
+    df = spark.range(1000).select(F.array(F.col("id").cast("double"), F.lit(None).cast("double")).alias("xs"))
+    ranges, joins, plain = [(0, 10.0 * i, 10.0 * i + 4) for i in range(50)], [], type(df).join
+    try:
+        type(df).join = lambda *a, **k: joins.append(1) or plain(*a, **k)
+        got = metrics._counted(df, [*ranges, (1, 0.0, 1.0)], 4)
+    finally:
+        type(df).join = plain
+    assert not joins and got[-1] == []
+    assert got[:50] == [[(1, x, x) for x in (low, low + 1, low + 2)] + [(2, low + 3, low + 4)] for _, low, _ in ranges]
