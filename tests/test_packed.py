@@ -9,7 +9,7 @@ DATA = [(float(i), None if i % 3 else i * 1e-3, i % 2 == 0, 5.0, None, float("in
 KIND = "a double, b double, c boolean, d double, e double, f double, result int"
 
 
-def test_moments_are_those_of_the_aggregates_in_a_plan_without_them(spark):
+def test_moments_are_those_of_the_aggregates(spark):
     df = spark.createDataFrame(DATA, KIND).repartition(7)
     columns = ["a", "b", "d", "e"]
     means, spreads = metrics.moments(df, columns, F.col("result") == 1)
