@@ -487,6 +487,6 @@ def edge_probes(spark, sf):
     """What a fitted model says of extreme, equal, swapped, longer and travelling match-ups."""
     columns = list(versions.VERSIONS[4])
     t = feature_table(spark, sf)
-    rows = ML.matrix(M.standardized(t, columns, F.lit(True)), columns)
-    model = ML.logistic().fit(rows.select("y", "features"))
+    rows = t.select(F.col("result").cast("double").alias(ML.LABEL), M.packed(columns))
+    model = ML.logistic().fit(cut(ML.scaled_matrix(rows, *M.moments_of(rows.select("xs"), columns))))
     return rounded(simulation.probes(model, t, columns))
